@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["exact_dedup", "bpe", "media"]
+MODULES = ["exact_dedup", "langid", "licenses", "bpe", "media"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
