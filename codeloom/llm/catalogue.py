@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["exact_dedup", "mixing", "langid", "licenses", "html_text", "pii", "bpe", "near_dedup", "media"]
+MODULES = ["exact_dedup", "mixing", "langid", "licenses", "html_text", "pii", "bpe", "quality", "near_dedup", "media"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
