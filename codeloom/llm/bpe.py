@@ -233,16 +233,17 @@ def bpe_encode(
     docs = replace_columns(docs, ["token_ids"])
     make = _codec_on_worker(docs.sparkSession, ranks_path, pattern)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator) -> Iterator:
-        import pandas as pd
+    names = docs.columns
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = make()
-        for texts in batches:
-            yield pd.Series([codec.encode(t or "") for t in texts])
+        at = names.index(text_col)
+        for batch in batches:
+            ids = pa.array([codec.encode(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, "token_ids"])
 
-    encode = encode  # noqa: PLW0127  the decorator reads the annotations
-    return docs.withColumn("token_ids", encode(F.col(text_col).cast("string")))
+    return docs.mapInArrow(run, f"{kept}, token_ids array<int>")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

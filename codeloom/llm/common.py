@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,10 @@ def ascii_lower(text: Column) -> Column:
 def replace_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop input columns that an operator is about to add under the same names."""
     return df.drop(*[c for c in df.columns if c in set(names)])
+
+
+def kept_rows(docs: DataFrame, annotate: Callable[[DataFrame], DataFrame], outputs: list[str], flag: str) -> DataFrame:
+    """The rows that ``annotate`` flags, with the columns of ``docs`` even where an output has their name."""
+    aside = {c: f"__own_{c}" for c in docs.columns if c in outputs}
+    flagged = annotate(docs.withColumnsRenamed(aside)).where(F.col(flag))
+    return flagged.drop(*outputs).withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)

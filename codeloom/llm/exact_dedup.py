@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ascii_lower, checkpoint, replace_columns, table, text_or_empty
+from codeloom.llm.common import ascii_lower, checkpoint, kept_rows, replace_columns, table, text_or_empty
 
 BLOCK_BITS = 32_768
 PROBES = 4
@@ -119,7 +119,7 @@ def annotate(
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    return annotate(docs, id_col, text_col).where("kept").select(*docs.columns)
+    return kept_rows(docs, lambda d: annotate(d, id_col, text_col), OUTPUTS, "kept")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import sketch as sk
-from codeloom.llm.common import checkpoint, replace_columns, table
+from codeloom.llm.common import checkpoint, kept_rows, replace_columns, table
 
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
@@ -186,7 +186,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with the columns of ``docs``."""
-    return annotate(docs, id_col, text_col).where("kept").select(*docs.columns)
+    return kept_rows(docs, lambda d: annotate(d, id_col, text_col), OUTPUTS, "kept")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from codeloom.llm.common import ensure_checkpoint_dir, table
+from codeloom.llm.common import ensure_checkpoint_dir, kept_rows, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("keep").select(*docs.columns)
+    return kept_rows(docs, lambda d: quality.score(d, model), quality.OUTPUTS, "keep")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,266 @@
+"""Licenses, personal data, languages, pages, quality, mixing and the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from codeloom.llm import html_text, langid, licenses, mixing, pii, quality
+from codeloom.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string"
+
+
+def brute_licenses(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places, labels = [], set()
+    for phrase, label in licenses.BASE_PHRASES.items():
+        own = phrase.split()
+        for i in range(len(words) - len(own) + 1):
+            if words[i : i + len(own)] == own:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_license_base_matches_brute_force(spark):
+    random.seed(1)
+    bits = ["GNU", "General", "public", "License", "apache", "mit", "MIT License", "CC-BY", "cc by", "x", "é", ".", " ", "-", "license\x00", "Licenseé", "v2", "\n"]
+    texts = [" ".join(random.choice(bits) for _ in range(random.randrange(25))) for _ in range(400)] + ["".join(random.choice(bits) for _ in range(12)) for _ in range(400)] + [None, "", "cc by " * 30_000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA + ", score string")
+    for r in licenses.license_scan(df).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licenses(texts[r.doc_id]), texts[r.doc_id]
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+        assert 0 <= r.score <= 1
+    assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("SPDX-License-Identifier: GPL-3.0", "gpl-3.0"),
+        ("under the Apache License, Version 2.0.", "apache-2.0"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
+        ("GNU Lesser General Public License v2.1", "lgpl-2.1"),
+        ("GNU General Public License version 2 or any later version", "gpl-2.0-or-later"),
+        ("https://creativecommons.org/licenses/by-sa/3.0", "cc-by-sa-3.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+    ],
+)
+def test_license_labels(text, label):
+    assert label in licenses.scan(text.encode())[5].split(",")
+
+
+def test_license_suppression():
+    assert len(licenses.rules()) >= 300
+    found = licenses.detect(b"gnu general public license version 3 or any later version")
+    assert [d[2] for d in found] == ["gpl-3.0-or-later"]
+
+
+def brute_pii(text):
+    out = []
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    for kind, p in patterns.items():
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum((2 * d - 9 * (d > 4)) if i % 2 else d for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(digits) <= 19 and luhn, "phone": 8 <= len(digits) <= 15}
+            if ok[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def pii_texts():
+    random.seed(5)
+    bits = ["a", "B1", "@", "a@b.c", "x.y@z-", "..", "+1", " ", "-", "(", "4", "4111111111111111", "4111 1111-1111 1111", "1.2.3.4", "999.1.1.1", "é", "😀", "_", "0", "+49 (30) 1234", "\n", "."]
+    texts = ["".join(random.choice(bits) for _ in range(random.randrange(14))) for _ in range(1200)]
+    return [*texts, None, "", "1 2 " * 5000, "1" * 20_000, "a." * 10_000, "x@y.zz " * 300] + [f'my token = "{i:040x}ab" end' for i in range(20)]
+
+
+def test_pii_matches_brute_force(spark):
+    texts = pii_texts()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA + ", pii string")
+    model = pii.learn(df)
+    for r in pii.annotate(df, model).collect():
+        base = [f"{p.kind}:{p.start}:{p.end}" for p in r.pii if p.kind in pii.BASE]
+        assert base == brute_pii(texts[r.doc_id] or ""), texts[r.doc_id]
+        spans = [(p.start, p.end) for p in r.pii if p.kind not in pii.BASE]
+        assert all(b <= c for (_, b), (c, _) in zip(sorted(spans), sorted(spans)[1:], strict=False))
+    assert "secret" in model.thresholds
+    told = pii.redact(df.where(f"doc_id = {len(texts) - 1}"), model).first().text
+    assert told == "my [SECRET] end"
+
+
+def test_pii_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert pii.annotate(empty, pii.learn(empty)).collect() == []
+
+
+def test_boosting_separates_cells():
+    width = len(pii.KINDS) + len(pii.FEATURES)
+    rng = np.random.default_rng(0)
+    cells = {}
+    for _ in range(300):
+        bits = tuple(bool(x) for x in rng.integers(0, 2, width))
+        bits = tuple(i == 4 for i in range(len(pii.KINDS))) + bits[len(pii.KINDS) :]
+        cells[bits] = 20 if bits[len(pii.KINDS) + 1] ^ bits[len(pii.KINDS) + 5] else 0
+    model = pii.boost([(b, 20, y) for b, y in cells.items()])
+    right = sum((model.score(b) > 0) == (y > 0) for b, y in cells.items())
+    assert right >= 0.95 * len(cells)
+
+
+def test_languages(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang").collect()
+    train = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 5]
+    model = langid.fit([r.text for r in train], [r.lang for r in train])
+    test = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    names, scores = model.predict([r.text for r in test])
+    assert sum(a == r.lang for a, r in zip(names, test, strict=True)) >= 0.97 * len(test)
+    assert all(0 <= s <= 1 for s in scores)
+
+
+def test_language_cases(spark):
+    model = langid.fit(["the cat and the dog", "der hund und die katze"] * 3, ["en", "de"] * 3)
+    df = spark.createDataFrame([(1, "the dog", 1), (2, None, 1), (3, "", 1), (4, "123 !?", 1), (5, "the cat " * 20_000, 1)], SCHEMA + ", score int")
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, model).collect()}
+    assert out[1][0] == out[5][0] == "en" and out[2] == out[3] == out[4] == ("und", 0.0)
+    none = langid.fit([], [])
+    assert langid.identify(df, none).where("lang_pred <> 'und'").count() == 0
+    assert langid.identify(spark.createDataFrame([], SCHEMA), model).collect() == []
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
+<nav><ul><li>menu</li></ul></nav><div class="cookie-notice">We use cookies</div><div id="wrap"><div class="sidebar">x <a>y</a></div>
+<div class="post-12 content"><h2>Title &lt;a&gt;</h2><p>Para  one<b>bold</b> &nbsp; x<p>Two &amp<br>lines<ul><li>a<li>b</ul><script>no("</p>")</script><form>f</form>
+<aside>as</aside><!-- c --><div class="comments"><p>nice</p></div></div></div><div class="ad">buy</div><footer>ft</footer></body></html>"""
+
+
+def test_page_text():
+    page = html_text.parse(PAGE)
+    assert html_text.extract(page, None) == "Title <a>\nPara onebold x\nTwo & lines\na\nb"
+    assert html_text.choose(page).endswith(">div.content.post-#")
+
+
+@pytest.mark.parametrize("source", [None, "", "<", "<p", "<!--", "<script>", "<div>" * 3000, "</p></div>", "&#0;&bogus;<b"])
+def test_broken_pages(source):
+    assert isinstance(html_text.extract(html_text.parse(source or ""), ">html"), str)
+
+
+def test_host_consensus(spark):
+    """A page whose long reader remarks look like its article follows the host's other pages."""
+    good = "<body><div class='story'><p>{0}</p></div><div class='extra'><p>short</p></div></body>"
+    odd = "<body><div class='story'><p>the story</p></div><div class='extra'>" + "x " * 400 + "</div></body>"
+    pages = [(i, f"https://h.example/{i}", good.replace("<p>short</p>", "short").format("long story " * 20)) for i in range(4)]
+    pages += [(9, "https://H.example/9", odd), (10, None, "<p>alone</p>"), (11, "https://h.example/n", None), (9, "https://H.example/9", odd)]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id bigint, url string, html string, text int")
+    out = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert html_text.main_text(df).count() == len(pages)
+    assert out[9] == "the story" and out[10] == "alone" and out[11] == ""
+    assert html_text.main_text(df.limit(0)).collect() == []
+
+
+def test_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    out = quality.score(docs, quality.train(docs, labels)).select("doc_id", "keep").join(labels, "doc_id").toPandas()
+    assert (out.keep == (out.quality == 1)).mean() >= 0.97
+
+
+def test_quality_cases(spark):
+    docs = spark.createDataFrame([(1, None, "s"), (None, "", None), (3, "word " * 50_000, "s")], SCHEMA + ", keep string")
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    assert quality.score(docs, model).where("keep").count() == 3
+    assert quality.score(docs.limit(0), model).collect() == []
+
+
+def test_co_training_uses_the_pool():
+    rng = np.random.default_rng(0)
+
+    def draw(n):
+        y = rng.integers(0, 2, n).astype(float)
+        content = rng.normal(size=(n, quality.CONTENT_FEATURES))
+        meta = rng.normal(size=(n, quality.META_FEATURES))
+        content[:, 0] += 5 * y
+        meta[:, 0] += 5 * y
+        return content, meta, y
+
+    content, meta, y = draw(40)
+    pool = draw(400)
+    model = quality.co_train(content, meta, y, pool[0], pool[1])
+    test = draw(500)
+    assert ((model.scores(test[0], test[1])[:, 2] > 0.5) == test[2]).mean() > 0.97
+
+
+def test_mixing_meets_targets(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    out = mixing.mix(docs.select("doc_id", "text"), docs.selectExpr("text", "lang AS domain"), mixing.TARGETS).toPandas()
+    total = out.n_tokens.sum()
+    for d, share in mixing.TARGETS.items():
+        reached = sum(n * r * p[d] for n, r, p in zip(out.n_tokens, out.rate, out.posteriors, strict=True)) / total
+        assert abs(reached - share) < 1e-3
+    assert (out.rate >= 0).all() and ((out.copies == np.floor(out.rate)) | (out.copies == np.floor(out.rate) + 1)).all()
+    assert (out.merge(docs.toPandas()[["doc_id", "lang"]], on="doc_id").eval("domain == lang")).mean() > 0.9
+
+
+def test_mixing_matches_the_closed_iteration(spark):
+    """The fold in SQL equals projected gradient steps in numpy."""
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    labelled = docs.selectExpr("text", "lang AS domain")
+    domains = sorted(mixing.TARGETS)
+    bias, weights = mixing.train(mixing.counts(labelled, "text"), domains)
+    rows = mixing.counts(docs.select("text"), "text").select("__tokens", mixing.posteriors(bias, weights).alias("__p"))
+    targets = [mixing.TARGETS[d] for d in domains]
+    mixture = mixing.fit(rows, domains, bias, weights, targets, 1.0)
+    data = rows.select("__tokens", "__p", mixing.rate(mixture, "__p").alias("w")).toPandas()
+    n, p = data["__tokens"].to_numpy(float), np.array(data["__p"].tolist())
+    w = y = np.ones(len(n))
+    for m in mixture.momentum:
+        r = (n * y) @ p / n.sum() - targets
+        new = np.maximum(0, y - mixture.step * (p @ r + mixing.PULL * (y - 1)))
+        w, y = new, new + m * (new - w)
+    assert np.abs(w - data["w"]).max() < 1e-6
+
+
+def test_mixing_cases(spark):
+    docs = spark.createDataFrame([(1, None, "q"), (None, "abc", "q"), (2, "e" * 100_000, "q")], SCHEMA + ", rate string")
+    labelled = spark.createDataFrame([("eee", "a"), ("nnn", "b"), ("x", None)], "text string, domain string")
+    out = mixing.mix(docs, labelled, {"a": 1, "b": 1}).collect()
+    assert len(out) == 3 and all(r.rate >= 0 for r in out)
+    assert mixing.mix(docs.limit(0), labelled, {"a": 1, "b": 1}).collect() == []
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as pipeline
+
+    docs = table(spark, SF, "documents")
+    names = [n for n, _ in pipeline.STAGES]
+    assert len(names) == 5
+    labels = table(spark, SF, "labels")
+    good = pipeline.keep_good(spark, docs, SF)
+    assert good.columns == docs.columns
+    judged = {r.doc_id: r.quality for r in labels.collect()}
+    kept = {r.doc_id for r in good.collect()}
+    right = sum((i in kept) == (q == 1) for i, q in judged.items())
+    assert right >= 0.93 * len(judged)
+    out = pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in out} <= kept
+    import tiktoken
+
+    from codeloom.llm import bpe
+
+    path, pattern = bpe.default_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in out:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    lowered = [texts[i].lower() for i in {r.doc_id for r in out}]
+    assert len(set(lowered)) == len(lowered)
