@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="codeloom-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors once, so that their Python needs no installation of it."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_codeloom_shipped", False) or not root.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="codeloom-package-")) / "codeloom_package.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._codeloom_shipped = True
