@@ -156,30 +156,39 @@ def fit(rows: DataFrame, domains: list[str], bias: list[float], weights: list[li
 
 def mix(
     docs: DataFrame,
-    labelled: DataFrame,
     targets: dict[str, float],
+    labelled: DataFrame | None = None,
+    domain_col: str = "lang",
     id_col: str = "doc_id",
     text_col: str = "text",
     budget: float | None = 1.0,
+    carry_text: bool = True,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with domain, n_tokens, posteriors (a map), rate and copies.
 
-    ``labelled`` has a text column and ``domain``; rows of other or null domains teach nothing. The
-    mix has ``budget`` times the tokens of the corpus. copies rounds the rate up or down by a hash of
-    the id, so its expectation is the rate; a null id rounds like any other value, and rows that
-    repeat an id get equal copies. A null or empty text has no tokens and the prior as posterior.
-    Targets are scaled to sum to 1. Ties of posteriors go to the domain first in the alphabet. Input
-    columns named like an output are replaced.
+    ``labelled`` has a text column and ``domain``; without it, ``docs`` is the labelled table by its
+    ``domain_col``. Rows of other or null domains teach nothing. The mix has ``budget`` times the
+    tokens of the corpus; None makes it as large as it takes for no domain to be cut. copies rounds
+    the rate up or down by a hash of the id, so its expectation is the rate; a null id rounds like
+    any other value, and rows that repeat an id get equal copies. A null or empty text has no tokens
+    and the prior as posterior. Targets are scaled to sum to 1. Ties of posteriors go to the domain
+    first in the alphabet. Input columns named like an output are replaced. Without ``carry_text``
+    the text is left out and read once only.
     """
     outputs = ["domain", "n_tokens", "posteriors", "rate", "copies"]
+    label = F.col(domain_col).cast("string") if labelled is None else F.lit(None).cast("string")
+    source = docs.withColumn("__domain", label)
     docs = replace_columns(docs, outputs)
+    kept = [c for c in docs.columns if c != text_col]
     domains = sorted(targets)
     total = sum(targets.values())
     wanted = [targets[d] / total for d in domains]
-    bias, weights = train(counts(labelled.select(text_col, "domain"), text_col), domains)
-    rows = counts(docs.select(text_col), text_col).select("__tokens", posteriors(bias, weights).alias("__p"))
-    mixture = fit(rows, domains, bias, weights, wanted, budget)
-    counted = counts(docs.withColumn("__kept", F.col(text_col)), text_col).withColumnRenamed("__kept", text_col)
+    columns = [] if carry_text else kept
+    known = checkpoint(counts(source.select(*columns, "__domain", text_col), text_col))
+    taught = known.withColumnRenamed("__domain", "domain") if labelled is None else counts(labelled.select(text_col, "domain"), text_col)
+    bias, weights = train(taught.select("domain", "__counts"), domains)
+    mixture = fit(known.select("__tokens", posteriors(bias, weights).alias("__p")), domains, bias, weights, wanted, budget)
+    counted = known if not carry_text else counts(docs.withColumn("__kept", F.col(text_col)), text_col).withColumnRenamed("__kept", text_col)
     scored = counted.withColumn("__p", posteriors(bias, weights))
     names = F.array(*[F.lit(d) for d in domains])
     uniform = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
@@ -193,7 +202,7 @@ def mix(
                 "copies": F.floor(F.col("rate") + uniform).cast("bigint"),
             }
         )
-        .select(*docs.columns, *outputs)
+        .select(*(docs.columns if carry_text else kept), *outputs)
     )
 
 
@@ -201,7 +210,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posteriors, rate and copies of every document, for equal shares of three languages and twice
     as much of the fourth; the labelled table is the documents of known language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    mixed = mix(docs.select("doc_id", "text"), docs.select("text", F.col("lang").alias("domain")), TARGETS)
+    mixed = mix(docs, TARGETS, carry_text=False)
     shares = [F.element_at("posteriors", d).alias(f"p_{d}") for d in sorted(TARGETS)]
     return mixed.select("doc_id", "domain", "n_tokens", *shares, "rate", "copies")
 

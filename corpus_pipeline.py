@@ -35,8 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their rates towards the target shares of languages."""
-    labelled = docs.select("text", F.col("lang").alias("domain"))
-    mixed = mixing.mix(docs, labelled, mixing.TARGETS, budget=None)
+    mixed = mixing.mix(docs, mixing.TARGETS, budget=None)
     times = F.sequence(F.lit(1).cast("bigint"), F.greatest("copies", F.lit(1).cast("bigint")))
     return mixed.withColumn("__copy", F.explode(times)).select(*docs.columns)
 

@@ -201,7 +201,7 @@ def test_co_training_uses_the_pool():
 
 def test_mixing_meets_targets(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
-    out = mixing.mix(docs.select("doc_id", "text"), docs.selectExpr("text", "lang AS domain"), mixing.TARGETS).toPandas()
+    out = mixing.mix(docs, mixing.TARGETS, carry_text=False).toPandas().drop(columns="lang")
     total = out.n_tokens.sum()
     for d, share in mixing.TARGETS.items():
         reached = sum(n * r * p[d] for n, r, p in zip(out.n_tokens, out.rate, out.posteriors, strict=True)) / total
@@ -232,9 +232,10 @@ def test_mixing_matches_the_closed_iteration(spark):
 def test_mixing_cases(spark):
     docs = spark.createDataFrame([(1, None, "q"), (None, "abc", "q"), (2, "e" * 100_000, "q")], SCHEMA + ", rate string")
     labelled = spark.createDataFrame([("eee", "a"), ("nnn", "b"), ("x", None)], "text string, domain string")
-    out = mixing.mix(docs, labelled, {"a": 1, "b": 1}).collect()
-    assert len(out) == 3 and all(r.rate >= 0 for r in out)
-    assert mixing.mix(docs.limit(0), labelled, {"a": 1, "b": 1}).collect() == []
+    out = mixing.mix(docs, {"a": 1, "b": 1}, labelled).collect()
+    assert len(out) == 3 and all(r.rate >= 0 for r in out) and {r.text for r in out} == {None, "abc", "e" * 100_000}
+    assert mixing.mix(docs.limit(0), {"a": 1, "b": 1}, labelled).collect() == []
+    assert mixing.mix(docs, {"q": 1, "z": 2}, domain_col="rate", carry_text=False).count() == 3
 
 
 def test_pipeline(spark):
