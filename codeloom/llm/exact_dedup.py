@@ -29,6 +29,8 @@ BITS_PER_HASH = 16
 MAX_FILTER_BLOCKS = 16_384
 #: With fewer bits than this for each repeated hash the filter passes too much to be of use.
 MIN_BITS_PER_HASH = 4
+#: Groups with a HOT_GROUPS-th of all repeated rows, and HOT_LEAST rows, are dealt to SALTS partitions.
+HOT_GROUPS, HOT_LEAST, SALTS = 500, 1000, 64
 
 OUTPUTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -103,16 +105,30 @@ def annotate(
         digest.alias("text_sha256"),
     )
     suspects = marked.where("__hit").withColumn("text_sha256", digest)
-    groups = suspects.groupBy("text_sha256").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("__best"),
+    groups = checkpoint(
+        suspects.groupBy("text_sha256").agg(
+            F.count(F.lit(1)).alias("group_size"),
+            F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("__best"),
+        )
     )
-    decided = suspects.join(groups, "text_sha256").select(
-        *columns,
-        F.col("__best.id").alias("keep_id"),
-        "group_size",
-        (F.col("__row") == F.col("__best.row")).alias("kept"),
-        "text_sha256",
+    # Fewer than HOT_GROUPS groups can hold that share of the rows, which bounds the broadcast.
+    rows_in_groups = groups.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.col("group_size") >= max(HOT_LEAST, -(-rows_in_groups // HOT_GROUPS))
+    known_hot = F.broadcast(groups.where(hot).select("text_sha256", F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod("__row", F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
+    spread = F.when(hot, F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.expr("array(0L)"))
+    salted = groups.withColumn("__salt", F.explode(spread))
+    decided = (
+        suspects.join(known_hot, "text_sha256", "left")
+        .withColumn("__salt", salt)
+        .join(salted, ["text_sha256", "__salt"])
+        .select(
+            *columns,
+            F.col("__best.id").alias("keep_id"),
+            "group_size",
+            (F.col("__row") == F.col("__best.row")).alias("kept"),
+            "text_sha256",
+        )
     )
     return straight.unionByName(decided)
 
