@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import replace_columns, table
+from codeloom.llm.common import map_arrow, replace_columns, table
 
 #: A space with white space on both sides, or before it at the end: pre-tokens may span it.
 _SPANNED = re.compile(r"\s \s|\s \Z")
@@ -223,7 +223,7 @@ def bpe_digest(
             columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*others, *OUTPUTS])
 
-    return docs.select(*others, F.col(text_col).cast("string")).mapInArrow(run, out)
+    return map_arrow(docs.select(*others, F.col(text_col).cast("string")), run, out)
 
 
 def bpe_encode(
@@ -243,7 +243,7 @@ def bpe_encode(
             ids = pa.array([codec.encode(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, "token_ids"])
 
-    return docs.mapInArrow(run, f"{kept}, token_ids array<int>")
+    return map_arrow(docs, run, f"{kept}, token_ids array<int>")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

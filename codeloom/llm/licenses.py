@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import replace_columns, table
+from codeloom.llm.common import map_arrow, replace_columns, table
 
 _WORD = rb"[0-9a-z\x80-\xff]"
 _GAP = rb"[^0-9a-z\x80-\xff]+"
@@ -256,7 +256,7 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             made = [pa.array(list(c), arrow[t]) for c, t in zip(columns, OUTPUTS.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*others, *OUTPUTS])
 
-    return docs.select(*others, F.col(text_col).cast("string").cast("binary")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*others, F.col(text_col).cast("string").cast("binary")), run, schema)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

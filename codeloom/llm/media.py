@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import webp
-from codeloom.llm.common import replace_columns, table
+from codeloom.llm.common import map_arrow, replace_columns, table
 
 DIGESTS = {
     "n_bytes": "bigint",
@@ -98,7 +98,7 @@ def media_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
             made = [pa.array(list(c), t) for c, t in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*others, *DIGESTS])
 
-    return docs.select(*others, F.col(text_col).cast("string").cast("binary")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*others, F.col(text_col).cast("string").cast("binary")), run, schema)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import sketch as sk
-from codeloom.llm.common import checkpoint, kept_rows, replace_columns, table
+from codeloom.llm.common import checkpoint, kept_rows, map_arrow, replace_columns, table
 
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
@@ -139,7 +139,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, node, n_shingles, component_id, kept; one row for each row."""
     schema = "doc_id bigint, node bigint, n_shingles bigint, bands array<bigint>"
-    sketches = checkpoint(docs.select("doc_id", "text").mapInArrow(_sketches, schema))
+    sketches = checkpoint(map_arrow(docs.select("doc_id", "text"), _sketches, schema))
     nodes = checkpoint(
         sketches.where("node is not null")
         .groupBy("node")
@@ -149,9 +149,9 @@ def components(docs: DataFrame) -> DataFrame:
     crowded = members.groupBy("node").agg((F.max("members") >= CROWDED).alias("crowded"))
     wanted = crowded.join(nodes.select("node", "first_id"), "node")
     texts = docs.select(F.col("doc_id").alias("first_id"), "text").join(wanted, "first_id")
-    sets = checkpoint(texts.select("node", "crowded", "text").mapInArrow(_full_sets, "node bigint, crowded boolean, shingles array<bigint>").dropDuplicates(["node"]))
+    sets = checkpoint(map_arrow(texts.select("node", "crowded", "text"), _full_sets, "node bigint, crowded boolean, shingles array<bigint>").dropDuplicates(["node"]))
 
-    fine = sets.where("crowded").select("node", "shingles").mapInArrow(_fine_bands, "node bigint, bands array<bigint>")
+    fine = map_arrow(sets.where("crowded").select("node", "shingles"), _fine_bands, "node bigint, bands array<bigint>")
     pairs = members.select("node", "centre").unionByName(_buckets(fine).select("node", "centre")).where("node <> centre").distinct()
     links = checkpoint(confirmed(pairs, sets))
     roots = _components(links)

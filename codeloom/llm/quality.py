@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import replace_columns, table
+from codeloom.llm.common import map_arrow, replace_columns, table
 
 #: Labelled documents that the model is fitted on, at most; every fifth of them calibrates.
 LABELLED_ROWS = 3000
@@ -197,7 +197,7 @@ def _collect_features(docs: DataFrame, ids: list[int], columns: list[Column]) ->
     if not ids:
         return {}
     wanted = docs.where(F.col("id").isin(ids)).select("id", *columns)
-    rows = wanted.mapInArrow(run, "id bigint, content array<double>, meta array<double>").limit(4 * len(ids)).collect()
+    rows = map_arrow(wanted, run, "id bigint, content array<double>, meta array<double>").limit(4 * len(ids)).collect()
     return {r["id"]: (list(r["content"]), list(r["meta"])) for r in sorted(rows, key=lambda r: (r["id"], r["content"], r["meta"]))}
 
 
@@ -265,7 +265,7 @@ def score(
             made = [pa.array(scores[:, i]) for i in range(3)] + [pa.array(scores[:, 2] >= THRESHOLD)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *made], names=[*others, *OUTPUTS])
 
-    return docs.select(*others, *columns).mapInArrow(run, schema)
+    return map_arrow(docs.select(*others, *columns), run, schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ BINS = 128
 BANDS = 32
 ROWS = BINS // BANDS
 
-#: Distinct words whose hashes a worker keeps (some 60 MB); the cache starts anew when full.
-CACHE_WORDS = 400_000
+#: Distinct words whose hashes a worker keeps (some 30 MB); the cache starts anew when full.
+CACHE_WORDS = 200_000
 
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15

@@ -58,11 +58,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; intermediate tables go to the shared checkpoint folder."""
+    """Apply the stages to documents; intermediate tables go to the shared checkpoint folder.
+
+    A stage's table is deleted once the next one is written; the last one stays for the caller.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs
