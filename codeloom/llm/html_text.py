@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpoint, table
+from codeloom.llm.common import checkpoint, map_arrow, table
 
 _TOKEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -244,7 +244,7 @@ def host_of(url: str) -> Column:
     return F.when(host != "", host)
 
 
-#: Corrections that may be broadcast (about 150 bytes each).
+#: Winning paths or corrections that may be broadcast (about 150 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 50_000
 
 
@@ -262,12 +262,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     the same text each; other columns are left out.
     """
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    votes = checkpoint(source.select("page_id", host_of("url").alias("host"), "html").mapInArrow(_votes, "page_id bigint, host string, path string"))
-    wrong = votes.join(winners(votes), "host").where("not (path <=> winner)")
+    votes = checkpoint(map_arrow(source.select("page_id", host_of("url").alias("host"), "html"), _votes, "page_id bigint, host string, path string"))
+    best = checkpoint(winners(votes))
+    wrong = votes.join(F.broadcast(best) if best.count() <= MAX_BROADCAST_ROWS else best, "host").where("not (path <=> winner)")
     wrong = checkpoint(wrong.where("page_id is not null").select("page_id", "host", "winner").distinct())
     few = wrong.count() <= MAX_BROADCAST_ROWS
     keyed = source.withColumn("host", host_of("url")).join(F.broadcast(wrong) if few else wrong, ["page_id", "host"], "left")
-    return keyed.select("page_id", "url", "winner", "html").mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint")
+    return map_arrow(keyed.select("page_id", "url", "winner", "html"), _texts, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
