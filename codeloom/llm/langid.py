@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import replace_columns, table
+from codeloom.llm.common import map_arrow, replace_columns, table
 
 #: Buckets and weight of each n-gram length.
 SPECTRUM = {1: (256, 1.0), 2: (8192, 1.0), 3: (16384, 1.0)}
@@ -86,13 +86,18 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """A model of texts on the driver."""
+    rows = np.zeros((len(texts), _WIDTH), bool)
+    for row, text in zip(rows, texts, strict=True):
+        presence(text, row)
+    return fit_rows(rows, labels, landmarks, ridge)
+
+
+def fit_rows(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Nystrom features of balanced landmarks, then kernel ridge regression against each rest."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((0, _WIDTH), bool), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), 1.0)
-    rows = np.zeros((len(texts), _WIDTH), bool)
-    for row, text in zip(rows, texts, strict=True):
-        presence(text, row)
     each = max(1, landmarks // len(languages))
     chosen = np.concatenate([np.flatnonzero(np.array(labels) == x)[:each] for x in languages])
     marks = rows[chosen]
@@ -113,12 +118,25 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     return model
 
 
-def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str, rows: int) -> tuple[list[str], list[str]]:
-    """Up to ``rows`` labelled texts, as many of each label, picked by a hash of the id."""
+def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str, rows: int) -> tuple[np.ndarray, list[str]]:
+    """Presence rows and labels of up to ``rows`` labelled texts, as many of each label, picked by a hash of the id.
+
+    Executors mark the n-grams, so the driver gets some three kilobytes a text, however long it is.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for text in batch.column(2).to_pylist():
+                row = np.zeros(_WIDTH, bool)
+                presence(text, row)
+                packed.append(np.packbits(row).tobytes() if _LETTER.search(text) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "marks"])
+
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     labels = labelled.select(label_col).distinct().limit(rows).count()
     if not labels:
-        return [], []
+        return np.zeros((0, _WIDTH), bool), []
     each = max(1, rows // labels)
     # Spark keeps the first rows of each label already on the map side, so a hot label is no matter.
     order = Window.partitionBy("__label").orderBy(F.xxhash64(F.col("__id").cast("string")), F.col("__id"))
@@ -129,10 +147,11 @@ def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str,
         .limit(rows)
     )
     ids = sorted({r["__id"] for r in picked.select("__id").collect()})
-    found = labelled.where(F.col(id_col).isin(ids)).select(id_col, text_col, label_col).limit(2 * rows).collect()
-    found.sort(key=lambda r: (r[id_col], r[label_col], r[text_col]))
-    found = [r for r in found if _LETTER.search(r[text_col])]
-    return [r[text_col] for r in found], [r[label_col] for r in found]
+    wanted = labelled.where(F.col(id_col).isin(ids)).select(F.col(id_col).cast("string"), F.col(label_col).cast("string"), F.col(text_col).cast("string"))
+    found = map_arrow(wanted, mark, "id string, label string, marks binary").where("marks is not null").limit(2 * rows).collect()
+    found.sort(key=lambda r: (r["id"], r["label"], bytes(r["marks"])))
+    marks = [np.unpackbits(np.frombuffer(r["marks"], np.uint8))[:_WIDTH].astype(bool) for r in found]
+    return np.array(marks, bool).reshape(-1, _WIDTH), [r["label"] for r in found]
 
 
 def held_out(id_col: str) -> Column:
@@ -159,14 +178,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             made = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*others, "lang_pred", "score"])
 
-    return docs.select(*others, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*others, F.col(text_col).cast("string")), run, schema)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    texts, labels = labelled_sample(docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull()), "text", "lang", "doc_id", SAMPLE_ROWS)
-    return identify(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), fit(texts, labels))
+    marks, labels = labelled_sample(docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull()), "text", "lang", "doc_id", SAMPLE_ROWS)
+    return identify(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), fit_rows(marks, labels))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_langid": op3_langid}
