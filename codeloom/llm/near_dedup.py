@@ -10,6 +10,10 @@
    of four with a probability of 6e-11, and none of 256 bands of 16 with one of 3e-9.
 4. Candidates are confirmed by an exact count over full sets; components of the confirmed links come
    from repeated joins with minimum labels.
+5. A star misses links between two other members. As long as a fine bucket holds members of several
+   components, it gets further centres, at first those whose tests linked most often (an original
+   links to all its edited copies), then every member outside the bucket's largest component. In the
+   end each two members of a fine bucket are tested or in the same component.
 
 Nodes are 64-bit hashes of word sequences. Sets, pairs and links stay in DataFrames; what later
 steps read more than once is checkpointed in the shared folder.
@@ -32,6 +36,12 @@ from codeloom.llm.common import checkpoint, kept_rows, map_arrow, replace_column
 THRESHOLD = 85
 #: Buckets of so many members are refined by the second sketch.
 CROWDED = 3
+#: Rounds of one further centre a bucket; the round after them tests whatever is still open.
+CENTRE_ROUNDS = 2
+#: Nodes of a round up to this number are broadcast to pick their full sets.
+BROADCAST_NODES = 50_000
+#: Components that a round's links join are merged on the driver up to this number of pairs.
+DRIVER_PAIRS = 20_000
 
 OUTPUTS = ["n_shingles", "component_id", "kept"]
 
@@ -92,10 +102,10 @@ def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """node, bands -> node, centre, members: the members of buckets with two or more of them."""
+    """node, bands -> bucket, node, centre, members: the members of buckets with two or more of them."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     centres = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members"))
-    return rows.join(centres.where("members > 1"), "bucket").select("node", "centre", "members")
+    return rows.join(centres.where("members > 1"), "bucket").select("bucket", "node", "centre", "members")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -114,6 +124,76 @@ def _components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links (a, b)."""
+    of_a, of_b = roots.toDF("a", "ra").hint("merge"), roots.toDF("b", "rb").hint("merge")
+    joined = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = checkpoint(joined.where("a <> b").distinct())
+    if joined.count() > DRIVER_PAIRS:
+        moved = _components(joined)
+    else:
+        least: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := least.setdefault(x, x)) != x:
+                least[x] = x = least[up]
+            return x
+
+        for a, b in joined.collect():
+            a, b = find(a), find(b)
+            least[max(a, b)] = min(a, b)
+        moved = roots.sparkSession.createDataFrame([(x, find(x)) for x in list(least)], "node bigint, root bigint")
+    known = roots.join(moved.toDF("root", "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return checkpoint(known.unionByName(moved.join(roots.hint("merge"), "node", "left_anti")))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """node, centre -> node: both ends of every pair."""
+    return pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node")))
+
+
+def _close(left: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, root of the links, after every two members of a bucket were tested or are in one component.
+
+    ``left`` has the members of buckets (bucket, node) but the centres, ``tested`` the pairs of the
+    stars (node, centre). A centre is tested with all members of other components and leaves its bucket.
+    """
+    links = checkpoint(confirmed(tested, sets))
+    turn, found, roots = 0, True, _components(links)
+    while True:
+        labelled = left.join(roots.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+        several = parts.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        rows = checkpoint(labelled.join(several.select("bucket", "main").hint("merge"), "bucket"))
+        last = turn == CENTRE_ROUNDS or not found
+        if last:
+            centres = rows.where("root <> main").select("bucket", F.col("node").alias("centre"), F.col("root").alias("own"))
+        else:
+            tests = _ends(tested).groupBy("node").agg(F.count(F.lit(1)).alias("tests"))
+            hits = _ends(links.select(F.col("a").alias("node"), F.col("b").alias("centre"))).groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
+            rates = tests.join(hits.hint("merge"), "node", "left").select("node", ((F.coalesce("hits", F.lit(0)) + 1) / (F.col("tests") + 2)).alias("rate"))
+            best = rows.join(rates.hint("merge"), "node").groupBy("bucket").agg(F.max_by(F.struct("node", "root"), F.struct("rate", "node")).alias("best"))
+            centres = checkpoint(best.select("bucket", F.col("best.node").alias("centre"), F.col("best.root").alias("own")))
+        pairs = rows.join(centres.hint("merge"), "bucket").where("root <> own").select(F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre"))
+        pairs = checkpoint(pairs.distinct().join(tested.hint("merge"), ["node", "centre"], "left_anti"))
+        wanted = checkpoint(_ends(pairs).distinct())
+        n = wanted.count()
+        if n:
+            own = sets.join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "node", "left_semi")
+            new = checkpoint(confirmed(pairs, own))
+            found = new.limit(1).count() > 0
+            if found:
+                links = links.unionByName(new)
+                roots = _merged(roots, new)
+        elif not last:
+            found = False
+        if last:
+            return roots
+        left = rows.select("bucket", "node").join(centres.select("bucket", F.col("centre").alias("node")).hint("merge"), ["bucket", "node"], "left_anti")
+        tested = tested.unionByName(pairs)
+        turn += 1
+
+
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with n_shingles, component_id and kept.
 
@@ -145,16 +225,16 @@ def components(docs: DataFrame) -> DataFrame:
         .groupBy("node")
         .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     )
-    members = checkpoint(_buckets(nodes.select("node", "bands")))
+    members = checkpoint(_buckets(nodes.select("node", "bands")).select("node", "centre", "members"))
     crowded = members.groupBy("node").agg((F.max("members") >= CROWDED).alias("crowded"))
     wanted = crowded.join(nodes.select("node", "first_id"), "node")
     texts = docs.select(F.col("doc_id").alias("first_id"), "text").join(wanted, "first_id")
     sets = checkpoint(map_arrow(texts.select("node", "crowded", "text"), _full_sets, "node bigint, crowded boolean, shingles array<bigint>").dropDuplicates(["node"]))
 
     fine = map_arrow(sets.where("crowded").select("node", "shingles"), _fine_bands, "node bigint, bands array<bigint>")
-    pairs = members.select("node", "centre").unionByName(_buckets(fine).select("node", "centre")).where("node <> centre").distinct()
-    links = checkpoint(confirmed(pairs, sets))
-    roots = _components(links)
+    fine = checkpoint(_buckets(fine).where("node <> centre"))
+    pairs = checkpoint(members.select("node", "centre").where("node <> centre").unionByName(fine.select("node", "centre")).distinct())
+    roots = _close(fine.where("members > 2").select("bucket", "node"), pairs, sets)
     least = roots.join(nodes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component"))
     linked = roots.join(least, "root").select("node", "component")
     # only nodes with copies or links differ from their document

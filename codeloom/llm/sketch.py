@@ -26,8 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _PLACES = mix(np.array([(_STEP * (i + 1)) & (2**64 - 1) for i in range(SHINGLE_WORDS)], np.uint64)) | np.uint64(1)
-#: Where an empty bin looks for a value, attempt by attempt.
-_DETOURS = np.array([[int(hashlib.blake2b(f"{b}:{t}".encode(), digest_size=4).hexdigest(), 16) % BINS for b in range(BINS)] for t in range(24)])
+#: Where an empty bin looks for a value: a fixed order of all bins for each, the full bin of least rank counts.
+_RANKS = mix(np.arange(1, BINS * BINS + 1, dtype=np.uint64) * np.uint64(_STEP)).reshape(BINS, BINS)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -82,14 +82,9 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     values[place[first]] = shingles[first]
     full[place[first]] = True
     if not full.all():
-        origin = np.where(full, np.arange(BINS), -1)
-        for hop in _DETOURS:
-            open_ = origin < 0
-            if not open_.any():
-                break
-            target = hop[open_]
-            origin[open_] = np.where(full[target], target, -1)
-        origin[origin < 0] = int(np.flatnonzero(full)[0])
+        known, empty = np.flatnonzero(full), np.flatnonzero(~full)
+        origin = np.arange(BINS)
+        origin[empty] = known[_RANKS[np.ix_(empty, known)].argmin(axis=1)]
         values = values[origin]
     rows = values.reshape(BANDS, ROWS)
     total = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_STEP))

@@ -88,6 +88,21 @@ def test_near_matches_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_near_links_edited_copies_only_by_their_original(spark):
+    random.seed(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(1000):
+        own = list(base)
+        for place in random.sample(range(200), 1 + i % 3):
+            own[place] = f"e{random.randrange(10**9)}"
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts, 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_components(rows)
+    assert {c for _, c in got.values()} == {1}
+
+
 def test_near_keeps_one_of_each_component(spark):
     rows = [(i, t, "c") for i, t in enumerate(family(4, 20, 100, 1), 1)]
     df = spark.createDataFrame(rows, SCHEMA + ", kept string")
@@ -106,6 +121,18 @@ def test_near_of_an_empty_table(spark):
     assert near_dedup.annotate(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_sparse_sketches_use_all_their_values():
+    """Each empty bin of a set of two shingles takes either one alike, so a band of four has only the first in 1 of 16."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    shares = []
+    for _ in range(300):
+        two = np.sort(sketch.mix(rng.integers(0, 2**63, 2, dtype=np.uint64)))
+        shares.append((sketch.sketch(two) == sketch.sketch(two[:1])).mean())
+    assert 0.03 < np.mean(shares) < 0.12
+
+
 def test_band_collisions_follow_similarity():
     """Sets of Jaccard similarity 0.85 share a band nearly always, unrelated sets never."""
     import numpy as np
