@@ -58,6 +58,39 @@ def test_license_labels(text, label):
     assert label in licenses.scan(text.encode())[5].split(",")
 
 
+def rule_example(pattern):
+    """A text that the rule matches, with its words parted by a line break and a comment mark."""
+    body = pattern.decode("latin-1").removeprefix(f"(?<!{licenses._WORD.decode('latin-1')})(?:").removesuffix(f")(?!{licenses._WORD.decode('latin-1')})")
+    gap = licenses._GAP.decode("latin-1")
+    body = body.replace(licenses._LATER.decode("latin-1"), f"{gap}or{gap}later").replace(r"\s*", "\n")
+    body = body.replace(r"[^0-9a-z\x80-\xff]{0,3}(?:v\.?|version|ver\.?)?[^0-9a-z\x80-\xff]{0,3}", "\nv").replace(r"(?:\.0)?", "")
+    return body.replace(gap, "\n * ").replace("\\", "").encode("latin-1")
+
+
+def test_every_license_rule_passes_its_keywords():
+    for rule in licenses.rules():
+        example = rule_example(rule.pattern.pattern)
+        assert rule.pattern.search(example), (rule.label, example)
+        assert any(k in example for k in rule.keywords), (rule.label, example)
+        assert licenses.scan(example)[5], (rule.label, example)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("ASL 2.0", "apache-2.0"),
+        ("LPPL 1.3", "lppl-1.3"),
+        ("Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary", "proprietary"),
+        ("This program is free software; you can redistribute it and/or modify it under the terms", "gpl"),
+        ("All rights\n * reserved", "proprietary"),
+        ("released into the public\ndomain", "public-domain"),
+        ("MIT\tLicense", "mit"),
+    ],
+)
+def test_license_wrapped_labels(text, label):
+    assert label in licenses.scan(text.encode())[5].split(",")
+
+
 def test_license_suppression():
     assert len(licenses.rules()) >= 300
     found = licenses.detect(b"gnu general public license version 3 or any later version")
