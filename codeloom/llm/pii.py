@@ -6,8 +6,9 @@ set of yes-or-no features of its form and its surroundings, and whether it meets
 rule (checksums, ranges, alphabets) is the label. Candidates are counted by kind and features over
 the whole corpus, so at most ``len(KINDS) * 2 ** len(FEATURES)`` counts reach the driver, and
 boosting over the counts equals boosting over all candidates. The trees become a SQL expression. A
-kind's threshold is the least score at which the counts are precise enough; where none is, the kind
-adds nothing. Base spans, those that the contract defines, always stay.
+kind's threshold is the least score at which the counts are precise enough. A candidate that meets
+its full rule counts at any score and in any corpus; the threshold adds others, where there is one.
+Base spans, those that the contract defines, always stay.
 """
 
 from __future__ import annotations
@@ -88,6 +89,9 @@ SHRINK = 0.3
 PRECISION = 0.95
 EVIDENCE = 5
 
+#: Added to the score of a candidate that meets its full rule; scores stay far below it.
+VALID = 1e6
+
 OUTPUTS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
@@ -247,8 +251,9 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """All rows and columns of ``docs`` with ``pii``: an array of kind, start, end by kind and start.
 
     Positions count code points, the end is exclusive. Base spans all stay, also where kinds overlap.
-    A further span stays if its score reaches its kind's threshold and it overlaps no base span and
-    no further one of higher score; ties go to the one that starts first, then to the kind listed
+    A further span stays if it meets its kind's full rule or its score reaches the kind's threshold,
+    and it overlaps no base span and no further one before it: those that meet their full rule come
+    first, then those of higher score; ties go to the one that starts first, then to the kind listed
     first. A null text counts as empty. An input column named ``pii`` is replaced.
     """
     docs = replace_columns(docs, ["pii"])
@@ -256,11 +261,9 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     base = [f"transform(filter(__{k}, c -> {RULES[k]}), c -> {span.format(rank=i, score='0D')})" for i, k in enumerate(BASE)]
     extra = []
     for i, k in enumerate(EXTRA, len(BASE)):
-        if k in model.thresholds:
-            scored = f"transform(__{k}, c -> {span.format(rank=i, score=model.sql(k))})"
-            extra.append(f"filter({scored}, c -> c.score >= {model.thresholds[k]!r}D)")
-    kind = "array<struct<rank: int, kind: string, start: int, end: int, score: double>>"
-    more = f"concat({', '.join(extra)})" if extra else f"cast(array() as {kind})"
+        scored = f"transform(__{k}, c -> {span.format(rank=i, score=f'IF({RULES[k]}, {VALID!r}D, 0D) + {model.sql(k)}')})"
+        extra.append(f"filter({scored}, c -> c.score >= {model.thresholds.get(k, VALID / 2)!r}D)")
+    more = f"concat({', '.join(extra)})"
     order = "(a, b) -> CASE WHEN a.score <> b.score THEN IF(a.score > b.score, -1, 1) WHEN a.start <> b.start THEN a.start - b.start ELSE a.rank - b.rank END"
     found = _with_candidates(docs, text_col).withColumn("__base", F.expr(f"concat({', '.join(base)})"))
     found = found.withColumn("__more", F.expr(f"array_sort({more}, {order})"))
