@@ -142,6 +142,21 @@ def chunk_preview(spark: SparkSession, sf: str) -> DataFrame:
     return ascii_only.select("id", T.preview(F.col("text")).alias("preview"))
 
 
+@_register(
+    "chunk_preview_all",
+    _files(
+        f""", k AS (SELECT id, text, coalesce(strlen(text) > {len(T.PREVIEW_MARK.encode()) + T.PREVIEW_BYTES}, false) AS cut FROM files),
+    c AS (SELECT id, unnest(string_split(left(text, {T.PREVIEW_BYTES}), '')) AS ch, generate_subscripts(string_split(left(text, {T.PREVIEW_BYTES}), ''), 1) AS i FROM k WHERE cut),
+    u AS (SELECT id, ch, i, sum(strlen(ch)) OVER (PARTITION BY id ORDER BY i) AS upto FROM c),
+    s AS (SELECT id, string_agg(ch, '' ORDER BY i) AS head FROM u WHERE upto <= {T.PREVIEW_BYTES} GROUP BY id)
+    SELECT id, CASE WHEN cut THEN regexp_replace(head, '\\s+$', '') || chr(10) || '{T.PREVIEW_MARK[1:]}' ELSE text END AS preview FROM k LEFT JOIN s USING (id)"""
+    ),
+)
+def chunk_preview_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``chunk_preview`` of all files, whatever their characters."""
+    return b.files(spark, sf).select("id", T.preview(F.col("text")).alias("preview"))
+
+
 @_register(
     "directory_chain",
     _files(

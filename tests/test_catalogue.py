@@ -36,6 +36,21 @@ def test_query_equals_oracle(spark, oracle, name):
     assert got == want
 
 
+def test_previews_of_all_files_cut_at_bytes(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.id: r.preview for r in catalogue.QUERIES["chunk_preview_all"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    mark, cut = catalogue.T.PREVIEW_MARK, 0
+    for i, text in texts.items():
+        raw = (text or "").encode()
+        if len(raw) <= catalogue.T.PREVIEW_BYTES + len(mark.encode()):
+            assert got[i] == text
+        else:
+            cut += len(raw) != len(text)
+            assert got[i] == raw[: catalogue.T.PREVIEW_BYTES].decode(errors="ignore").rstrip(" \t\n\v\f\r") + mark
+    assert cut > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
