@@ -6,9 +6,9 @@
    counts as ``EVIDENCE_LETTERS`` letters, so that memberships stay soft.
 3. Documents get rates: nonnegative numbers near 1 for which the expected tokens of each domain,
    sum(tokens * rate * posterior), meet the targets. They minimise half the squared residual of the
-   domain shares, each divided by the domain's own share so that scarce domains converge as fast as
-   common ones, plus a small pull towards 1, by accelerated projected gradient until the targets are
-   met. The step is scaled by each document's tokens, so a rate depends on the posterior alone, and
+   domain shares plus a small pull towards 1, by accelerated projected gradient. Where that misses a
+   target, it starts anew with each residual divided by the domain's own share, so that scarce domains
+   converge as fast as common ones, until the targets are met. The step is scaled by each document's tokens, so a rate depends on the posterior alone, and
    posteriors are rounded
    to ``POSTERIOR_STEP``: the iterations run over a checkpointed table of distinct posteriors with
    their tokens. Every iteration is one aggregation of as many numbers as there are domains.
@@ -33,8 +33,9 @@ LETTERS = ("e", "n", "a", "o", "u", "h", "w", "k", "z", "q", "c", "t")
 EVIDENCE_LETTERS = 24.0
 POSTERIOR_STEP = 0.01
 PULL = 1e-4
-#: Far more than it takes; a mix that has not met its targets by then is warned about.
-ITERATIONS = 400
+ITERATIONS = 40
+#: Iterations with scaled residuals, where the others miss; a mix that has not met its targets by then is warned about.
+SCALED_ITERATIONS = 400
 #: Largest residual of a domain's share that counts as met.
 TOLERANCE = 1e-4
 
@@ -141,22 +142,25 @@ def fit(rows: DataFrame, domains: list[str], bias: list[float], weights: list[li
     size = budget if budget is not None else max(s / t for s, t in zip(shares, targets, strict=True) if t > 0)
     wanted = [size * t for t in targets]
     matrix = [[sums[f"m{min(i, j)}_{max(i, j)}"] / total for j in range(width)] for i in range(width)]
-    scale = [1 / s if s > 0 else 0.0 for s in shares]
-    largest = max(sum(abs(x) for x in row) * f for row, f in zip(matrix, scale, strict=True))  # bounds the largest eigenvalue
-    mixture = Mixture(domains, bias, weights, 1 / (largest + PULL), [], [], shares)
-    t = 1.0
-    for _ in range(ITERATIONS):
-        point = cells.withColumn("__y", rate(mixture, "__p", at_momentum=True))
-        reached = point.agg(*[F.sum(F.col("n") * F.col("__y") * F.col("__p")[i]).alias(f"s{i}") for i in range(width)]).first()
-        residual = [reached[f"s{i}"] / total - w for i, w in enumerate(wanted)]
-        mixture.shares = [r + w for r, w in zip(residual, wanted, strict=True)]
-        # a domain without tokens cannot be reached by any rates
-        if max(abs(r) for r, s in zip(residual, shares, strict=True) if s > 0) < TOLERANCE:
+    for scale, most in (([1.0] * width, ITERATIONS), ([1 / s if s > 0 else 0.0 for s in shares], SCALED_ITERATIONS)):
+        largest = max(sum(abs(x) for x in row) * f for row, f in zip(matrix, scale, strict=True))  # bounds the largest eigenvalue
+        mixture = Mixture(domains, bias, weights, 1 / (largest + PULL), [], [], shares)
+        t = 1.0
+        for _ in range(most):
+            point = cells.withColumn("__y", rate(mixture, "__p", at_momentum=True))
+            reached = point.agg(*[F.sum(F.col("n") * F.col("__y") * F.col("__p")[i]).alias(f"s{i}") for i in range(width)]).first()
+            residual = [reached[f"s{i}"] / total - w for i, w in enumerate(wanted)]
+            mixture.shares = [r + w for r, w in zip(residual, wanted, strict=True)]
+            # a domain without tokens cannot be reached by any rates
+            met = max(abs(r) for r, s in zip(residual, shares, strict=True) if s > 0) < TOLERANCE
+            if met:
+                break
+            further = (1 + math.sqrt(1 + 4 * t * t)) / 2
+            mixture.residuals.append([r * f for r, f in zip(residual, scale, strict=True)])
+            mixture.momentum.append((t - 1) / further)
+            t = further
+        if met:
             break
-        further = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        mixture.residuals.append([r * f for r, f in zip(residual, scale, strict=True)])
-        mixture.momentum.append((t - 1) / further)
-        t = further
     missed = {d: r for d, r in zip(domains, residual, strict=True) if abs(r) >= TOLERANCE}
     if missed:
         warnings.warn(f"target shares not met, residuals {missed}", RuntimeWarning, stacklevel=2)
