@@ -97,30 +97,6 @@ def test_license_suppression():
     assert [d[2] for d in found] == ["gpl-3.0-or-later"]
 
 
-def test_mixing_meets_the_target_of_a_scarce_domain(spark):
-    domains, shares, targets = ["a", "b", "c", "d"], [0.92, 0.05, 0.025, 0.005], [0.4, 0.2, 0.2, 0.2]
-    rows = [(round(s * 100_000), [0.9 if i == k else 0.1 / 3 for i in range(4)]) for k, s in enumerate(shares)]
-    df = spark.createDataFrame(rows, "__tokens bigint, __p array<double>")
-    mixture = mixing.fit(df, domains, [], [], targets, 1.0)
-    assert mixture.shares == pytest.approx(targets, abs=mixing.TOLERANCE)
-    tokens = [r["n"] for r in df.select((mixing.rate(mixture, "__p") * mixing.F.col("__tokens")).alias("n")).collect()]
-    reached = [sum(n * p[k] for n, (_, p) in zip(tokens, rows, strict=True)) / 100_000 for k in range(4)]
-    assert reached == pytest.approx(targets, abs=0.002)
-
-
-def brute_pii(text):
-    out = []
-    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-    for kind, p in patterns.items():
-        for m in re.finditer(p, text):
-            digits = re.sub("[^0-9]", "", m[0])
-            luhn = sum((2 * d - 9 * (d > 4)) if i % 2 else d for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
-            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(digits) <= 19 and luhn, "phone": 8 <= len(digits) <= 15}
-            if ok[kind]:
-                out.append(f"{kind}:{m.start()}:{m.end()}")
-    return out
-
-
 def test_pii_reports_single_valid_spans(spark):
     valid = {
         "secret": "token=abcdef0123456789abcd",
