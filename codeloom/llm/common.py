@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,6 +43,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Parquet tables of one run of an operator, in a folder of their own below the shared checkpoint folder.
+
+    A written table cuts the lineage like a checkpoint, survives lost executors and is read column by
+    column. Tables that nothing reads any more can be dropped; the others stay for the caller's plan.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder = spark, f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` under a new name and return the table."""
+        df.write.parquet(f"{self.folder}/{name}")
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark's cleaner drops shuffles and broadcasts of finished steps.
+
+    Without it they lie on the executors' disks until the driver's heap happens to fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows in an Arrow batch: some megabytes of text, where Spark's 10,000 rows could be gigabytes.
 BATCH_ROWS = 500
 

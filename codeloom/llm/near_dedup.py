@@ -2,21 +2,20 @@
 
 1. Every text is hashed once into its word sequence (the node that equal texts share), the size of
    its set of five-word shingles and 32 band hashes of a densified one-permutation sketch.
-2. Bands form buckets. A bucket yields a star: its least node paired with each other member, so
-   pairs grow with the members, not with their square.
-3. Nodes of buckets with three or more members may link past the centre. They are sketched again,
-   from their full sets, into 256 bands of 16 values: such buckets hold hardly more than true
-   neighbours, and are turned into stars as well. A pair at the threshold shares none of 32 bands
-   of four with a probability of 6e-11, and none of 256 bands of 16 with one of 3e-9.
+2. Bands form buckets. The two members of a bucket of two are candidates. Members of larger buckets
+   are sketched again, from their full sets, into 128 bands of 12 values: such buckets hold hardly
+   more than true neighbours. A pair at the threshold shares none of 32 bands of four with a
+   probability of 6e-11, and none of 128 bands of 12 with one of 3e-9.
+3. A fine bucket yields a star: its centre paired with each other member, so pairs grow with the
+   members, not with their square. The centre is the member that meets most others over all its
+   buckets, such as the original among its edited copies.
 4. Candidates are confirmed by an exact count over full sets; components of the confirmed links come
    from repeated joins with minimum labels.
-5. A star misses links between two other members. As long as a fine bucket holds members of several
-   components, it gets further centres, at first those whose tests linked most often (an original
-   links to all its edited copies), then every member outside the bucket's largest component. In the
-   end each two members of a fine bucket are tested or in the same component.
+5. A star misses links between two other members. Where a fine bucket holds members of several
+   components, every member outside the largest one is tested with the members of all other
+   components, so that in the end each two members of a fine bucket are tested or connected.
 
-Nodes are 64-bit hashes of word sequences. Sets, pairs and links stay in DataFrames; what later
-steps read more than once is checkpointed in the shared folder.
+Nodes are 64-bit hashes of word sequences. Sets, pairs and links stay in tables of the shared folder.
 """
 
 from __future__ import annotations
@@ -26,22 +25,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import sketch as sk
-from codeloom.llm.common import checkpoint, kept_rows, map_arrow, replace_columns, table
+from codeloom.llm.common import Scratch, kept_rows, map_arrow, replace_columns, table
 
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-#: Buckets of so many members are refined by the second sketch.
-CROWDED = 3
-#: Rounds of one further centre a bucket; the round after them tests whatever is still open.
-CENTRE_ROUNDS = 2
-#: Nodes of a round up to this number are broadcast to pick their full sets.
-BROADCAST_NODES = 50_000
-#: Components that a round's links join are merged on the driver up to this number of pairs.
-DRIVER_PAIRS = 20_000
 
 OUTPUTS = ["n_shingles", "component_id", "kept"]
 
@@ -57,211 +48,166 @@ def _arrow_lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, node, n_shingles, bands."""
+    """row, doc_id, text -> row, doc_id, node, n_shingles, bands."""
     hasher = sk.Hasher()
     empty = np.empty(0, np.uint64)
     for batch in batches:
         nodes, sizes, bands = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             own = sk.words(text)
             shingles = hasher.shingles(own)
             nodes.append(_node(own) if own else None)
             sizes.append(len(shingles))
             bands.append(sk.sketch(shingles) if own else empty)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _arrow_lists(bands)],
-            names=["doc_id", "node", "n_shingles", "bands"],
+            [*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _arrow_lists(bands)],
+            names=["row", "doc_id", "node", "n_shingles", "bands"],
         )
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, crowded, text -> node, crowded, shingles; rows of another text with that id are left out."""
+    """node, crowded, text -> node, crowded, shingles."""
     hasher = sk.Hasher()
     for batch in batches:
-        nodes, crowded, sets = [], [], []
-        for node, flag, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = sk.words(text)
-            if own and _node(own) == node:
-                nodes.append(node)
-                crowded.append(flag)
-                sets.append(hasher.shingles(own))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(crowded, pa.bool_()), _arrow_lists(sets)],
-            names=["node", "crowded", "shingles"],
-        )
+        sets = [hasher.shingles(sk.words(text)) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], _arrow_lists(sets)], names=["node", "crowded", "shingles"])
 
 
 def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, shingles -> node, fine bands."""
+    """node, shingles -> node, size, fine bands."""
     for batch in batches:
         column = batch.column(1)
         flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        edges = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        edges = np.concatenate(([0], np.cumsum(sizes)))
         rows = [sk.fine_sketch(flat[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_lists(rows)], names=["node", "bands"])
-
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), _arrow_lists(rows)], names=["node", "size", "bands"])
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """node, bands -> bucket, node, centre, members: the members of buckets with two or more of them."""
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    centres = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members"))
-    return rows.join(centres.where("members > 1"), "bucket").select("bucket", "node", "centre", "members")
 
-
-def _components(links: DataFrame) -> DataFrame:
+def _components(scratch: Scratch, name: str, links: DataFrame) -> DataFrame:
     """a, b -> node, root: the least node that can be reached, for every node with a link."""
-    both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = scratch.put(f"{name}-edges", both)
+    labels = scratch.put(f"{name}-0", both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    turn = 0
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         hopped = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         # a label is a node too: take over the label that it has by now
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = checkpoint(hopped.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root")))
+        turn += 1
+        new = scratch.put(f"{name}-{turn}", hopped.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root")))
         changed = new.where("old <> root").limit(1).count()
+        scratch.drop(f"{name}-{turn - 1}")
         labels = new.select("node", "root")
         if not changed:
+            scratch.drop(f"{name}-edges")
             return labels
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` (node, root) after further links (a, b)."""
-    of_a, of_b = roots.toDF("a", "ra").hint("merge"), roots.toDF("b", "rb").hint("merge")
-    joined = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    joined = checkpoint(joined.where("a <> b").distinct())
-    if joined.count() > DRIVER_PAIRS:
-        moved = _components(joined)
-    else:
-        least: dict[int, int] = {}
+def _similar_sizes(a: str, b: str) -> Column:
+    """A set much larger than the other cannot meet the threshold."""
+    return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
-        def find(x: int) -> int:
-            while (up := least.setdefault(x, x)) != x:
-                least[x] = x = least[up]
-            return x
 
-        for a, b in joined.collect():
-            a, b = find(a), find(b)
-            least[max(a, b)] = min(a, b)
-        moved = roots.sparkSession.createDataFrame([(x, find(x)) for x in list(least)], "node bigint, root bigint")
-    known = roots.join(moved.toDF("root", "to").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return checkpoint(known.unionByName(moved.join(roots.hint("merge"), "node", "left_anti")))
+def _pairs(rows: DataFrame) -> DataFrame:
+    """node, size, other, other_size -> a, na, b, nb with a < b, each pair of similar sizes once."""
+    ends = (F.struct(F.col("node").alias("n"), F.col("size").alias("s")), F.struct(F.col("other").alias("n"), F.col("other_size").alias("s")))
+    near = rows.where(_similar_sizes("size", "other_size") & (F.col("node") != F.col("other")))
+    low, high = F.least(*ends), F.greatest(*ends)
+    return near.select(low["n"].alias("a"), low["s"].alias("na"), high["n"].alias("b"), high["s"].alias("nb")).distinct()
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """node, centre -> node: both ends of every pair."""
-    return pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node")))
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, na, b, nb -> a, b: the pairs whose full sets meet the threshold."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(100 * shared >= THRESHOLD * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+
+
+def _stars(scratch: Scratch, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of fine buckets (bucket, node, size, members), and the pairs of their stars."""
+    fine = map_arrow(sets.where("crowded").select("node", "shingles"), _fine_bands, "node bigint, size bigint, bands array<bigint>")
+    fine = scratch.put("fine", fine.select("node", "size", F.explode("bands").alias("bucket")))
+    shared = fine.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = scratch.put("buckets", fine.join(shared, "bucket"))
+    scratch.drop("fine")
+    met = buckets.groupBy("node").agg(F.sum("members").alias("met"))
+    # one number orders by meetings, then by node
+    ranked = buckets.join(met, "node").withColumn("rank", F.shiftleft("met", 20) + F.pmod("node", F.lit(1 << 20)))
+    centres = ranked.groupBy("bucket").agg(F.max_by("node", "rank").alias("other"), F.max_by("size", "rank").alias("other_size"))
+    return buckets, buckets.join(centres, "bucket")
+
 
+def _open_pairs(scratch: Scratch, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of members of a bucket that lie in different components, the bucket's largest one at most once."""
+    labelled = buckets.where("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rows = scratch.put("open", labelled.join(several, "bucket").select("bucket", "node", "size", "root", "main"))
+    odd = rows.where("root <> main").select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("own"))
+    return _pairs(rows.join(odd, "bucket").where("root <> own"))
 
-def _close(left: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, root of the links, after every two members of a bucket were tested or are in one component.
 
-    ``left`` has the members of buckets (bucket, node) but the centres, ``tested`` the pairs of the
-    stars (node, centre). A centre is tested with all members of other components and leaves its bucket.
+def components(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text -> row, doc_id, n_shingles, component_id, kept; one row for each row.
+
+    ``row`` is unique. ``docs`` must be a stable scan, such as a Parquet table: it is read twice.
     """
-    links = checkpoint(confirmed(tested, sets))
-    turn, found, roots = 0, True, _components(links)
-    while True:
-        labelled = left.join(roots.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
-        several = parts.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        rows = checkpoint(labelled.join(several.select("bucket", "main").hint("merge"), "bucket"))
-        last = turn == CENTRE_ROUNDS or not found
-        if last:
-            centres = rows.where("root <> main").select("bucket", F.col("node").alias("centre"), F.col("root").alias("own"))
-        else:
-            tests = _ends(tested).groupBy("node").agg(F.count(F.lit(1)).alias("tests"))
-            hits = _ends(links.select(F.col("a").alias("node"), F.col("b").alias("centre"))).groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
-            rates = tests.join(hits.hint("merge"), "node", "left").select("node", ((F.coalesce("hits", F.lit(0)) + 1) / (F.col("tests") + 2)).alias("rate"))
-            best = rows.join(rates.hint("merge"), "node").groupBy("bucket").agg(F.max_by(F.struct("node", "root"), F.struct("rate", "node")).alias("best"))
-            centres = checkpoint(best.select("bucket", F.col("best.node").alias("centre"), F.col("best.root").alias("own")))
-        pairs = rows.join(centres.hint("merge"), "bucket").where("root <> own").select(F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre"))
-        pairs = checkpoint(pairs.distinct().join(tested.hint("merge"), ["node", "centre"], "left_anti"))
-        wanted = checkpoint(_ends(pairs).distinct())
-        n = wanted.count()
-        if n:
-            own = sets.join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "node", "left_semi")
-            new = checkpoint(confirmed(pairs, own))
-            found = new.limit(1).count() > 0
-            if found:
-                links = links.unionByName(new)
-                roots = _merged(roots, new)
-        elif not last:
-            found = False
-        if last:
-            return roots
-        left = rows.select("bucket", "node").join(centres.select("bucket", F.col("centre").alias("node")).hint("merge"), ["bucket", "node"], "left_anti")
-        tested = tested.unionByName(pairs)
-        turn += 1
+    scratch = Scratch(docs.sparkSession)
+    schema = "row bigint, doc_id bigint, node bigint, n_shingles bigint, bands array<bigint>"
+    sketches = scratch.put("sketches", map_arrow(docs.select("row", "doc_id", "text"), _sketches, schema))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes = sketches.where("node is not null").groupBy("node")
+    nodes = scratch.put("nodes", nodes.agg(first, F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")))
+
+    rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("other"), F.min_by("size", "node").alias("other_size"), F.count(F.lit(1)).alias("members"))
+    members = scratch.put("members", rows.join(shared.where("members > 1"), "bucket").drop("bucket"))
+    wanted = members.groupBy("node").agg((F.max("members") > 2).alias("crowded")).join(nodes.select("node", F.col("first.row").alias("row")), "node")
+    texts = docs.select("row", "text").join(wanted, "row").select("node", "crowded", "text")
+    sets = scratch.put("sets", map_arrow(texts, _full_sets, "node bigint, crowded boolean, shingles array<bigint>"))
+
+    buckets, stars = _stars(scratch, sets)
+    pairs = scratch.put("pairs", _pairs(members.where("members = 2").drop("members").unionByName(stars.select("node", "size", "other", "other_size"))))
+    scratch.drop("members")
+    links = scratch.put("links", confirmed(pairs, sets))
+    roots = _components(scratch, "roots", links)
+    open_pairs = scratch.put("open-pairs", _open_pairs(scratch, buckets, roots).join(pairs, ["a", "na", "b", "nb"], "left_anti"))
+    scratch.drop("open", "buckets", "pairs")
+    further = scratch.put("further", confirmed(open_pairs, sets))
+    scratch.drop("open-pairs", "sets")
+    if further.limit(1).count():
+        roots = _components(scratch, "all-roots", links.unionByName(further))
+
+    least = roots.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("best"))
+    linked = roots.join(least, "root").select("node", "best")
+    # only nodes with copies or links differ from their document
+    told = nodes.where("copies > 1").select("node", "first").join(linked, "node", "full")
+    told = scratch.put("told", told.select("node", F.coalesce("best", "first").alias("best")))
+    scratch.drop("nodes", "links", "further")
+    out = sketches.select("row", "doc_id", "node", "n_shingles").join(told, "node", "left")
+    component = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull() & F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with n_shingles, component_id and kept.
 
     A text without words has no shingles, links with nothing and is kept. component_id is the least
-    id among the documents that can be reached over links, kept says whether it is the row's own.
-    Rows without an id get the component of their text; they are kept only if it has no id at all.
-    Rows that repeat id and text are one document. Input columns named like an output are replaced.
-    ``docs`` must be a stable scan, such as a Parquet table, because it is read more than once.
+    id among the documents that can be reached over links, kept says whether it is the row's own, so
+    rows that share that id are all kept. Rows without an id belong to the component of their text;
+    only in a component without any id one of them is kept. Input columns named like an output are
+    replaced. ``docs`` must be a stable scan, such as a Parquet table, because it is read more than
+    once and its rows are told apart by their place in the scan.
     """
     docs = replace_columns(docs, OUTPUTS)
-    found = components(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    own = found.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), *OUTPUTS).dropDuplicates(["__id", "__node"])
-    # rows are told apart by id; texts that share an id by their node
-    if docs.where(F.col(id_col).isNull()).limit(1).count() or found.groupBy("doc_id").agg(F.countDistinct("node").alias("n")).where("n > 1").limit(1).count():
-        nodes = F.udf(lambda t: _node(own) if (own := sk.words(t)) else None, "bigint")
-        keyed = docs.withColumn("__key", nodes(F.col(text_col).cast("string")))
-        match = keyed[id_col].cast("bigint").eqNullSafe(own["__id"]) & keyed["__key"].eqNullSafe(own["__node"])
-        return keyed.join(own, match).select(*[keyed[c] for c in docs.columns], *OUTPUTS)
-    own = own.dropDuplicates(["__id"])
-    return docs.join(own, docs[id_col].cast("bigint") == own["__id"]).select(*[docs[c] for c in docs.columns], *OUTPUTS)
-
-
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, node, n_shingles, component_id, kept; one row for each row."""
-    schema = "doc_id bigint, node bigint, n_shingles bigint, bands array<bigint>"
-    sketches = checkpoint(map_arrow(docs.select("doc_id", "text"), _sketches, schema))
-    nodes = checkpoint(
-        sketches.where("node is not null")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    )
-    members = checkpoint(_buckets(nodes.select("node", "bands")).select("node", "centre", "members"))
-    crowded = members.groupBy("node").agg((F.max("members") >= CROWDED).alias("crowded"))
-    wanted = crowded.join(nodes.select("node", "first_id"), "node")
-    texts = docs.select(F.col("doc_id").alias("first_id"), "text").join(wanted, "first_id")
-    sets = checkpoint(map_arrow(texts.select("node", "crowded", "text"), _full_sets, "node bigint, crowded boolean, shingles array<bigint>").dropDuplicates(["node"]))
-
-    fine = map_arrow(sets.where("crowded").select("node", "shingles"), _fine_bands, "node bigint, bands array<bigint>")
-    fine = checkpoint(_buckets(fine).where("node <> centre"))
-    pairs = checkpoint(members.select("node", "centre").where("node <> centre").unionByName(fine.select("node", "centre")).distinct())
-    roots = _close(fine.where("members > 2").select("bucket", "node"), pairs, sets)
-    least = roots.join(nodes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component"))
-    linked = roots.join(least, "root").select("node", "component")
-    # only nodes with copies or links differ from their document
-    told = nodes.where("copies > 1").select("node", "first_id").join(linked, "node", "full")
-    told = told.select("node", F.coalesce("component", "first_id").alias("component"))
-    out = sketches.select("doc_id", "node", "n_shingles").join(told, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return out.withColumn("component_id", component).select(
-        "doc_id", "node", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
-    )
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, centre -> a, b: the pairs whose full sets meet the threshold."""
-    size = F.size("shingles").alias("size")
-    sizes = sets.select("node", size)
-    # a set much larger than the other cannot meet it, so such pairs need no sets
-    near = (
-        pairs.join(sizes.withColumnRenamed("size", "na"), "node")
-        .join(sizes.select(F.col("node").alias("centre"), F.col("size").alias("nb")), "centre")
-        .where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
-    )
-    both = near.join(sets.select("node", F.col("shingles").alias("sa")), "node").join(
-        sets.select(F.col("node").alias("centre"), F.col("shingles").alias("sb")), "centre"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= THRESHOLD * (F.col("na") + F.col("nb") - shared)).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = components(keyed.select(F.col("__row").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    return keyed.join(found.select(F.col("row").alias("__row"), *OUTPUTS), "__row").select(*docs.columns, *OUTPUTS)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +217,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component."""
-    return components(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *OUTPUTS)
+    docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return components(docs).select("doc_id", *OUTPUTS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_near_dedup": op9_near_dedup}

@@ -94,24 +94,25 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 #: The second sketch: many bands of many values, for nodes in crowded buckets.
-FINE_BANDS = 256
-FINE_ROWS = 16
-_FINE_BINS = 4096
+FINE_BANDS = 128
+FINE_ROWS = 12
+_FINE_BINS = 2048
 #: A detour visits every bin: the odd step of each start, modulo a power of two.
 _FINE_STEPS = (mix(np.arange(1, _FINE_BINS + 1, dtype=np.uint64) * _MIX_1) | np.uint64(1)).astype(np.int64) % _FINE_BINS
 
 
 def fine_sketch(shingles: np.ndarray) -> np.ndarray:
-    """One hash for each fine band of a non-empty set, from a sketch of 4096 densified bins."""
+    """One hash for each fine band of a non-empty set, from the first bins of a densified sketch of 2048."""
     again = np.sort(mix(shingles ^ np.uint64(_STEP)))
-    place = (again >> np.uint64(52)).astype(np.int64)
+    place = (again >> np.uint64(53)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     full = np.zeros(_FINE_BINS, bool)
     values = np.zeros(_FINE_BINS, np.uint64)
     full[place[first]] = True
     values[place[first]] = again[first]
-    origin = np.where(full, np.arange(_FINE_BINS), -1)
-    open_ = np.flatnonzero(~full)
+    used = FINE_BANDS * FINE_ROWS
+    origin = np.where(full[:used], np.arange(used), -1)
+    open_ = np.flatnonzero(~full[:used])
     at = open_.copy()
     while len(open_):
         at = (at + _FINE_STEPS[open_]) % _FINE_BINS

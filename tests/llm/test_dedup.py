@@ -84,7 +84,7 @@ def family(seed, members, words, edits):
 def test_near_matches_brute_force(spark):
     texts = family(1, 60, 120, 6) + family(2, 30, 300, 20) + family(3, 15, 12, 1) + ["", None, " \n ", "one", "ONE", "two words", "a b c d", "A  b\tc d", "a b c d e", "a\xa0b c d e f"]
     rows = list(enumerate(texts, 1))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.annotate(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute_components(rows)
 
 
@@ -98,7 +98,7 @@ def test_near_links_edited_copies_only_by_their_original(spark):
             own[place] = f"e{random.randrange(10**9)}"
         texts.append(" ".join(own))
     rows = list(enumerate(texts, 1))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.annotate(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute_components(rows)
     assert {c for _, c in got.values()} == {1}
 
@@ -117,6 +117,27 @@ def test_near_with_null_and_repeated_ids(spark):
     assert out == sorted([(0, "a b c d e", 3, False), (3, "a b c d e", 3, True), (0, "z", None, True), (4, "q r s", 4, True), (4, "other text here", 4, True), (5, "Q r s", 4, False)], key=str)
 
 
+def test_near_copies_without_ids_are_linked(spark):
+    texts = family(6, 4, 200, 1)
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (None, "alone " * 3), (None, "alone alone alone"), (8, "x" * 300_000)]
+    out = near_dedup.annotate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == [(0, 0, False), (0, 0, True), (0, 7, False), (0, 7, False), (7, 7, True), (8, 8, True)]
+
+
+def test_near_tests_members_beyond_the_star(spark):
+    """A chain of edits in one bucket: each text links to its neighbours only."""
+    random.seed(9)
+    own = [f"w{i}" for i in range(200)]
+    texts = [" ".join(own)]
+    for i in range(40):
+        own[(i * 7) % 200] = f"e{i}"
+        own[(i * 7 + 90) % 200] = f"f{i}"
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts, 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.annotate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_components(rows) and {c for _, c in got.values()} == {1}
+
+
 def test_near_of_an_empty_table(spark):
     assert near_dedup.annotate(spark.createDataFrame([], SCHEMA)).collect() == []
 
