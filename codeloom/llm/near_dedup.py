@@ -11,9 +11,12 @@
    buckets, such as the original among its edited copies.
 4. Candidates are confirmed by an exact count over full sets; components of the confirmed links come
    from repeated joins with minimum labels.
-5. A star misses links between two other members. Where a fine bucket holds members of several
-   components, every member outside the largest one is tested with the members of all other
-   components, so that in the end each two members of a fine bucket are tested or connected.
+5. A star misses links between two other members. Let d(x) be the symmetric difference of x and the
+   centre. The difference of x and y is |d(x)| + |d(y)| - 2 |d(x) & d(y)|, so a member that doesn't
+   link to the centre can link to another only if their differences from the centre share elements,
+   and more than half of d(y) unless y is larger than the centre. Where a bucket holds members of
+   several components, these differences are joined by their rarest elements, as many as that bound
+   asks for. Pairs so found are confirmed like the others, and no other pair of a bucket can link.
 
 Nodes are 64-bit hashes of word sequences. Sets, pairs and links stay in tables of the shared folder.
 """
@@ -25,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import sketch as sk
@@ -127,8 +130,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= THRESHOLD * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def _stars(scratch: Scratch, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of fine buckets (bucket, node, size, members), and the pairs of their stars."""
+def _stars(scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """The members of fine buckets, each with its bucket's centre: bucket, node, size, members, other, other_size."""
     fine = map_arrow(sets.where("crowded").select("node", "shingles"), _fine_bands, "node bigint, size bigint, bands array<bigint>")
     fine = scratch.put("fine", fine.select("node", "size", F.explode("bands").alias("bucket")))
     shared = fine.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -138,17 +141,38 @@ def _stars(scratch: Scratch, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one number orders by meetings, then by node
     ranked = buckets.join(met, "node").withColumn("rank", F.shiftleft("met", 20) + F.pmod("node", F.lit(1 << 20)))
     centres = ranked.groupBy("bucket").agg(F.max_by("node", "rank").alias("other"), F.max_by("size", "rank").alias("other_size"))
-    return buckets, buckets.join(centres, "bucket")
-
-
-def _open_pairs(scratch: Scratch, buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that lie in different components, the bucket's largest one at most once."""
-    labelled = buckets.where("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    several = parts.groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rows = scratch.put("open", labelled.join(several, "bucket").select("bucket", "node", "size", "root", "main"))
-    odd = rows.where("root <> main").select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("own"))
-    return _pairs(rows.join(odd, "bucket").where("root <> own"))
+    stars = scratch.put("stars", buckets.join(centres, "bucket"))
+    scratch.drop("buckets")
+    return stars
+
+
+def _open_pairs(scratch: Scratch, stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members of a bucket in different components that may link, by their differences from its centre."""
+    named = stars.where("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    members = named.join(several, "bucket", "left_semi").select("node", "size", "root", "other", "other_size").distinct()
+    # one end at least of an open pair lies outside the centre's component: that one asks
+    of_centre = roots.select(F.col("node").alias("other"), F.col("root").alias("own"))
+    asks = (F.col("root") != F.coalesce("own", "other")).alias("asks")
+    members = members.where("node <> other").join(of_centre, "other", "left").select("node", "size", "root", "other", "other_size", asks)
+    both = members.join(sets.select("node", F.col("shingles").alias("s")), "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("c")), "other")
+    both = both.withColumn("delta", F.concat(F.array_except("s", "c"), F.array_except("c", "s"))).drop("s", "c")
+    deltas = scratch.put("deltas", both.select("*", F.size("delta").alias("d"), F.explode("delta").alias("e")).drop("delta"))
+
+    common = deltas.groupBy("other", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = Window.partitionBy("other", "node")
+    # elements that no other difference has come first, so they needn't be listed to count places
+    place = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "e"))
+    a, b = 100 + THRESHOLD, 100 - THRESHOLD
+    # the elements shared with any partner that doesn't link to the centre, and with any partner at all
+    least_told = F.floor((a * F.col("d") - b * (F.col("size") - F.col("other_size"))) / (2 * a)) + 1
+    least_asked = F.ceil((a * F.col("d") - b * (F.col("size") + F.col("other_size"))) / (2 * a))
+    ranked = deltas.join(common, ["other", "e"]).withColumn("place", place)
+    ranked = ranked.withColumns({"told": F.col("place") <= F.col("d") - least_told + 1, "asked": F.col("asks") & (F.col("place") <= F.col("d") - least_asked + 1)})
+    ranked = scratch.put("ranked", ranked.where("told or asked").select("other", "e", "node", "size", "root", "told", "asked"))
+    asked = ranked.where("asked").select("other", "e", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("root").alias("xr"))
+    met = asked.join(ranked.where("told"), ["other", "e"]).where((F.col("xr") != F.col("root")) & _similar_sizes("xs", "size"))
+    return _pairs(met.select("node", "size", F.col("x").alias("other"), F.col("xs").alias("other_size")))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -170,13 +194,13 @@ def components(docs: DataFrame) -> DataFrame:
     texts = docs.select("row", "text").join(wanted, "row").select("node", "crowded", "text")
     sets = scratch.put("sets", map_arrow(texts, _full_sets, "node bigint, crowded boolean, shingles array<bigint>"))
 
-    buckets, stars = _stars(scratch, sets)
+    stars = _stars(scratch, sets)
     pairs = scratch.put("pairs", _pairs(members.where("members = 2").drop("members").unionByName(stars.select("node", "size", "other", "other_size"))))
     scratch.drop("members")
     links = scratch.put("links", confirmed(pairs, sets))
     roots = _components(scratch, "roots", links)
-    open_pairs = scratch.put("open-pairs", _open_pairs(scratch, buckets, roots).join(pairs, ["a", "na", "b", "nb"], "left_anti"))
-    scratch.drop("open", "buckets", "pairs")
+    open_pairs = scratch.put("open-pairs", _open_pairs(scratch, stars, roots, sets).join(pairs, ["a", "na", "b", "nb"], "left_anti"))
+    scratch.drop("deltas", "ranked", "stars", "pairs")
     further = scratch.put("further", confirmed(open_pairs, sets))
     scratch.drop("open-pairs", "sets")
     if further.limit(1).count():
