@@ -4,14 +4,18 @@
 2. A labelled table of texts with a domain gives naive Bayes letter frequencies, by one aggregation
    over all labelled rows; they predict every document's domain posteriors. The evidence of a text
    counts as ``EVIDENCE_LETTERS`` letters, so that memberships stay soft.
-3. Documents get rates: nonnegative numbers near 1 for which the expected tokens of each domain,
-   sum(tokens * rate * posterior), meet the targets. They minimise half the squared residual of the
-   domain shares plus a small pull towards 1, by accelerated projected gradient. The step is scaled
-   by each document's tokens, so a rate depends on the posterior alone, and posteriors are rounded
-   to ``POSTERIOR_STEP``: the iterations run over a checkpointed table of distinct posteriors with
-   their tokens. Every iteration is one aggregation of as many numbers as there are domains.
-
-A document's rate is the fold of the residuals over its posterior, so rates need no join.
+3. Documents get rates: nonnegative numbers, 1 at first, for which the expected tokens of each domain,
+   sum(tokens * rate * posterior), meet the targets. Projected gradient minimises the squared residual
+   of the domain shares, weighted by the inverse of the domains' Gram matrix over the rates that are
+   positive, so that scarce domains converge as fast as others: where no rate meets its bound, the
+   first step meets all targets. The
+   step is scaled by each document's tokens, so a rate depends on the posterior alone, and posteriors
+   are rounded to ``POSTERIOR_STEP``: iterations run over a stored table of distinct posteriors with
+   their tokens. Every iteration is one aggregation of as many numbers as there are domains, by the
+   same plan; it ends when all targets are met, when the residual no longer falls (targets that no
+   nonnegative rates meet) or after ``ITERATIONS``, and ``Mixture.met`` says which.
+
+A document's rate is the fold of the gradients over its posterior, so rates need no join.
 """
 
 from __future__ import annotations
@@ -23,16 +27,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpoint, replace_columns, table, text_or_empty
+from codeloom.llm.common import Scratch, replace_columns, table, text_or_empty
 
 #: Letters that are counted, besides characters beyond ASCII and all bytes.
 LETTERS = ("e", "n", "a", "o", "u", "h", "w", "k", "z", "q", "c", "t")
 EVIDENCE_LETTERS = 24.0
 POSTERIOR_STEP = 0.01
-PULL = 1e-4
-ITERATIONS = 40
+ITERATIONS = 200
 #: Largest residual of a domain's share that counts as met.
 TOLERANCE = 1e-4
+#: A mix without a budget is at most so many times larger than no domain's cut needs.
+LARGEST = 4.0
+#: An iteration that lowers the weighted residual by a smaller share than this is the last one.
+PROGRESS = 1e-4
 
 #: Target shares of tokens by language, and the share of the corpus that the mix amounts to.
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
@@ -40,15 +47,16 @@ TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 
 @dataclass
 class Mixture:
-    """Naive Bayes weights and the residuals of the iterations."""
+    """Naive Bayes weights and the weighted residuals of the iterations."""
 
     domains: list[str]
     bias: list[float]  # log prior of each domain
     weights: list[list[float]]  # log frequency by domain and feature
-    step: float
-    momentum: list[float]
-    residuals: list[list[float]]  # by iteration and domain
+    gradients: list[list[float]]  # by iteration and domain
     shares: list[float]  # reached shares of the corpus's tokens
+    wanted: list[float]
+    met: bool  # whether every share is within TOLERANCE
+    least: float = 0.0  # no rate is below this
 
 
 def _count(text: Column, letter: str) -> Column:
@@ -105,55 +113,100 @@ def posteriors(bias: list[float], weights: list[list[float]]) -> Column:
     return F.array(*[x / whole for x in rounded])
 
 
-def rate(mixture: Mixture, posterior: str, at_momentum: bool = False) -> Column:
-    """The rate of a row after all iterations, or the point where the next residual is taken."""
-    state = "named_struct('w', 1D, 'y', 1D)"
-    steps = ", ".join(
-        f"named_struct('m', {m!r}D, 'r', array({', '.join(f'{x!r}D' for x in r)}))"
-        for m, r in zip(mixture.momentum, mixture.residuals, strict=False)
-    )
-    pull = " + ".join(f"element_at(`{posterior}`, {k + 1}) * s.r[{k}]" for k in range(len(mixture.domains)))
-    moved = f"greatest(0D, a.y - {mixture.step!r}D * ({pull} + {PULL!r}D * (a.y - 1D)))"
-    out = "y" if at_momentum else "w"
-    if not steps:
+def rate(mixture: Mixture, posterior: str) -> Column:
+    """The rate of a row after all iterations."""
+    if not mixture.gradients:
         return F.lit(1.0)
-    return F.expr(
-        f"aggregate(array({steps}), {state}, (a, s) -> transform(array({moved}),"
-        f" w -> named_struct('w', w, 'y', w + s.m * (w - a.w)))[0], a -> a.{out})"
-    )
+    # folded into one literal, so the plan is the same whatever the gradients are
+    steps = F.array(*[F.array(*map(F.lit, g)) for g in mixture.gradients])
+
+    def step(w: Column, g: Column) -> Column:
+        for k in range(len(mixture.domains)):
+            w = w - F.col(posterior)[k] * g[k]
+        return F.greatest(F.lit(mixture.least), w)
+
+    return F.aggregate(steps, F.lit(1.0), step)
+
+
+def _inverse(matrix: list[list[float]]) -> list[list[float]]:
+    """Gauss-Jordan elimination with pivots, for as many rows as there are domains."""
+    n = len(matrix)
+    rows = [[*row, *(float(i == j) for j in range(n))] for i, row in enumerate(matrix)]
+    for i in range(n):
+        pivot = max(range(i, n), key=lambda k: abs(rows[k][i]))
+        rows[i], rows[pivot] = rows[pivot], rows[i]
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        for k in range(n):
+            if k != i:
+                rows[k] = [x - rows[k][i] * y for x, y in zip(rows[k], rows[i], strict=True)]
+    return [row[n:] for row in rows]
+
 
+def _times(matrix: list[list[float]], vector: list[float]) -> list[float]:
+    return [sum(m * x for m, x in zip(row, vector, strict=True)) for row in matrix]
 
-def fit(rows: DataFrame, domains: list[str], bias: list[float], weights: list[list[float]], targets: list[float], budget: float | None) -> Mixture:
-    """__tokens, __p -> the mixture. Without a budget the mix is as large as no domain's cut needs."""
+
+def fit(cells: DataFrame, domains: list[str], bias: list[float], weights: list[list[float]], targets: list[float], budget: float | None, least: float = 0.0) -> Mixture:
+    """__p, n -> the mixture. Without a budget the mix is as large as no domain's cut needs, or larger,
+    up to ``LARGEST`` times, where rates of ``least`` or more take that to meet the targets."""
     width = len(domains)
-    cells = checkpoint(rows.groupBy("__p").agg(F.sum("__tokens").alias("n")))
-    products = [F.sum(F.col("n") * F.col("__p")[i] * F.col("__p")[j]).alias(f"m{i}_{j}") for i in range(width) for j in range(i, width)]
-    own = [F.sum(F.col("n") * F.col("__p")[i]).alias(f"s{i}") for i in range(width)]
-    sums = cells.agg(F.sum("n").alias("total"), *own, *products).first()
-    total = float(sums["total"] or 0)
+    mixture = Mixture(domains, bias, weights, [], [0.0] * width, targets, False, least)
+
+    def reach() -> tuple[float, list[float], list[list[float]]]:
+        """All tokens, the shares of the domains, and the inverse Gram matrix of the cells above the least rate, at first of all."""
+        free = (F.col("__w") > least) | F.lit(not mixture.gradients)
+        point = cells.withColumn("__w", rate(mixture, "__p")).withColumn("__free", F.col("n") * free.cast("double"))
+        own = [F.sum(F.col("n") * F.col("__w") * F.col("__p")[i]).alias(f"s{i}") for i in range(width)]
+        gram = [F.sum(F.col("__free") * F.col("__p")[i] * F.col("__p")[j]).alias(f"m{i}_{j}") for i in range(width) for j in range(i, width)]
+        sums = point.agg(F.sum("n").alias("total"), *own, *gram).first()
+        total = float(sums["total"] or 0)
+        if not total:
+            return 0.0, [], []
+        # a small ridge keeps domains without tokens invertible
+        matrix = [[sums[f"m{min(i, j)}_{max(i, j)}"] / total + (1e-9 if i == j else 0.0) for j in range(width)] for i in range(width)]
+        return total, [sums[f"s{i}"] / total for i in range(width)], _inverse(matrix)
+
+    total, mixture.shares, metric = reach()
     if not total:
-        return Mixture(domains, bias, weights, 1.0, [], [], [0.0] * width)
-    shares = [sums[f"s{i}"] / total for i in range(width)]
-    size = budget if budget is not None else max(s / t for s, t in zip(shares, targets, strict=True) if t > 0)
-    wanted = [size * t for t in targets]
-    matrix = [[sums[f"m{min(i, j)}_{max(i, j)}"] / total for j in range(width)] for i in range(width)]
-    largest = max(sum(abs(x) for x in row) for row in matrix)  # bounds the largest eigenvalue
-    mixture = Mixture(domains, bias, weights, 1 / (largest + PULL), [], [], shares)
-    t = 1.0
-    for _ in range(ITERATIONS):
-        point = cells.withColumn("__y", rate(mixture, "__p", at_momentum=True))
-        reached = point.agg(*[F.sum(F.col("n") * F.col("__y") * F.col("__p")[i]).alias(f"s{i}") for i in range(width)]).first()
-        residual = [reached[f"s{i}"] / total - w for i, w in enumerate(wanted)]
-        mixture.shares = [r + w for r, w in zip(residual, wanted, strict=True)]
-        if max(map(abs, residual)) < TOLERANCE:
-            break
-        further = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        mixture.residuals.append(residual)
-        mixture.momentum.append((t - 1) / further)
-        t = further
+        mixture.shares = [0.0] * width
+        return mixture
+    if budget is None:
+        # the first step gives rates of size * p . pulls, so this is the least size at which none is too low
+        pulls = _times(metric, targets)
+        lowest = cells.agg(F.min(sum((F.col("__p")[k] * pulls[k] for k in range(1, width)), F.col("__p")[0] * pulls[0]))).first()[0]
+        size = max(s / t for s, t in zip(mixture.shares, targets, strict=True) if t > 0)
+        budget = max(size, min(least / lowest if lowest > 0 else math.inf, LARGEST * size))
+    mixture.wanted = [budget * t for t in targets]
+    _descend(mixture, metric, reach)
     return mixture
 
 
+def _descend(mixture: Mixture, metric: list[list[float]], reach: Callable[[], tuple[float, list[float], list[list[float]]]]) -> None:
+    """Add gradients to the mixture until its shares meet what is wanted or come no nearer."""
+    # The Gram matrix of all cells bounds the curvature, so a step of 1 by ``metric`` never raises the loss. That of
+    # the free cells fits better once rates meet their bound; where a step by it doesn't lower the loss, it is undone.
+    free, shares, undone = metric, mixture.shares, False
+    loss = math.inf
+    for _ in range(ITERATIONS):
+        residual = [s - w for s, w in zip(shares, mixture.wanted, strict=True)]
+        now = sum(g * r for g, r in zip(_times(metric, residual), residual, strict=True))
+        if now > loss * (1 - PROGRESS):
+            if undone or not mixture.gradients:
+                break
+            mixture.gradients.pop()
+            undone = True
+            residual = [s - w for s, w in zip(mixture.shares, mixture.wanted, strict=True)]
+        else:
+            loss, mixture.shares, undone = now, shares, False
+            mixture.met = max(map(abs, residual)) < TOLERANCE
+            if mixture.met:
+                break
+        mixture.gradients.append(_times(metric if undone else free, residual))
+        _, shares, free = reach()
+    else:
+        mixture.shares = shares
+
+
 def mix(
     docs: DataFrame,
     targets: dict[str, float],
@@ -163,19 +216,22 @@ def mix(
     text_col: str = "text",
     budget: float | None = 1.0,
     carry_text: bool = True,
+    least: float = 0.0,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with domain, n_tokens, posteriors (a map), rate and copies.
+    """All rows and columns of ``docs`` with domain, n_tokens, posteriors (a map), rate, copies and met.
 
     ``labelled`` has a text column and ``domain``; without it, ``docs`` is the labelled table by its
     ``domain_col``. Rows of other or null domains teach nothing. The mix has ``budget`` times the
-    tokens of the corpus; None makes it as large as it takes for no domain to be cut. copies rounds
+    tokens of the corpus; None makes it as large as it takes for no domain to be cut. No rate is below ``least``. copies rounds
     the rate up or down by a hash of the id, so its expectation is the rate; a null id rounds like
-    any other value, and rows that repeat an id get equal copies. A null or empty text has no tokens
+    any other value, and rows that repeat an id round by the same number. met says, alike in all
+    rows, whether the fitted rates meet every target. A null or empty text has no tokens
     and the prior as posterior. Targets are scaled to sum to 1. Ties of posteriors go to the domain
     first in the alphabet. Input columns named like an output are replaced. Without ``carry_text``
     the text is left out and read once only.
     """
-    outputs = ["domain", "n_tokens", "posteriors", "rate", "copies"]
+    outputs = ["domain", "n_tokens", "posteriors", "rate", "copies", "met"]
+    scratch = Scratch(docs.sparkSession)
     label = F.col(domain_col).cast("string") if labelled is None else F.lit(None).cast("string")
     source = docs.withColumn("__domain", label)
     docs = replace_columns(docs, outputs)
@@ -183,13 +239,18 @@ def mix(
     domains = sorted(targets)
     total = sum(targets.values())
     wanted = [targets[d] / total for d in domains]
-    columns = [] if carry_text else kept
-    known = checkpoint(counts(source.select(*columns, "__domain", text_col), text_col))
+    columns = [] if carry_text else [c for c in kept if c != "__domain"]
+    known = scratch.put("counts", counts(source.select(*columns, "__domain", text_col), text_col))
     taught = known.withColumnRenamed("__domain", "domain") if labelled is None else counts(labelled.select(text_col, "domain"), text_col)
     bias, weights = train(taught.select("domain", "__counts"), domains)
-    mixture = fit(known.select("__tokens", posteriors(bias, weights).alias("__p")), domains, bias, weights, wanted, budget)
+    posterior = posteriors(bias, weights)
+    cells = scratch.put("cells", known.select("__tokens", posterior.alias("__p")).groupBy("__p").agg(F.sum("__tokens").alias("n")))
+    mixture = fit(cells, domains, bias, weights, wanted, budget, least)
+    scratch.drop("cells")
+    if carry_text:
+        scratch.drop("counts")
     counted = known if not carry_text else counts(docs.withColumn("__kept", F.col(text_col)), text_col).withColumnRenamed("__kept", text_col)
-    scored = counted.withColumn("__p", posteriors(bias, weights))
+    scored = counted.withColumn("__p", posterior)
     names = F.array(*[F.lit(d) for d in domains])
     uniform = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return (
@@ -200,6 +261,7 @@ def mix(
                 "n_tokens": F.col("__tokens"),
                 "posteriors": F.map_from_arrays(names, F.col("__p")),
                 "copies": F.floor(F.col("rate") + uniform).cast("bigint"),
+                "met": F.lit(mixture.met),
             }
         )
         .select(*(docs.columns if carry_text else kept), *outputs)
@@ -212,7 +274,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     mixed = mix(docs, TARGETS, carry_text=False)
     shares = [F.element_at("posteriors", d).alias(f"p_{d}") for d in sorted(TARGETS)]
-    return mixed.select("doc_id", "domain", "n_tokens", *shares, "rate", "copies")
+    return mixed.select("doc_id", "domain", "n_tokens", *shares, "rate", "copies", "met")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mixing": op2_mixing}

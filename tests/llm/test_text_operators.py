@@ -262,23 +262,44 @@ def test_mixing_meets_targets(spark):
     assert (out.merge(docs.toPandas()[["doc_id", "lang"]], on="doc_id").eval("domain == lang")).mean() > 0.9
 
 
-def test_mixing_matches_the_closed_iteration(spark):
-    """The fold in SQL equals projected gradient steps in numpy."""
-    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
-    labelled = docs.selectExpr("text", "lang AS domain")
-    domains = sorted(mixing.TARGETS)
-    bias, weights = mixing.train(mixing.counts(labelled, "text"), domains)
-    rows = mixing.counts(docs.select("text"), "text").select("__tokens", mixing.posteriors(bias, weights).alias("__p"))
-    targets = [mixing.TARGETS[d] for d in domains]
-    mixture = mixing.fit(rows, domains, bias, weights, targets, 1.0)
-    data = rows.select("__tokens", "__p", mixing.rate(mixture, "__p").alias("w")).toPandas()
-    n, p = data["__tokens"].to_numpy(float), np.array(data["__p"].tolist())
-    w = y = np.ones(len(n))
-    for m in mixture.momentum:
-        r = (n * y) @ p / n.sum() - targets
-        new = np.maximum(0, y - mixture.step * (p @ r + mixing.PULL * (y - 1)))
-        w, y = new, new + m * (new - w)
-    assert np.abs(w - data["w"]).max() < 1e-6
+def cells_of(n, p):
+    """Distinct posteriors with their tokens, as ``mix`` makes them."""
+    out = {}
+    for tokens, row in zip(n, p, strict=True):
+        out[tuple(row)] = out.get(tuple(row), 0) + int(tokens)
+    return sorted(out.items())
+
+
+def test_mixing_matches_projected_gradient_in_numpy(spark):
+    """The fold in SQL equals projected gradient steps in numpy and meets targets that rates of 0 are needed for."""
+    rng = np.random.default_rng(2)
+    p = np.round(rng.dirichlet([0.3, 0.3, 0.3], 300) / 0.05) * 0.05
+    p = p / p.sum(1, keepdims=True)
+    n = rng.integers(1, 500, 300)
+    domains, targets = ["a", "b", "c"], [0.7, 0.05, 0.25]
+    cells = spark.createDataFrame([(list(map(float, k)), v) for k, v in cells_of(n, p)], "__p array<double>, n bigint").coalesce(1).cache()
+    mixture = mixing.fit(cells, domains, [], [], targets, 1.0)
+    rows = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(p)], "i int, __p array<double>")
+    got = np.array([r.w for r in rows.select("i", mixing.rate(mixture, "__p").alias("w")).orderBy("i").collect()])
+    w = np.ones(300)
+    for g in mixture.gradients:
+        w = np.maximum(0, w - p @ g)
+    assert np.abs(w - got).max() < 1e-6
+    assert mixture.met and len(mixture.gradients) < 30 and (got == 0).any()
+    assert np.abs((n * got) @ p / n.sum() - targets).max() < 1.01 * mixing.TOLERANCE
+
+
+def test_mixing_meets_targets_of_scarce_domains(spark):
+    """A domain of half a per cent of the tokens reaches a fifth of the mix; a domain without any cannot."""
+    soft = [[0.9, 0.05, 0.03, 0.02], [0.05, 0.9, 0.03, 0.02], [0.03, 0.04, 0.9, 0.03], [0.02, 0.04, 0.04, 0.9]]
+    cells = spark.createDataFrame(list(zip(soft, [92_000, 5_000, 2_500, 500], strict=True)), "__p array<double>, n bigint")
+    mixture = mixing.fit(cells, list("abcd"), [], [], [0.4, 0.2, 0.2, 0.2], 1.0)
+    assert mixture.met and max(abs(s - t) for s, t in zip(mixture.shares, mixture.wanted, strict=True)) < mixing.TOLERANCE
+    whole = mixing.fit(cells, list("abcd"), [], [], [0.4, 0.2, 0.2, 0.2], None, 1.0)
+    rates = [r.w for r in cells.select(mixing.rate(whole, "__p").alias("w")).collect()]
+    assert whole.met and min(rates) >= 1.0
+    missing = spark.createDataFrame([([1.0, 0.0], 10), ([0.5, 0.5], 0)], "__p array<double>, n bigint")
+    assert not mixing.fit(missing, ["a", "b"], [], [], [0.5, 0.5], 1.0).met
 
 
 def test_mixing_cases(spark):
@@ -288,6 +309,9 @@ def test_mixing_cases(spark):
     assert len(out) == 3 and all(r.rate >= 0 for r in out) and {r.text for r in out} == {None, "abc", "e" * 100_000}
     assert mixing.mix(docs.limit(0), {"a": 1, "b": 1}, labelled).collect() == []
     assert mixing.mix(docs, {"q": 1, "z": 2}, domain_col="rate", carry_text=False).count() == 3
+    repeated = spark.createDataFrame([(1, "eee"), (1, "nnn"), (1, "eee")], SCHEMA)
+    rows = sorted((r.text, r.rate, r.copies) for r in mixing.mix(repeated, {"a": 1, "b": 1}, labelled).collect())
+    assert len(rows) == 3 and rows[0] == rows[1] and rows[2][0] == "nnn"
 
 
 def test_pipeline(spark):
