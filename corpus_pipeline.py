@@ -1,8 +1,11 @@
 """The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
 quality classifier -> exact dedup -> MinHash near-dedup -> mixing to target weights -> BPE digests.
-The mixing stage emits a document as often as its rate says, at least once: the mix is made as large
-as it takes for no domain to be cut, so it repeats scarce domains rather than dropping documents.
+The mixing stage emits a document as often as its rate says. Rates are 1 or more and the mix is made as
+large as that takes, so it repeats scarce domains rather than dropping documents.
+
+Every stage takes null texts as empty, null ids, repeated rows, other columns and empty tables, as the
+operator's docstring says; rows of null ids are kept unless their text is a copy of another row's.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from codeloom.llm.common import ensure_checkpoint_dir, kept_rows, table
+from codeloom.llm.common import ensure_checkpoint_dir, kept_rows, release, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +37,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by their rates towards the target shares of languages."""
-    mixed = mixing.mix(docs, mixing.TARGETS, budget=None)
-    times = F.sequence(F.lit(1).cast("bigint"), F.greatest("copies", F.lit(1).cast("bigint")))
-    return mixed.withColumn("__copy", F.explode(times)).select(*docs.columns)
+    """Documents repeated by their rates, all 1 or more, towards the target shares of languages."""
+    mixed = mixing.mix(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns}), mixing.TARGETS, domain_col="__own_lang", id_col="__own_doc_id", text_col="__own_text", budget=None, least=1.0)
+    times = F.sequence(F.lit(1).cast("bigint"), "copies")
+    return mixed.withColumn("__copy", F.explode(times)).select(*[F.col(f"__own_{c}").alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        release(spark)
         docs = spark.read.parquet(f"{folder}/{i}")
         if i:
             done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
