@@ -218,11 +218,13 @@ def test_host_consensus(spark):
     assert html_text.main_text(df.limit(0)).collect() == []
 
 
-def test_quality(spark):
-    sf = "/root/testdata/sf0.01"
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    out = quality.score(docs, quality.train(docs, labels)).select("doc_id", "keep").join(labels, "doc_id").toPandas()
-    assert (out.keep == (out.quality == 1)).mean() >= 0.97
+    held = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 0"
+    model = quality.train(docs, labels.where(f"not ({held})"))
+    out = quality.score(docs, model, carry_text=False).select("doc_id", "keep").join(labels.where(held), "doc_id").toPandas()
+    assert len(out) > 500 and (out.keep == (out.quality == 1)).mean() >= 0.97
 
 
 def test_quality_cases(spark):
@@ -233,22 +235,55 @@ def test_quality_cases(spark):
     assert quality.score(docs.limit(0), model).collect() == []
 
 
+def test_quality_with_repeated_ids_and_labels(spark):
+    """Rows that share an id and labels that disagree give the same model in any order."""
+    good, bad = "plain words of a quiet story that goes on and on, with commas. ", "BUY!!! BUY!!! $$$ ||| BUY!!! "
+    rows = [(i // 2, (good if i % 4 < 2 else bad) * (1 + i % 5), "s") for i in range(80)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", source string")
+    marks = [(i, int(i % 2 == 0)) for i in range(40)]
+    labels = spark.createDataFrame([*marks, *marks, (1, 1)], "doc_id bigint, quality int")
+    first, second = (quality.score(d, quality.train(d, labels)).orderBy("doc_id", "text").collect() for d in (docs, docs.orderBy("text")))
+    assert [r.keep for r in first] == [r.text.startswith("plain") for r in first]
+    assert all(abs(a.quality_score - b.quality_score) < 1e-6 for a, b in zip(first, second, strict=True))
+    copies = {}
+    for r in first:
+        copies.setdefault((r.text, r.doc_id), set()).add(r.quality_score)
+    assert all(len(v) == 1 for v in copies.values())
+    assert quality.train(docs, labels.where("quality = 0")).constant == 1.0
+
+
+def drawn(rng, n):
+    """Labelled rows whose two views each tell the class by many weak features, independent given the class."""
+    y = rng.integers(0, 2, n).astype(float)
+    content = rng.normal(size=(n, quality.CONTENT_FEATURES)) + 0.9 * (2 * y[:, None] - 1)
+    meta = rng.normal(size=(n, quality.META_FEATURES)) + 0.9 * (2 * y[:, None] - 1)
+    return content, meta, y
+
+
 def test_co_training_uses_the_pool():
+    """Few labelled rows and a pool beat the labelled rows alone."""
     rng = np.random.default_rng(0)
-
-    def draw(n):
-        y = rng.integers(0, 2, n).astype(float)
-        content = rng.normal(size=(n, quality.CONTENT_FEATURES))
-        meta = rng.normal(size=(n, quality.META_FEATURES))
-        content[:, 0] += 5 * y
-        meta[:, 0] += 5 * y
-        return content, meta, y
-
-    content, meta, y = draw(40)
-    pool = draw(400)
-    model = quality.co_train(content, meta, y, pool[0], pool[1])
-    test = draw(500)
-    assert ((model.scores(test[0], test[1])[:, 2] > 0.5) == test[2]).mean() > 0.97
+    alone, helped = [], []
+    for _ in range(10):
+        content, meta, y = drawn(rng, 20)
+        unlabelled, test = drawn(rng, 3000)[:2], drawn(rng, 3000)
+        plain = quality.co_train(content, meta, y)
+        model = quality.co_train(content, meta, y, lambda t, v, u=unlabelled: quality.confident_slopes(u, t, v))
+        for out, m in ((alone, plain), (helped, model)):
+            out.append(((m.views[0].log_odds(test[0]) > 0) == test[2]).mean())
+        assert min(model.taught) > 100
+    assert np.mean(helped) > np.mean(alone) + 0.002
+
+
+def test_pool_sums_of_a_table_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    content, meta, y = drawn(rng, 60)
+    views = tuple(quality.fit_logistic(x, y, k) for x, k in zip((content, meta), quality._SQUARED, strict=True))
+    rows = drawn(rng, 500)[:2]
+    features = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(*rows, strict=True)], "content array<double>, meta array<double>").repartition(5)
+    for got, want in zip(quality._pool(features, views, views), quality.confident_slopes(rows, views, views), strict=True):
+        for g, w in zip(got, want, strict=True):
+            assert g[0] == w[0] > 0 and np.allclose(g[1], w[1]) and np.allclose(g[2], w[2])
 
 
 def test_mixing_meets_targets(spark):
