@@ -1,14 +1,15 @@
-"""Exact dedup: a Bloom filter of repeated hashes decides which rows shuffle at all.
-
-Pass 1 reads the texts and counts 64-bit hashes. Only hashes travel, combined on the map side;
-those seen twice or more go into a blocked Bloom filter (blocks of 32,768 bits, four bits a hash).
-Pass 2 reads the texts again and probes the filter by a join on the block number. Rows that miss
-the filter are unique and pass straight through. Rows that hit it, true repeats and a few false
-positives, are grouped by SHA-256 and decided exactly, so the filter never changes a result.
-
-The filter grows with the number of repeated hashes up to ``max_filter_blocks``; it is broadcast,
-which that parameter bounds (4 KiB a block). With more repeats than the bound can tell apart the
-hashes themselves are semi-joined by a shuffle instead.
+"""Exact dedup: two passes of Bloom filtering decide which rows shuffle at all.
+
+Pass 1 reads the texts and fills a counting Bloom filter of ``SLOTS_PER_ROW`` counters a row: each
+partition counts the slots its hashes fall into, the counters are merged by slot, and slots that no
+row falls into take no space. Neither texts nor hashes travel. The slots counted twice or more go
+into a blocked Bloom filter (blocks of 32,768 bits, four bits a slot). Pass 2 reads the texts again
+and probes that filter by a join on the block number. Rows that miss it are unique and pass straight
+through. Rows that hit it, true repeats and a few false positives, are grouped by SHA-256 and decided
+exactly, so the filters never change a result.
+
+The second filter is broadcast; it grows with the slots counted twice up to ``max_filter_blocks``
+(4 KiB each). Beyond that it fills up and lets more unique rows through to the exact decision.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ascii_lower, checkpoint, kept_rows, replace_columns, table, text_or_empty
+from codeloom.llm.common import Scratch, ascii_lower, kept_rows, replace_columns, table, text_or_empty
 
 BLOCK_BITS = 32_768
 PROBES = 4
-#: Bits for each repeated hash: about 0.3 % false positives at four probes.
-BITS_PER_HASH = 16
+#: Counters of pass 1 for each row: about 1.6 % of unique rows share one with another row.
+SLOTS_PER_ROW = 64
+#: Bits of the filter for each slot counted twice: about 0.3 % false positives at four probes.
+BITS_PER_SLOT = 16
 #: 64 MiB of filter at most.
 MAX_FILTER_BLOCKS = 16_384
-#: With fewer bits than this for each repeated hash the filter passes too much to be of use.
-MIN_BITS_PER_HASH = 4
 #: Groups with a HOT_GROUPS-th of all repeated rows, and HOT_LEAST rows, are dealt to SALTS partitions.
 HOT_GROUPS, HOT_LEAST, SALTS = 500, 1000, 64
 
@@ -36,13 +37,13 @@ OUTPUTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
 def _probe_bits(key: Column) -> list[Column]:
-    """The bits of a hash inside its block, from 15-bit slices of a second hash."""
+    """The bits of a slot inside its block, from 15-bit slices of a hash."""
     second = F.xxhash64(key, F.lit(7))
     return [F.shiftrightunsigned(second, 15 * i).bitwiseAND(BLOCK_BITS - 1) for i in range(PROBES)]
 
 
 def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(key, F.lit(blocks).cast("bigint"))
+    return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(blocks).cast("bigint"))
 
 
 def _bit_is_set(bitmap: Column, bit: Column) -> Column:
@@ -50,11 +51,11 @@ def _bit_is_set(bitmap: Column, bit: Column) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), bit.bitwiseAND(7)).cast("int")) != 0
 
 
-def build_filter(repeated: DataFrame, key: str, blocks: int) -> DataFrame:
+def build_filter(slots: DataFrame, key: str, blocks: int) -> DataFrame:
     """One row a non-empty block: its number and a 4 KiB bitmap."""
     bits = F.explode(F.array(*_probe_bits(F.col(key))))
     return (
-        repeated.select(_block(F.col(key), blocks).alias("__block"), bits.alias("__bit"))
+        slots.select(_block(F.col(key), blocks).alias("__block"), bits.alias("__bit"))
         .groupBy("__block")
         .agg(F.bitmap_construct_agg(F.col("__bit")).alias("__bitmap"))
     )
@@ -65,6 +66,8 @@ def annotate(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_filter_blocks: int = MAX_FILTER_BLOCKS,
+    slots_per_row: float = SLOTS_PER_ROW,
+    hot_least: int = HOT_LEAST,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with keep_id, group_size, kept and text_sha256.
 
@@ -76,24 +79,20 @@ def annotate(
     docs = replace_columns(docs, OUTPUTS)
     text = text_or_empty(text_col)
     # Equal under A-Z lower-casing implies equal under full lower-casing, which is cheaper.
-    key = F.xxhash64(F.lower(text))
-
-    repeated = checkpoint(docs.select(key.alias("__key")).groupBy("__key").count().where("count > 1").select("__key"))
-    n_repeated = repeated.count()
-    wanted = max(1, math.ceil(n_repeated * BITS_PER_HASH / BLOCK_BITS))
-    blocks = min(wanted, max_filter_blocks)
-
-    rows = docs.withColumns({"__key": key, "__row": F.monotonically_increasing_id()})
-    if blocks * BLOCK_BITS >= MIN_BITS_PER_HASH * n_repeated:
-        bloom = F.broadcast(build_filter(repeated, "__key", blocks))
-        hit = F.col("__bitmap").isNotNull()
-        for bit in _probe_bits(F.col("__key")):
-            hit = hit & _bit_is_set(F.col("__bitmap"), bit)
-        probed = rows.withColumn("__block", _block(F.col("__key"), blocks)).join(bloom, "__block", "left")
-        marked = probed.withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__block", "__bitmap")
-    else:
-        flags = repeated.withColumn("__hit", F.lit(True))
-        marked = rows.join(flags, "__key", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    scratch = Scratch(docs.sparkSession)
+    width = max(1, math.ceil(math.log2(max(1, docs.count()) * slots_per_row + 1)))
+    slot = F.shiftrightunsigned(F.xxhash64(F.lower(text)), 64 - width)
+    counters = docs.select(slot.alias("__slot")).groupBy("__slot").agg(F.count(F.lit(1)).alias("n"))
+    twice = scratch.put("twice", counters.where("n > 1").select("__slot"))
+    blocks = min(max(1, math.ceil(twice.count() * BITS_PER_SLOT / BLOCK_BITS)), max_filter_blocks)
+
+    rows = docs.withColumns({"__slot": slot, "__row": F.monotonically_increasing_id()})
+    bloom = F.broadcast(build_filter(twice, "__slot", blocks))
+    hit = F.col("__bitmap").isNotNull()
+    for bit in _probe_bits(F.col("__slot")):
+        hit = hit & _bit_is_set(F.col("__bitmap"), bit)
+    probed = rows.withColumn("__block", _block(F.col("__slot"), blocks)).join(bloom, "__block", "left")
+    marked = probed.withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__block", "__bitmap")
 
     digest = F.sha2(ascii_lower(text).cast("binary"), 256)
     columns = [F.col(c) for c in docs.columns]
@@ -105,15 +104,16 @@ def annotate(
         digest.alias("text_sha256"),
     )
     suspects = marked.where("__hit").withColumn("text_sha256", digest)
-    groups = checkpoint(
+    groups = scratch.put(
+        "groups",
         suspects.groupBy("text_sha256").agg(
             F.count(F.lit(1)).alias("group_size"),
             F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("__best"),
-        )
+        ),
     )
     # Fewer than HOT_GROUPS groups can hold that share of the rows, which bounds the broadcast.
     rows_in_groups = groups.agg(F.sum("group_size")).first()[0] or 0
-    hot = F.col("group_size") >= max(HOT_LEAST, -(-rows_in_groups // HOT_GROUPS))
+    hot = F.col("group_size") >= max(hot_least, -(-rows_in_groups // HOT_GROUPS))
     known_hot = F.broadcast(groups.where(hot).select("text_sha256", F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), F.pmod("__row", F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
     spread = F.when(hot, F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.expr("array(0L)"))

@@ -20,10 +20,18 @@ def ascii_lower(text):
 ROWS = [(1, "Foo"), (2, "foo"), (3, "FÉ"), (4, "fÉ"), (5, "fé"), (6, None), (7, ""), (None, "foo"), (None, "solo"), (8, "x" * 50_000), (9, "X" * 50_000), (2, "foo"), (10, "bar")]
 
 
-@pytest.mark.parametrize("blocks", [exact_dedup.MAX_FILTER_BLOCKS, 0])
-def test_exact_matches_brute_force(spark, blocks):
+@pytest.mark.parametrize(
+    "options",
+    [
+        {},
+        {"slots_per_row": 0.1},  # two slots: every row is suspected
+        {"max_filter_blocks": 1, "slots_per_row": 2},
+        {"hot_least": 2},  # every group of copies is dealt to several partitions
+    ],
+)
+def test_exact_matches_brute_force(spark, options):
     df = spark.createDataFrame([(*r, "k", 1) for r in ROWS], SCHEMA + ", kept string, extra int")
-    out = exact_dedup.annotate(df, max_filter_blocks=blocks).collect()
+    out = exact_dedup.annotate(df, **options).collect()
     assert len(out) == len(ROWS)
     groups = {}
     for i, t in ROWS:
