@@ -28,6 +28,8 @@ from codeloom.llm.common import Scratch, map_arrow, replace_columns, table
 LABELLED_ROWS = 3000
 #: Rounds of exchanged labels, and Newton steps of both views in each.
 ROUNDS, STEPS = 3, 3
+#: Least curvature of a document in these steps: rows that contradict a view can't throw it far off.
+FLOOR = 0.1
 #: A view's label counts if its probability lies this close to 0 or 1.
 CONFIDENCE = 0.05
 #: Documents are kept from this probability of good quality on.
@@ -106,10 +108,10 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-v))
 
 
-def _slopes(z: np.ndarray, y: np.ndarray | float, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and curvature of the logistic loss."""
+def _slopes(z: np.ndarray, y: np.ndarray | float, weights: np.ndarray, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the logistic loss; a row's curvature is at least ``floor``."""
     p = _sigmoid(np.clip(z @ weights, -30, 30))
-    return z.T @ (p - y), (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
+    return z.T @ (p - y), (z * np.maximum(p * (1 - p), floor)[:, None]).T @ z
 
 
 def _newton(z: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
@@ -168,7 +170,7 @@ def confident_slopes(rows: tuple[np.ndarray, np.ndarray], tellers: tuple[Logisti
     out: Slopes = []
     for v, view in enumerate(views):
         z, told = view.expand(rows[v]), sure[1 - v]
-        out.append([(float(m.sum()), *_slopes(z[m], y, view.weights)) for y, m in ((0.0, told <= CONFIDENCE), (1.0, told >= 1 - CONFIDENCE))])
+        out.append([(float(m.sum()), *_slopes(z[m], y, view.weights, FLOOR)) for y, m in ((0.0, told <= CONFIDENCE), (1.0, told >= 1 - CONFIDENCE))])
     return out
 
 
@@ -204,7 +206,7 @@ def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callabl
 
 def _step(view: Logistic, x: np.ndarray, y: np.ndarray, told: list[tuple[float, np.ndarray, np.ndarray]]) -> Logistic:
     """The view after a Newton step over its labelled rows and, weighing as much, those the other view told it."""
-    gradient, curvature = _slopes(view.expand(x), y, view.weights)
+    gradient, curvature = _slopes(view.expand(x), y, view.weights, FLOOR)
     for label, (n, own_gradient, own_curvature) in zip((0.0, 1.0), told, strict=True):
         if n:
             weight = min(1.0, float((y == label).sum()) / n)
