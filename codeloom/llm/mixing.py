@@ -91,26 +91,37 @@ def train(labelled: DataFrame, domains: list[str]) -> tuple[list[float], list[li
     return bias, weights
 
 
-def posteriors(bias: list[float], weights: list[list[float]]) -> Column:
-    """The rounded posteriors of a row of ``__counts``, as an array in the order of the domains."""
+def with_posteriors(rows: DataFrame, bias: list[float], weights: list[list[float]]) -> DataFrame:
+    """``rows`` with ``__p``: the rounded posteriors of ``__counts``, as an array in the order of the domains.
+
+    Each step is a column of its own, so no expression is repeated inside another.
+    """
     bytes_ = F.aggregate("__counts", F.lit(0.0), lambda a, x: a + x)
-    scale = F.lit(EVIDENCE_LETTERS) / F.greatest(bytes_, F.lit(EVIDENCE_LETTERS))
-    logits = []
-    for b, own in zip(bias, weights, strict=True):
-        evidence = F.lit(0.0)
-        for i, w in enumerate(own):
-            evidence = evidence + F.col("__counts")[i] * w
-        logits.append(F.lit(b) + scale * evidence)
-    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    odds = [F.exp(x - top) for x in logits]
-    total = odds[0]
-    for x in odds[1:]:
-        total = total + x
-    rounded = [F.round(x / total / POSTERIOR_STEP, 0) * POSTERIOR_STEP for x in odds]
-    whole = rounded[0]
-    for x in rounded[1:]:
-        whole = whole + x
-    return F.array(*[x / whole for x in rounded])
+    evidence = []
+    for own in weights:
+        total = F.col("__counts")[0] * own[0]
+        for i, w in enumerate(own[1:], 1):
+            total = total + F.col("__counts")[i] * w
+        evidence.append(total)
+    scaled = F.array(*[F.lit(b) + F.col("__scale") * e for b, e in zip(bias, evidence, strict=True)])
+
+    def shares(column: str) -> Column:
+        return F.transform(column, lambda x: x / F.col("__sum"))
+
+    def sum_of(column: str) -> Column:
+        return F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
+
+    return (
+        rows.withColumn("__scale", F.lit(EVIDENCE_LETTERS) / F.greatest(bytes_, F.lit(EVIDENCE_LETTERS)))
+        .withColumn("__p", scaled)
+        .withColumn("__top", F.array_max("__p"))
+        .withColumn("__p", F.transform("__p", lambda x: F.exp(x - F.col("__top"))))
+        .withColumn("__sum", sum_of("__p"))
+        .withColumn("__p", F.transform(shares("__p"), lambda x: F.round(x / POSTERIOR_STEP, 0) * POSTERIOR_STEP))
+        .withColumn("__sum", sum_of("__p"))
+        .withColumn("__p", shares("__p"))
+        .drop("__scale", "__top", "__sum")
+    )
 
 
 def rate(mixture: Mixture, posterior: str) -> Column:
@@ -243,14 +254,13 @@ def mix(
     known = scratch.put("counts", counts(source.select(*columns, "__domain", text_col), text_col))
     taught = known.withColumnRenamed("__domain", "domain") if labelled is None else counts(labelled.select(text_col, "domain"), text_col)
     bias, weights = train(taught.select("domain", "__counts"), domains)
-    posterior = posteriors(bias, weights)
-    cells = scratch.put("cells", known.select("__tokens", posterior.alias("__p")).groupBy("__p").agg(F.sum("__tokens").alias("n")))
+    cells = scratch.put("cells", with_posteriors(known.select("__tokens", "__counts"), bias, weights).groupBy("__p").agg(F.sum("__tokens").alias("n")))
     mixture = fit(cells, domains, bias, weights, wanted, budget, least)
     scratch.drop("cells")
     if carry_text:
         scratch.drop("counts")
     counted = known if not carry_text else counts(docs.withColumn("__kept", F.col(text_col)), text_col).withColumnRenamed("__kept", text_col)
-    scored = counted.withColumn("__p", posterior)
+    scored = with_posteriors(counted, bias, weights)
     names = F.array(*[F.lit(d) for d in domains])
     uniform = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return (
