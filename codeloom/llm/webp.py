@@ -1,15 +1,16 @@
-"""Lossless WebP: a decoder for every tool of the format and an encoder for byte payloads.
+"""Lossless WebP: a decoder for every tool of the format and an encoder that chooses among them.
 
 The decoder follows the public specification of the lossless bitstream: prefix codes, LZ77
 back-references, colour cache, entropy images, and the predictor, cross-colour, subtract-green and
-palette transforms. Where every channel's code has one length and neither cache nor entropy image
-is used, as in what ``encode_payload`` writes, the whole image is decoded by table lookups instead
-of symbol by symbol.
+palette transforms. Every image passes the same symbol loop, which looks codes up in tables. The
+encoder makes prefix codes for each image, finds back-references to repeated pixels, and uses the
+colour cache and the palette, subtract-green or predictor transform where it expects fewer bits.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,13 +31,17 @@ _NEAR = sorted(
     ((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0),
     key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0),
 )
-_REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+#: The bits of a number below 2 ** 15 in reverse.
+_REVERSED = [int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)]
 
 
 class WebPError(ValueError):
     """The bytes are no lossless WebP image."""
 
 
+_WINDOW_BITS = 1024
+
+
 class Bits:
     """Reads numbers from a bit stream, least significant bit first."""
 
@@ -47,80 +52,108 @@ class Bits:
         i = self.at >> 3
         return (int.from_bytes(self.data[i : i + 4], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
-    def read(self, n: int) -> int:
-        value = self.peek(n)
+    def skip(self, n: int) -> None:
         self.at += n
         if self.at > self.size:
             raise WebPError("the stream ends too early")
+
+    def read(self, n: int) -> int:
+        value = self.peek(n)
+        self.skip(n)
         return value
 
+    def window(self) -> int:
+        """The next ``_WINDOW_BITS`` bits and some more as one number."""
+        i = self.at >> 3
+        return int.from_bytes(self.data[i : i + _WINDOW_BITS // 8 + 8], "little") >> (self.at & 7)
+
+    def words(self, first: int, count: int) -> list[int]:
+        """The numbers of seven bytes each that start at ``count`` consecutive bytes."""
+        raw = np.frombuffer(self.data[first : first + count + 6].ljust(count + 6, b"\0"), np.uint8).astype(np.uint64)
+        out = raw[:count].copy()
+        for i in range(1, 7):
+            out |= raw[i : i + count] << np.uint64(8 * i)
+        return out.tolist()
+
 
 class PrefixCode:
-    """A canonical prefix code from code lengths; a lone symbol takes no bits."""
+    """A canonical prefix code from code lengths by symbol; a lone symbol takes no bits.
 
-    def __init__(self, lengths: list[int]) -> None:
-        used = [s for s, n in enumerate(lengths) if n]
-        if not used:
+    ``table`` holds symbol * 16 + length for every value of the next ``mask`` bits.
+    """
+
+    def __init__(self, lengths: list[tuple[int, int]]) -> None:
+        if not lengths:
             raise WebPError("a prefix code has no symbols")
-        self.symbols = sorted(used, key=lambda s: (lengths[s], s))
-        self.uniform = 0 if len(used) == 1 else lengths[used[0]] if len({lengths[s] for s in used}) == 1 else None
-        self.table: dict[tuple[int, int], int] = {}
-        if len(used) == 1:
+        if len(lengths) == 1:
+            self.mask, self.table = 0, [lengths[0][0] << 4]
             return
-        if sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
+        if sum(1 << (15 - n) for _, n in lengths) != 1 << 15:
             raise WebPError("a prefix code is not complete")
-        code = last = 0
-        for s in self.symbols:
-            code <<= lengths[s] - last
-            last = lengths[s]
-            self.table[last, code] = s
-            code += 1
+        longest = max(n for _, n in lengths)
+        self.mask, self.table = (1 << longest) - 1, [0] * (1 << longest)
+        for symbol, n, code in canonical(lengths):
+            self.table[code :: 1 << n] = [symbol << 4 | n] * (1 << longest - n)
 
     def read(self, bits: Bits) -> int:
-        if not self.table:
-            return self.symbols[0]
-        code = 0
-        for n in range(1, 16):
-            code = code << 1 | bits.read(1)
-            symbol = self.table.get((n, code))
-            if symbol is not None:
-                return symbol
-        raise WebPError("no such prefix code")
+        found = self.table[bits.peek(15) & self.mask]
+        bits.skip(found & 15)
+        return found >> 4
+
+
+def canonical(lengths: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Symbol, length and code of each symbol; the first bit of a code is its lowest."""
+    code = last = 0
+    out = []
+    for symbol, n in sorted(lengths, key=lambda x: (x[1], x[0])):
+        code <<= n - last
+        last = n
+        out.append((symbol, n, _REVERSED[code] >> 15 - n))
+        code += 1
+    return out
 
 
 def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
-    lengths = [0] * alphabet
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
-        symbols = [first, bits.read(8)] if two else [first]
+        symbols = {first, bits.read(8)} if two else {first}
         if max(symbols) >= alphabet:
             raise WebPError("a symbol lies outside its alphabet")
-        for s in symbols:
-            lengths[s] = 1
-        return PrefixCode(lengths)
-    own = [0] * len(_CODE_LENGTH_ORDER)
-    for i in range(4 + bits.read(4)):
-        own[_CODE_LENGTH_ORDER[i]] = bits.read(3)
+        return PrefixCode([(s, 1) for s in symbols])
+    own = [(_CODE_LENGTH_ORDER[i], n) for i in range(4 + bits.read(4)) if (n := bits.read(3))]
     code = PrefixCode(own)
     left = alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
+    lengths: list[tuple[int, int]] = []
+    add, table, mask = lengths.append, code.table, code.mask
     at, previous = 0, 8
+    window, used = bits.window(), 0
     while at < alphabet and left:
+        if used > _WINDOW_BITS:
+            bits.skip(used)
+            window, used = bits.window(), 0
         left -= 1
-        s = code.read(bits)
+        v = window >> used
+        e = table[v & mask]
+        s = e >> 4
+        used += e & 15
         if s < 16:
-            lengths[at] = s
-            previous = s or previous
+            if s:
+                add((at, s))
+                previous = s
             at += 1
             continue
-        value, extra, least = {16: (previous, 2, 3), 17: (0, 3, 3), 18: (0, 7, 11)}[s]
-        n = least + bits.read(extra)
+        value, extra, least = ((previous, 2, 3), (0, 3, 3), (0, 7, 11))[s - 16]
+        n = least + (v >> (e & 15) & ((1 << extra) - 1))
+        used += extra
         if at + n > alphabet:
             raise WebPError("code lengths run over their alphabet")
-        lengths[at : at + n] = [value] * n
+        if value:
+            lengths.extend((k, value) for k in range(at, at + n))
         at += n
+    bits.skip(used)
     return PrefixCode(lengths)
 
 
@@ -129,13 +162,6 @@ def _read_group(bits: Bits, cache_size: int) -> list[PrefixCode]:
     return [_read_code(bits, n) for n in alphabets]
 
 
-def _prefix_value(bits: Bits, symbol: int) -> int:
-    if symbol < 4:
-        return symbol + 1
-    extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
-
-
 def _distance(code: int, width: int) -> int:
     if code > len(_NEAR):
         return code - len(_NEAR)
@@ -143,32 +169,8 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def _decode_uniform(bits: Bits, n: int, group: list[PrefixCode]) -> np.ndarray | None:
-    """All pixels at once if each channel's codes have one length and green codes are literals."""
-    codes = group[:4]
-    if any(c.uniform is None for c in codes) or codes[0].symbols[-1] >= 256:
-        return None
-    widths = [c.uniform for c in codes]
-    stride = sum(widths)
-    if bits.at + n * stride > bits.size:
-        raise WebPError("the stream ends too early")
-    out = np.empty((n, 4), np.uint8)
-    channels = (2, 1, 3, 0)  # the stream has green, red, blue, alpha; arrays have alpha, red, green, blue
-    if bits.at % 8 == 0 and widths == [8, 8, 8, 0]:
-        raw = bits.data[bits.at // 8 : bits.at // 8 + 3 * n].translate(_REVERSED)
-        values = np.frombuffer(raw, np.uint8).reshape(n, 3)
-        parts = [*values.T, np.zeros(n, np.uint8)]
-    else:
-        first = bits.at // 8
-        flat = np.unpackbits(np.frombuffer(bits.data, np.uint8, offset=first)[: (bits.at % 8 + n * stride + 7) // 8], bitorder="little")
-        rows = flat[bits.at % 8 :][: n * stride].reshape(n, stride).astype(np.int32)
-        edges = np.cumsum([0, *widths])
-        parts = [rows[:, a:b] @ (1 << np.arange(b - a)[::-1]) if b > a else np.zeros(n, np.int32) for a, b in zip(edges, edges[1:], strict=False)]
-    for code, channel, part in zip(codes, channels, parts, strict=True):
-        identity = code.symbols == list(range(256))
-        out[:, channel] = part if identity else np.array(code.symbols, np.uint8)[part]
-    bits.at += n * stride
-    return out
+#: Bytes of the stream that the symbol loop prepares at once.
+_CHUNK = 1 << 16
 
 
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -183,44 +185,83 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         shift = 2 + bits.read(3)
         sub = _read_image(bits, -(-width >> shift), -(-height >> shift), False).astype(np.int32)
         meta = sub[:, :, 1] << 8 | sub[:, :, 2]
-    groups = [_read_group(bits, cache_size) for _ in range(1 if meta is None else int(meta.max()) + 1)]
-    if meta is None and not cache_size:
-        fast = _decode_uniform(bits, n, groups[0])
-        if fast is not None:
-            return fast.reshape(height, width, 4)
+    groups = []
+    for _ in range(1 if meta is None else int(meta.max()) + 1):
+        green, red, blue, alpha, far = _read_group(bits, cache_size)
+        groups.append((green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask, far))
 
-    pixels = [0] * n
+    pixels = array("I")
+    add = pixels.append
     cache = [0] * cache_size
     kept = at = 0
-
-    def remember(upto: int) -> int:
-        for argb in pixels[kept:upto]:
-            cache[(_CACHE_MULTIPLIER * argb & 0xFFFFFFFF) >> (32 - cache_bits)] = argb
-        return upto
-
+    pos, size = bits.at, bits.size
+    first = pos >> 3
+    words = bits.words(first, min(_CHUNK, (size >> 3) - first + 8))
+    end = (first + len(words) - 8) * 8  # symbols that start before have all their bits in ``words``
     while at < n:
-        y, x = divmod(at, width)
-        green, red, blue, alpha, far = groups[0 if meta is None else int(meta[y >> shift, x >> shift])]
-        s = green.read(bits)
-        if s < 256:
-            r, b = red.read(bits), blue.read(bits)
-            pixels[at] = alpha.read(bits) << 24 | r << 16 | s << 8 | b
-            at += 1
-        elif s < 256 + _LENGTH_SYMBOLS:
-            length = _prefix_value(bits, s - 256)
-            back = _distance(_prefix_value(bits, far.read(bits)), width)
-            if back > at or at + length > n:
-                raise WebPError("a back-reference leaves the image")
-            for _ in range(length):
-                pixels[at] = pixels[at - back]
-                at += 1
+        if meta is None:
+            group, stop = groups[0], n
         else:
-            kept = remember(at)
-            pixels[at] = cache[s - 256 - _LENGTH_SYMBOLS]
-            at += 1
+            y, x = divmod(at, width)
+            group, stop = groups[int(meta[y >> shift, x >> shift])], y * width + min(width, ((x >> shift) + 1) << shift)
+        greens, green_mask, reds, red_mask, blues, blue_mask, alphas, alpha_mask, far = group
+        top = alphas[0] >> 4 << 24
+        while at < stop:
+            if pos >= end:
+                if pos > size:
+                    raise WebPError("the stream ends too early")
+                first = pos >> 3
+                words = bits.words(first, min(_CHUNK, (size >> 3) - first + 16))
+                end = (first + len(words) - 8) * 8
+            v = words[(pos >> 3) - first] >> (pos & 7)
+            e = greens[v & green_mask]
+            s, k = e >> 4, e & 15
+            if s < 256:
+                v >>= k
+                r = reds[v & red_mask]
+                v >>= r & 15
+                b = blues[v & blue_mask]
+                k += (r & 15) + (b & 15)
+                if alpha_mask:
+                    bits.at = pos + k
+                    a = alphas[bits.peek(15) & alpha_mask]
+                    k += a & 15
+                    top = a >> 4 << 24
+                add(top | r >> 4 << 16 | s << 8 | b >> 4)
+                pos += k
+                at += 1
+            elif s < 256 + _LENGTH_SYMBOLS:
+                bits.at = pos + k
+                length = _prefix_value(bits, s - 256)
+                back = _distance(_prefix_value(bits, far.read(bits)), width)
+                pos = bits.at
+                if back > at or at + length > n:
+                    raise WebPError("a back-reference leaves the image")
+                if back >= length:
+                    pixels.extend(pixels[at - back : at - back + length])
+                else:
+                    pixels.extend((pixels[at - back :] * (length // back + 1))[:length])
+                at += length
+            else:
+                for argb in pixels[kept:at]:
+                    cache[(_CACHE_MULTIPLIER * argb & 0xFFFFFFFF) >> (32 - cache_bits)] = argb
+                kept = at
+                add(cache[s - 256 - _LENGTH_SYMBOLS])
+                pos += k
+                at += 1
+    bits.at = pos
+    if pos > size:
+        raise WebPError("the stream ends too early")
     return np.array(pixels, ">u4").view(np.uint8).reshape(height, width, 4).copy()
 
 
+def _prefix_value(bits: Bits, symbol: int) -> int:
+    if symbol < 4:
+        return symbol + 1
+    extra = (symbol - 2) >> 1
+    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
+
+
 def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) >> 1
 
@@ -265,12 +306,34 @@ def predictions(pixels: np.ndarray, y: int, x: int, mode: int) -> np.ndarray:
     return _predict(mode, pixels[y, x - 1], pixels[y - 1, x], right, pixels[y - 1, x - 1])
 
 
+#: Predictors that need no pixel of the row itself, but the last pixel's top right neighbour.
+_FROM_ABOVE = {0, 2, 3, 4, 8, 9}
+
+
 def _undo_predictor(image: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
+    """Row by row, and where the mode allows it all pixels of a block's row at once."""
     out = image.astype(np.int32)
     height, width = out.shape[:2]
-    for y in range(height):
-        for x in range(width):
-            out[y, x] = (out[y, x] + predictions(out, y, x, int(modes[y >> shift, x >> shift, 2]))) & 255
+    out[0, 0] = (out[0, 0] + [255, 0, 0, 0]) & 255
+    out[0] = np.cumsum(out[0], axis=0) & 255
+    for y in range(1, height):
+        row, above = out[y], out[y - 1]
+        row[0] = (row[0] + above[0]) & 255
+        x = 1
+        while x < width:
+            mode = int(modes[y >> shift, x >> shift, 2])
+            stop = min(width, ((x >> shift) + 1) << shift)
+            while stop < width and modes[y >> shift, stop >> shift, 2] == mode:
+                stop = min(width, stop + (1 << shift))
+            if mode in _FROM_ABOVE:
+                right = above[x + 1 : stop + 1] if stop < width else np.concatenate((above[x + 1 :], row[:1]))
+                row[x:stop] = (row[x:stop] + _predict(mode, above[x:stop], above[x:stop], right, above[x - 1 : stop - 1])) & 255
+            elif mode == 1:
+                row[x - 1 : stop] = np.cumsum(row[x - 1 : stop], axis=0) & 255
+            else:
+                for k in range(x, stop):
+                    row[k] = (row[k] + predictions(out, y, k, mode)) & 255
+            x = stop
     return out.astype(np.uint8)
 
 
@@ -318,9 +381,6 @@ def palette_pack(size: int) -> int:
 
 def decode_stream(data: bytes) -> np.ndarray:
     """The pixels of a lossless bitstream: (height, width, 4) of alpha, red, green, blue."""
-    fast = _decode_plain(data)
-    if fast is not None:
-        return fast
     bits = Bits(data)
     if bits.read(8) != _SIGNATURE:
         raise WebPError("the signature is missing")
@@ -360,80 +420,326 @@ class BitWriter:
 
     def __init__(self) -> None:
         self.value = self.size = 0
+        self.parts: list[np.ndarray] = []
 
     def write(self, value: int, n: int) -> None:
         self.value |= value << self.size
         self.size += n
 
-    def bytes(self) -> bytes:
-        return self.value.to_bytes(-(-self.size // 8), "little")
-
+    def flush(self) -> None:
+        if self.size:
+            raw = np.frombuffer(self.value.to_bytes(-(-self.size // 8), "little"), np.uint8)
+            self.parts.append(np.unpackbits(raw, bitorder="little")[: self.size])
+            self.value = self.size = 0
 
-@lru_cache(maxsize=4096)
-def _plain_header(width: int, height: int) -> bytes:
-    """Signature to prefix codes of an image of literals with eight bits a sample, opaque.
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Write many numbers of given numbers of bits."""
+        self.flush()
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        self.parts.append((np.repeat(values, sizes) >> place.astype(np.uint64) & np.uint64(1)).astype(np.uint8))
 
-    A longer list of code lengths for red brings the pixels to a byte boundary.
-    """
-    bits = BitWriter()
-    for value, n in ((_SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
-        bits.write(value, n)
-    for _ in range(3):  # no transform, no colour cache, no entropy image
-        bits.write(0, 1)
-    lone = _CODE_LENGTH_ORDER.index(8)
-    for listed, cut in ((12, True), (14, False), (12, False)):  # green, red, blue: all lengths are 8
-        bits.write(0, 1)
-        bits.write(listed - 4, 4)
-        for i in range(listed):
-            bits.write(int(i == lone), 3)
-        bits.write(int(cut), 1)
-        if cut:  # 256 literals, no lengths
-            bits.write(3, 3)
-            bits.write(254, 8)
-    for value, n in ((1, 1), (0, 1), (1, 1), (255, 8)):  # alpha is 255
-        bits.write(value, n)
-    for value, n in ((1, 1), (0, 1), (1, 1), (0, 8)):  # no distances
-        bits.write(value, n)
-    if bits.size % 8:
-        raise AssertionError("the header must fill its bytes")
-    return bits.bytes()
-
-
-def _decode_plain(data: bytes) -> np.ndarray | None:
-    """Decode what starts with a header that was read before, without reading it again."""
-    if len(data) < 5:
-        return None
-    size = int.from_bytes(data[1:5], "little")
-    width, height = (size & 0x3FFF) + 1, (size >> 14 & 0x3FFF) + 1
-    group = _plain_group(data[5:_PLAIN_SIZE])
-    if group is None or data[0] != _SIGNATURE or size >> 28:
-        return None
-    bits = Bits(data)
-    bits.at = 8 * _PLAIN_SIZE
-    image = _decode_uniform(bits, width * height, list(group))
-    return None if image is None else image.reshape(height, width, 4)
+    def bytes(self) -> bytes:
+        self.flush()
+        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes() if self.parts else b""
+
+
+#: Longest code of an image's symbols that the encoder makes; the format allows 15.
+_LONGEST = 12
+
+
+def code_lengths(counts: list[int], longest: int) -> list[int]:
+    """Huffman code lengths of two or more positive counts; rare symbols count more until no code is too long."""
+    n = len(counts)
+    order = sorted(range(n), key=counts.__getitem__)
+    floor = 1
+    while True:
+        weights = [max(counts[i], floor) for i in order]
+        parents = [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (node >= new or weights[leaf] <= weights[node]):
+                    pick, leaf = leaf, leaf + 1
+                else:
+                    pick, node = node, node + 1
+                parents[pick] = new
+                total += weights[pick]
+            weights.append(total)
+        depths = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depths[i] = depths[parents[i]] + 1
+        if max(depths[:n]) <= longest:
+            out = [0] * n
+            for place, i in enumerate(order):
+                out[i] = depths[place]
+            return out
+        floor *= 2
+
+
+class _Code:
+    """A prefix code for counted symbols, to be written and used."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.alphabet = len(counts)
+        used = np.flatnonzero(counts).tolist() or [0]
+        self.lengths = list(zip(used, code_lengths(counts[used].tolist(), _LONGEST) if len(used) > 1 else [1], strict=True))
+        self.codes, self.sizes = np.zeros(self.alphabet, np.uint64), np.zeros(self.alphabet, np.int64)
+        if len(used) > 1:
+            symbols, sizes, codes = zip(*canonical(self.lengths), strict=True)
+            self.codes[list(symbols)], self.sizes[list(symbols)] = codes, sizes
+
+        self.written: tuple[int, int] | None = None
+
+    def write(self, w: BitWriter) -> None:
+        if self.written is None:
+            own = BitWriter()
+            self._write(own)
+            self.written = own.value, own.size
+        w.write(*self.written)
+
+    def _write(self, w: BitWriter) -> None:
+        symbols = [s for s, _ in self.lengths]
+        if len(symbols) <= 2 and symbols[-1] < 256:
+            w.write(1, 1)
+            w.write(len(symbols) - 1, 1)
+            w.write(int(symbols[0] > 1), 1)
+            w.write(symbols[0], 8 if symbols[0] > 1 else 1)
+            if len(symbols) == 2:
+                w.write(symbols[1], 8)
+            return
+        tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
+        last, previous = -1, 8
+        for s, n in self.lengths:
+            gap = s - last - 1
+            while gap >= 3:
+                run = min(gap, 138)
+                tokens.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
+                gap -= run
+            tokens += [(0, 0, 0)] * gap
+            tokens.append((n, 0, 0))
+            last = s
+        tokens = _merge_repeats(tokens, previous)
+        counts = [0] * 19
+        for t, _, _ in tokens:
+            counts[t] += 1
+        used = [i for i, c in enumerate(counts) if c]
+        own = list(zip(used, code_lengths([counts[i] for i in used], 7) if len(used) > 1 else [1], strict=True))
+        by_symbol = dict(own)
+        listed = max(4, 1 + max(_CODE_LENGTH_ORDER.index(i) for i in used))
+        w.write(0, 1)
+        w.write(listed - 4, 4)
+        for i in _CODE_LENGTH_ORDER[:listed]:
+            w.write(by_symbol.get(i, 0), 3)
+        room = max(2, (len(tokens) - 2).bit_length())
+        room += room & 1
+        w.write(1, 1)
+        w.write(room // 2 - 1, 3)
+        w.write(len(tokens) - 2, room)
+        codes = {s: (code, n) for s, n, code in canonical(own)} if len(own) > 1 else {used[0]: (0, 0)}
+        for t, value, extra in tokens:
+            w.write(*codes[t])
+            if extra:
+                w.write(value, extra)
+
+
+def _merge_repeats(tokens: list[tuple[int, int, int]], previous: int) -> list[tuple[int, int, int]]:
+    """Runs of three or more equal lengths after the first become repeats."""
+    out: list[tuple[int, int, int]] = []
+    run = 0
+
+    def flush() -> None:
+        nonlocal run
+        while run:
+            n = min(run, 6)
+            out.extend([(16, n - 3, 2)] if n >= 3 else [(previous, 0, 0)] * n)
+            run -= n
+
+    for t in tokens:
+        if t[0] == previous and 0 < t[0] < 16:
+            run += 1
+            continue
+        flush()
+        out.append(t)
+        if 0 < t[0] < 16:
+            previous = t[0]
+    flush()
+    return out
 
 
-_PLAIN_SIZE = len(_plain_header(1, 1))
+def _prefix(value: int) -> tuple[int, int, int]:
+    """Symbol, extra value and extra bits of a length or distance code."""
+    value -= 1
+    if value < 4:
+        return value, 0, 0
+    high = value.bit_length() - 1
+    extra = high - 1
+    return 2 * high + (value >> extra & 1), value & ((1 << extra) - 1), extra
+
+
+def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """Place, length and distance of repeats of three or more pixels, from left to right."""
+    if len(pixels) < 4:
+        return []
+    wide = pixels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = wide[:-2] ^ wide[1:-1] >> np.uint64(21) ^ wide[2:] >> np.uint64(42)
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    here, before = order[same + 1], order[same]
+    by_place = np.argsort(here)
+    out = []
+    at, n = 0, len(pixels)
+    for i, j in zip(here[by_place].tolist(), before[by_place].tolist(), strict=True):
+        if i < at or i - j > (1 << 20) - 120:
+            continue
+        length, step = 0, 16
+        most = min(4096, n - i)
+        while length < most:
+            upto = min(length + step, most)
+            differ = np.flatnonzero(pixels[i + length : i + upto] != pixels[j + length : j + upto])
+            if len(differ):
+                length += int(differ[0])
+                break
+            length, step = upto, 4 * step
+        if length >= 3:
+            out.append((i, length, i - j))
+            at = i + length
+    return out
 
 
-@lru_cache(maxsize=16)
-def _plain_group(tail: bytes) -> tuple[PrefixCode, ...] | None:
-    """The prefix codes after the image size, if just they fill these bytes."""
-    bits = Bits(tail)
-    if len(tail) != _PLAIN_SIZE - 5 or bits.read(3):
-        return None
-    try:
-        group = tuple(_read_group(bits, 0))
-    except WebPError:
-        return None
-    return group if bits.at == bits.size else None
+_CACHE_BITS = 8
+
+
+def _bits(counts: np.ndarray) -> float:
+    """The entropy of counted symbols, in bits."""
+    c = counts[counts > 0].astype(float)
+    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) if len(c) else 0.0
+
+
+def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool) -> None:
+    """Pixels (numbers of alpha, red, green, blue) as an entropy-coded image."""
+    copies = _copies(pixels)
+    literal = np.ones(len(pixels), bool)
+    for i, n, _ in copies:
+        literal[i : i + n] = False
+    slots = ((pixels.astype(np.uint64) * np.uint64(_CACHE_MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - _CACHE_BITS)
+    order = np.argsort(slots, kind="stable")
+    hits = np.zeros(len(pixels), bool)
+    # a hit if the last pixel of the same slot was the same
+    hits[order[1:]] = (pixels[order[1:]] == pixels[order[:-1]]) & literal[order[1:]]
+    plain = literal & ~hits
+    samples = pixels[:, None] >> np.array([8, 16, 0, 24], np.uint32) & np.uint32(255)  # green, red, blue, alpha
+    # a cached pixel takes about eight bits, and so does each slot's code length at first
+    n_hits = int(np.count_nonzero(hits))
+    each = _bits(np.bincount(samples[literal, :3].ravel(), minlength=256)) / max(1, np.count_nonzero(literal))
+    cached = n_hits * (each - 8) > 4 * min(n_hits, 1 << _CACHE_BITS) + 64
+    if not cached:
+        hits, plain = np.zeros(len(pixels), bool), literal
+
+    lengths = [_prefix(n) for _, n, _ in copies]
+    near = _near_codes(width)
+    distances = [_prefix(near.get(d, d + len(_NEAR))) for _, _, d in copies]
+    green = np.zeros(256 + _LENGTH_SYMBOLS + (1 << _CACHE_BITS if cached else 0), np.int64)
+    counts = [np.bincount(samples[plain, c], minlength=256) for c in range(4)]
+    if _bits(counts[0]) + _bits(counts[1]) + _bits(counts[2]) + 300 > _bits(counts[0] + counts[1] + counts[2]):
+        counts[0] = counts[1] = counts[2] = counts[0] + counts[1] + counts[2]  # channels of one kind share their code
+    green[:256] = counts[0]
+    np.add.at(green, [256 + s for s, _, _ in lengths], 1)
+    if cached:
+        green += np.bincount(256 + _LENGTH_SYMBOLS + slots[hits].astype(np.int64), minlength=len(green))
+    far = np.bincount([s for s, _, _ in distances], minlength=_DISTANCE_SYMBOLS)
+    codes = [_Code(green)]
+    codes.append(codes[0] if counts[1] is counts[0] and not copies and not cached else _Code(counts[1]))
+    codes += [codes[1] if counts[2] is counts[1] else _Code(counts[2]), _Code(counts[3]), _Code(far)]
+
+    w.write(int(cached), 1)
+    if cached:
+        w.write(_CACHE_BITS, 4)
+    if main:
+        w.write(0, 1)  # one group of codes
+    for code in codes:
+        code.write(w)
+    values, sizes = np.zeros(len(pixels), np.uint64), np.zeros(len(pixels), np.int64)
+    for code, c in zip(codes[:4], range(4), strict=True):
+        own = samples[plain, c]
+        values[plain] |= code.codes[own] << sizes[plain].astype(np.uint64)
+        sizes[plain] += code.sizes[own]
+    if cached:
+        own = 256 + _LENGTH_SYMBOLS + slots[hits].astype(np.int64)
+        values[hits], sizes[hits] = codes[0].codes[own], codes[0].sizes[own]
+    for (i, _, _), (s, extra, k), (ds, dextra, dk) in zip(copies, lengths, distances, strict=True):
+        value, size = int(codes[0].codes[256 + s]), int(codes[0].sizes[256 + s])
+        value, size = value | extra << size, size + k
+        value, size = value | int(codes[4].codes[ds]) << size, size + int(codes[4].sizes[ds])
+        values[i], sizes[i] = value | dextra << size, size + dk
+    w.extend(values, sizes)
+
+
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    """The least short code of each distance."""
+    return {_distance(code, width): code for code in range(len(_NEAR), 0, -1)}
+
+
+def _joined(samples: np.ndarray) -> np.ndarray:
+    """(..., 3) samples of red, green, blue -> opaque pixels as numbers."""
+    wide = samples.astype(np.uint32)
+    return np.uint32(255 << 24) | wide[..., 0] << np.uint32(16) | wide[..., 1] << np.uint32(8) | wide[..., 2]
+
+
+#: Bits that a transform must be expected to save.
+_WORTH = 100
 
 
 def encode_pixels(rgb: bytes, width: int, height: int) -> bytes:
     """A WebP file of opaque pixels, three samples each."""
-    samples = np.frombuffer(rgb, np.uint8).reshape(-1, 3)[:, [1, 0, 2]]
-    stream = _plain_header(width, height) + samples.tobytes().translate(_REVERSED)
+    samples = np.frombuffer(rgb, np.uint8).reshape(height, width, 3)
+    w = BitWriter()
+    for value, n in ((_SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
+        w.write(value, n)
+    pixels = _joined(samples).ravel()
+    costs = {"": _bits(np.bincount(samples.ravel(), minlength=256))}
+    others = samples[:, :, ::2] - samples[:, :, 1:2]
+    costs["green"] = _WORTH + _bits(np.bincount(samples[:, :, 1].ravel())) + _bits(np.bincount(others.ravel()))
+    residual = samples.copy()
+    residual[0, 1:] -= samples[0, :-1]
+    residual[1:] -= samples[:-1]
+    costs["above"] = _WORTH + _bits(np.bincount(residual.ravel()))
+    colours = np.unique(pixels)
+    if len(colours) <= 256:
+        index = np.searchsorted(colours, pixels).reshape(height, width)
+        costs["palette"] = _WORTH + 20 * len(colours) + _bits(np.bincount(index.ravel()))
+    best = min(costs, key=lambda k: costs[k])
+    if best == "palette":
+        w.write(1, 1)
+        w.write(3, 2)
+        w.write(len(colours) - 1, 8)
+        deltas = colours.view(np.uint8).reshape(-1, 4).copy()
+        deltas[1:] -= deltas[:-1].copy()
+        _write_image(w, deltas.view(np.uint32).ravel(), len(colours), False)
+        pack = palette_pack(len(colours))
+        coded = -(-width >> pack)
+        packed = np.zeros((height, coded << pack), np.uint32)
+        packed[:, :width] = index
+        shifts = np.arange(1 << pack, dtype=np.uint32) * np.uint32(8 >> pack)
+        pixels = (packed.reshape(height, coded, -1) << shifts).sum(2, dtype=np.uint32).ravel() << np.uint32(8)
+        width = coded
+    elif best == "green":
+        w.write(1, 1)
+        w.write(2, 2)
+        pixels = _joined(np.stack([others[:, :, 0], samples[:, :, 1], others[:, :, 1]], axis=2)).ravel()
+    elif best == "above":
+        w.write(1, 1)
+        w.write(0, 2)
+        w.write(7, 3)  # blocks of 512 pixels
+        modes = np.full((-(-height >> 9)) * (-(-width >> 9)), 2 << 8, np.uint32)
+        _write_image(w, modes, -(-width >> 9), False)
+        pixels = (_joined(residual) & np.uint32(0xFFFFFF)).ravel()
+        # only the first pixel's alpha is not predicted; black is opaque, so it is 0 as well
+    w.write(0, 1)
+    _write_image(w, pixels, width, True)
+    stream = w.bytes()
     pad = b"\0" * (len(stream) % 2)
     body = b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
     return b"RIFF" + struct.pack("<I", len(body)) + body
