@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 from array import array
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 
@@ -102,10 +103,10 @@ class PrefixCode:
 
 
 def canonical(lengths: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Symbol, length and code of each symbol; the first bit of a code is its lowest."""
+    """Symbol, length and code of each of the ascending symbols; the first bit of a code is its lowest."""
     code = last = 0
     out = []
-    for symbol, n in sorted(lengths, key=lambda x: (x[1], x[0])):
+    for symbol, n in sorted(lengths, key=itemgetter(1)):
         code <<= n - last
         last = n
         out.append((symbol, n, _REVERSED[code] >> 15 - n))
@@ -120,8 +121,8 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
         symbols = {first, bits.read(8)} if two else {first}
         if max(symbols) >= alphabet:
             raise WebPError("a symbol lies outside its alphabet")
-        return PrefixCode([(s, 1) for s in symbols])
-    own = [(_CODE_LENGTH_ORDER[i], n) for i in range(4 + bits.read(4)) if (n := bits.read(3))]
+        return PrefixCode([(s, 1) for s in sorted(symbols)])
+    own = sorted((_CODE_LENGTH_ORDER[i], n) for i in range(4 + bits.read(4)) if (n := bits.read(3)))
     code = PrefixCode(own)
     left = alphabet
     if bits.read(1):
@@ -159,7 +160,20 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
 
 def _read_group(bits: Bits, cache_size: int) -> list[PrefixCode]:
     alphabets = [256 + _LENGTH_SYMBOLS + cache_size, 256, 256, 256, _DISTANCE_SYMBOLS]
-    return [_read_code(bits, n) for n in alphabets]
+    out: list[PrefixCode] = []
+    last = (0, 0, 0)  # size, bits and alphabet of the code before
+    for n in alphabets:
+        size, own, alphabet = last
+        # a code written like the one before is that code: blue often follows red so
+        if size and alphabet == n and size <= _WINDOW_BITS and bits.window() & ((1 << size) - 1) == own:
+            out.append(out[-1])
+            bits.skip(size)
+            continue
+        start, window = bits.at, bits.window()
+        out.append(_read_code(bits, n))
+        size = bits.at - start
+        last = (size, window & ((1 << size) - 1), n)
+    return out
 
 
 def _distance(code: int, width: int) -> int:
@@ -478,12 +492,22 @@ def code_lengths(counts: list[int], longest: int) -> list[int]:
         floor *= 2
 
 
+@lru_cache(maxsize=1024)
+def _lone_code(alphabet: int, symbol: int) -> _Code:
+    return _Code(np.bincount([symbol], minlength=alphabet))
+
+
+def _code(counts: np.ndarray) -> _Code:
+    used = np.flatnonzero(counts)
+    return _Code(counts) if len(used) > 1 else _lone_code(len(counts), int(used[0]) if len(used) else 0)
+
+
 class _Code:
     """A prefix code for counted symbols, to be written and used."""
 
     def __init__(self, counts: np.ndarray) -> None:
         self.alphabet = len(counts)
-        used = np.flatnonzero(counts).tolist() or [0]
+        used = np.flatnonzero(counts).tolist()
         self.lengths = list(zip(used, code_lengths(counts[used].tolist(), _LONGEST) if len(used) > 1 else [1], strict=True))
         self.codes, self.sizes = np.zeros(self.alphabet, np.uint64), np.zeros(self.alphabet, np.int64)
         if len(used) > 1:
@@ -649,9 +673,9 @@ def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool) -> No
     if cached:
         green += np.bincount(256 + _LENGTH_SYMBOLS + slots[hits].astype(np.int64), minlength=len(green))
     far = np.bincount([s for s, _, _ in distances], minlength=_DISTANCE_SYMBOLS)
-    codes = [_Code(green)]
-    codes.append(codes[0] if counts[1] is counts[0] and not copies and not cached else _Code(counts[1]))
-    codes += [codes[1] if counts[2] is counts[1] else _Code(counts[2]), _Code(counts[3]), _Code(far)]
+    codes = [_code(green)]
+    codes.append(codes[0] if counts[1] is counts[0] and not copies and not cached else _code(counts[1]))
+    codes += [codes[1] if counts[2] is counts[1] else _code(counts[2]), _code(counts[3]), _code(far)]
 
     w.write(int(cached), 1)
     if cached:
