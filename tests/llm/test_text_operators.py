@@ -197,12 +197,47 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 def test_page_text():
     page = html_text.parse(PAGE)
     assert html_text.extract(page, None) == "Title <a>\nPara onebold x\nTwo & lines\na\nb"
-    assert html_text.choose(page).endswith(">div.content.post-#")
+    chosen = html_text.choose(page, html_text.verdicts(page))
+    assert {n.step for n in page.nodes if n.path == chosen} == {"div.content.post-#"}
 
 
 @pytest.mark.parametrize("source", [None, "", "<", "<p", "<!--", "<script>", "<div>" * 3000, "</p></div>", "&#0;&bogus;<b"])
 def test_broken_pages(source):
-    assert isinstance(html_text.extract(html_text.parse(source or ""), ">html"), str)
+    assert isinstance(html_text.extract(html_text.parse(source or ""), 5), str)
+
+
+@pytest.mark.parametrize("opening", ['<div class="elementor-widget">', '<div class="layout left-sidebar">', '<div id="discussion">', '<div class="share-price-story">'])
+def test_pages_named_like_clutter(opening):
+    page = html_text.parse(f"<body><nav>menu</nav>{opening}<p>First paragraph.</p><p>Second one.</p></div><footer>f</footer></body>")
+    assert html_text.extract(page) == "First paragraph.\nSecond one."
+
+
+def test_suspects_stay_out():
+    """Long reader remarks, lists of links and a sidebar beside an article are no content however long."""
+    links = "<div class='related'>" + "<a href='x'>another story of the day</a> " * 30 + "</div>"
+    remarks = "<div class='comments'>" + "<p>what a nice story this is</p>" * 30 + "</div>"
+    side = "<div class='sidebar'>" + "about this site and all of its authors " * 30 + "</div>"
+    article = "<article><p>The story itself is short, but here it is, all of it.</p></article>"
+    assert html_text.extract(html_text.parse(f"<body><div><p>The story.</p></div>{links}{remarks}</body>")) == "The story."
+    assert html_text.extract(html_text.parse(f"<body>{article}{side}{links}{remarks}</body>")) == "The story itself is short, but here it is, all of it."
+
+
+def test_deep_pages():
+    source = "<div class='c'>" * 10_000 + "<p>deep</p>" + "</div>" * 10_000
+    assert html_text.extract(html_text.parse(source)) == "deep"
+
+
+def test_host_decides_what_is_clutter(spark):
+    """A page whose sidebar is longer than its story follows its host; one of a host of such pages keeps it."""
+    side = "<body><div class='main-story'>{0}</div><div class='left-sidebar'>{1}</div></body>"
+    long, short = "a long story goes on " * 20, "a short word"
+    pages = [(i, "https://a.example/x", side.format(f"<p>{long}</p>", short)) for i in range(4)] + [(4, "https://a.example/x", side.format(f"<p>{short}</p>", long))]
+    pages += [(10 + i, "https://b.example/x", side.format(short, f"<p>{long}</p>")) for i in range(3)] + [(20, "https://c.example/x", side.format(short, f"<p>{long}</p>"))]
+    pages += [(30 + i, "https://d.example/x", side.format(f"<p>{long}</p>", short) if i else side.format(f"<p>{short}</p>", long)) for i in range(2)]
+    out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert out[0] == long.strip() and out[4] == short
+    assert long.strip() in out[10] and long.strip() in out[20]
+    assert long.strip() in out[30] and out[31] == long.strip()  # a tie leaves each page to itself
 
 
 def test_host_consensus(spark):
