@@ -12,6 +12,7 @@ from codeloom.functions import text as T
 from codeloom.operators import build, graph, maintain, search
 from codeloom.operators import context as ctx
 from codeloom.plans import bindings as b
+from codeloom.plans import code_catalogue as code
 from codeloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,3 +607,8 @@ def hydrate_hits(spark: SparkSession, sf: str) -> DataFrame:
     nodes = b.nodes(spark, sf).where("kind = 'File'")
     hits = nodes.where(F.col("id") < b.CUSTOMER + 100).select(F.col("id").alias("ref_id"), "file_id", F.lit("").alias("path"))
     return search.hydrate(hits, nodes.select("id", "path")).select("ref_id", "path")
+
+
+# queries over generated sources
+QUERIES |= code.QUERIES
+ORACLES |= code.ORACLES

@@ -458,7 +458,7 @@ def parse(language: str | None, path: str, source: str) -> Facts:
     if language not in ("javascript", "typescript", "rust"):
         return facts
     code = _Code(source, language == "rust")
-    lines = source.splitlines()
+    lines = source.split("\n")
     found = sorted(set((_rust_symbols if code.rust else _script_symbols)(code)), key=lambda s: (s[0], -s[1]))
     for start, end, kind, name, _ in found:
         snippet = source[start:end]
