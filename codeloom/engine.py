@@ -48,7 +48,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, store: str | None = None) -> None:
         self.spark, self.root = spark, str(Path(root).resolve())
         self.store = Store(spark, store or f"file://{self.root}/.codeloom/store")
-        self._cached: tuple[str, dict[str, DataFrame]] | None = None
+        self._cached: tuple[int, dict[str, DataFrame]] | None = None
 
     # writing
 
@@ -110,7 +110,7 @@ class Engine:
 
     def table(self, name: str) -> DataFrame:
         """A table of the current version, cached while that version lasts."""
-        version = self.store.version() or ""
+        version = self.store.version() or 0
         if self._cached is None or self._cached[0] != version:
             for df in self._cached[1].values() if self._cached else ():
                 df.unpersist()

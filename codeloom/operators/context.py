@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 def budget_prefix(pieces: DataFrame, column: str, order: list[str], budget: int) -> DataFrame:
     """The pieces that fit, in order, up to the first that does not; ``used`` is the running size in bytes.
 
-    The running sum takes one task, so callers bound the pieces first: to ``budget`` + 1, say.
+    Null and empty pieces take nothing. No more than ``budget`` pieces that take something can fit, so
+    only the first of those are summed, in one task; where they end decides all the others by ``order``.
     """
-    running = F.sum(F.octet_length(column)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return pieces.withColumn("used", running.cast("bigint")).where(F.col("used") <= budget)
+    key, size = F.struct(*order), F.coalesce(F.octet_length(column), F.lit(0))
+    first = pieces.where(size > 0).select(key.alias("key"), size.alias("size")).orderBy("key").limit(budget + 1)
+    running = first.withColumn("used", F.sum("size").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+    marks = running.agg(
+        F.sort_array(F.collect_list(F.when(F.col("used") <= budget, F.struct("key", "used")))).alias("fit"),
+        F.min(F.when(F.col("used") > budget, F.col("key"))).alias("cut"),
+    )
+    placed = pieces.withColumn("__key", key).join(F.broadcast(marks), F.lit(True)).where(F.col("cut").isNull() | (F.col("__key") < F.col("cut")))
+    upto = F.filter("fit", lambda m: m["key"] <= F.col("__key"))
+    used = F.coalesce(F.try_element_at(upto, F.lit(-1))["used"], F.lit(0).cast("bigint"))
+    return placed.withColumn("used", used).drop("__key", "fit", "cut")
 
 
 def edge_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +38,6 @@ def query_parts(query: str) -> list[list[str]]:
     return [terms for terms in map(fold_terms, raw) if terms]
 
 
-@dataclass
-class CorpusStats:
-    """Rows, and terms in all of them."""
-
-    rows: int
-    terms: int
-
-
 def index_rows(files: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """kind, ref_id, file_id, node_id, path, name, text: files, nodes of the indexed kinds, file chunks."""
     none = F.lit(None).cast("bigint")

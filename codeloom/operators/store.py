@@ -1,16 +1,20 @@
-"""Versioned Parquet tables: a new version is written beside the old one, then a pointer swaps.
+"""Versioned Parquet tables: tables are written aside, then one small file makes them a version.
 
-Readers see the version that the pointer names. A run that fails leaves the pointer, and so the
-store, as it was. One writer at a time.
+``versions/N.json`` names the folder of each table of version N; the largest N counts. The file is
+written under another name and renamed to one that doesn't exist yet, which file systems do at once
+or not at all, so a run that fails at any point leaves the store as it was. Tables that a version
+doesn't bring along are those of the version before. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["files", "facts", "nodes", "edges", "chunks"]
+#: Versions whose tables are kept for readers that began with them.
+KEPT = 3
 
 
 class Store:
@@ -18,51 +22,69 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._jvm = jvm
 
-    def version(self) -> str | None:
+    def _names(self, folder: str) -> list[str]:
+        here = self._path(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(here)) if self._fs.exists(here) else []
+
+    def versions(self) -> list[int]:
+        """The numbers of complete versions, the current one last."""
+        return sorted(int(n[: -len(".json")]) for n in self._names("versions") if n.endswith(".json"))
+
+    def version(self) -> int | None:
         """The current version; None before the first."""
-        pointer = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        stream = self._fs.open(pointer)
+        return max(self.versions(), default=None)
+
+    def tables(self, version: int | None = None) -> dict[str, str]:
+        """Folder by table of a version, by default the current one."""
+        version = self.version() if version is None else version
+        if version is None:
+            return {}
+        stream = self._fs.open(self._path(f"{self.root}/versions/{version}.json"))
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def read(self, name: str) -> DataFrame:
         """A table of the current version."""
-        version = self.version()
-        if version is None:
-            raise FileNotFoundError(f"nothing is indexed in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{version}/{name}")
+        folder = self.tables().get(name)
+        if folder is None:
+            raise FileNotFoundError(f"no table {name} is stored in {self.root}")
+        return self.spark.read.parquet(f"{self.root}/{folder}")
 
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """Write a whole new version, swap the pointer, drop the version before the last."""
-        old, new = self.version(), f"v-{uuid.uuid4().hex}"
+    def write(self, tables: dict[str, DataFrame]) -> int:
+        """Write tables, make them a new version, drop what only old versions hold."""
+        old = self.version()
+        named, new = dict(self.tables(old)) if old is not None else {}, (old or 0) + 1
+        folder = f"data/{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{new}/{name}")
-        beside = self._path(f"{self.root}/CURRENT.{new}")
+            df.write.parquet(f"{self.root}/{folder}/{name}")
+            named[name] = f"{folder}/{name}"
+        self._fs.mkdirs(self._path(f"{self.root}/versions"))
+        beside = self._path(f"{self.root}/versions/{uuid.uuid4().hex}.part")
         stream = self._fs.create(beside, True)
         try:
-            stream.write(bytearray(new.encode()))
+            stream.write(bytearray(json.dumps(named, sort_keys=True).encode()))
         finally:
             stream.close()
-        pointer = self._path(f"{self.root}/CURRENT")
-        # HDFS and object stores refuse to rename over a file; the new version is complete by now
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(beside, pointer)
-        for status in self._fs.listStatus(self._path(self.root)):
-            name = status.getPath().getName()
-            if name.startswith("v-") and name not in (old, new):
-                self._fs.delete(status.getPath(), True)
+        if not self._fs.rename(beside, self._path(f"{self.root}/versions/{new}.json")):
+            raise OSError(f"version {new} of {self.root} could not be made")
+        self._clean()
         return new
 
+    def _clean(self) -> None:
+        versions = self.versions()
+        held = {f.split("/")[1] for v in versions[-KEPT:] for f in self.tables(v).values()}
+        for v in versions[:-KEPT]:
+            self._fs.delete(self._path(f"{self.root}/versions/{v}.json"), False)
+        for name in self._names("data"):
+            if name not in held:
+                self._fs.delete(self._path(f"{self.root}/data/{name}"), True)
+
     def size(self) -> int:
         """Bytes of all versions."""
         here = self._path(self.root)

@@ -131,30 +131,16 @@ def file_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return build.file_chunks(b.files(spark, sf))
 
 
-@_register(
-    "chunk_preview",
-    _files(
-        f""", k AS (SELECT id, text, {len(T.PREVIEW_MARK.encode()) + T.PREVIEW_BYTES} AS most FROM files WHERE strlen(text) = length(text))
-    SELECT id, CASE WHEN strlen(text) <= most THEN text ELSE regexp_replace(left(text, 1200), '\\s+$', '') || chr(10) || '{T.PREVIEW_MARK[1:]}' END AS preview FROM k"""
-    ),
-)
-def chunk_preview(spark: SparkSession, sf: str) -> DataFrame:
-    ascii_only = b.files(spark, sf).where(F.octet_length("text") == F.char_length("text"))
-    return ascii_only.select("id", T.preview(F.col("text")).alias("preview"))
-
-
-@_register(
-    "chunk_preview_all",
-    _files(
-        f""", k AS (SELECT id, text, coalesce(strlen(text) > {len(T.PREVIEW_MARK.encode()) + T.PREVIEW_BYTES}, false) AS cut FROM files),
+_PREVIEWS_SQL = f""", k AS (SELECT id, text, coalesce(strlen(text) > {len(T.PREVIEW_MARK.encode()) + T.PREVIEW_BYTES}, false) AS cut FROM files),
     c AS (SELECT id, unnest(string_split(left(text, {T.PREVIEW_BYTES}), '')) AS ch, generate_subscripts(string_split(left(text, {T.PREVIEW_BYTES}), ''), 1) AS i FROM k WHERE cut),
     u AS (SELECT id, ch, i, sum(strlen(ch)) OVER (PARTITION BY id ORDER BY i) AS upto FROM c),
-    s AS (SELECT id, string_agg(ch, '' ORDER BY i) AS head FROM u WHERE upto <= {T.PREVIEW_BYTES} GROUP BY id)
-    SELECT id, CASE WHEN cut THEN regexp_replace(head, '\\s+$', '') || chr(10) || '{T.PREVIEW_MARK[1:]}' ELSE text END AS preview FROM k LEFT JOIN s USING (id)"""
-    ),
-)
-def chunk_preview_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``chunk_preview`` of all files, whatever their characters."""
+    s AS (SELECT id, string_agg(ch, '' ORDER BY i) AS head FROM u WHERE upto <= {T.PREVIEW_BYTES} GROUP BY id),
+    previews AS (SELECT id, CASE WHEN cut THEN regexp_replace(head, '\\s+$', '') || chr(10) || '{T.PREVIEW_MARK[1:]}' ELSE text END AS preview FROM k LEFT JOIN s USING (id))"""
+
+
+@_register("chunk_preview", _files(f"{_PREVIEWS_SQL} SELECT id, preview FROM previews"))
+def chunk_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """Previews cut at bytes, never inside a character."""
     return b.files(spark, sf).select("id", T.preview(F.col("text")).alias("preview"))
 
 
@@ -235,23 +221,38 @@ def search_by_path(spark: SparkSession, sf: str) -> DataFrame:
 _LIKE = "lower({}) LIKE '%{}%'"
 
 
-@_register(
-    "search_like",
-    f"""WITH {b.FILES_SQL}, {b.NODES_SQL}, f AS (
+def _like_sql(query: str, limit: int) -> str:
+    return f"""WITH {b.FILES_SQL}, {b.NODES_SQL} {_PREVIEWS_SQL}, lf AS (
         SELECT 'file' AS kind, id AS ref_id, id AS file_id, CAST(NULL AS BIGINT) AS node_id, path, path AS name, language AS snippet,
-               CASE WHEN path = 'building' THEN 100.0 WHEN {_LIKE.format("path", "building")} THEN 50.0 ELSE 1.0 END AS score, 0 AS branch, path AS ord
-        FROM files WHERE {_LIKE.format("path", "building")} OR {_LIKE.format("language", "building")} ORDER BY score DESC, path, ref_id LIMIT 25),
-    n AS (
+               CASE WHEN path = '{query}' THEN 100.0 WHEN {_LIKE.format("path", query)} THEN 50.0 ELSE 1.0 END AS score, 0 AS branch, path AS ord
+        FROM files WHERE {_LIKE.format("path", query)} OR {_LIKE.format("language", query)} ORDER BY score DESC, path, ref_id LIMIT {limit}),
+    ln AS (
         SELECT 'node', id, file_id, id, path, name, summary,
-               CASE WHEN name = 'building' THEN 100.0 WHEN {_LIKE.format("qualified_name", "building")} THEN 60.0 ELSE 10.0 END AS score, 1, name
-        FROM nodes WHERE {" OR ".join(_LIKE.format(c, "building") for c in ("name", "qualified_name", "summary", "path"))} ORDER BY score DESC, name, id LIMIT 25)
-    SELECT kind, ref_id, file_id, node_id, path, name, snippet, CAST(score AS DOUBLE) AS score FROM (SELECT * FROM f UNION ALL SELECT * FROM n) AS u
-    ORDER BY score DESC, branch, ord, ref_id LIMIT 25""",
-)
-def search_like(spark: SparkSession, sf: str) -> DataFrame:
+               CASE WHEN name = '{query}' THEN 100.0 WHEN {_LIKE.format("qualified_name", query)} THEN 60.0 ELSE 10.0 END AS score, 1, name
+        FROM nodes WHERE {" OR ".join(_LIKE.format(c, query) for c in ("name", "qualified_name", "summary", "path"))} ORDER BY score DESC, name, id LIMIT {limit}),
+    lc AS (
+        SELECT 'chunk', id, id, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 'file', left(preview, 240), 5.0 AS score, 2, ''
+        FROM previews WHERE {_LIKE.format("preview", query)} ORDER BY id LIMIT {limit})
+    SELECT kind, ref_id, file_id, node_id, path, name, snippet, CAST(score AS DOUBLE) AS score FROM (SELECT * FROM lf UNION ALL SELECT * FROM ln UNION ALL SELECT * FROM lc) AS u
+    ORDER BY score DESC, branch, ord, ref_id LIMIT {limit}"""
+
+
+def _search_like(spark: SparkSession, sf: str, query: str, limit: int) -> DataFrame:
     files, nodes = b.files(spark, sf), b.nodes(spark, sf)
-    chunks = files.select("id", F.col("id").alias("file_id"), F.lit(None).cast("bigint").alias("node_id"), F.lit("file").alias("kind"), "text", F.lit(None).cast("string").alias("summary")).where(F.lit(False))
-    return search.search_like(files, nodes, chunks, "building", 25)
+    chunks = files.select("id", F.col("id").alias("file_id"), F.lit(None).cast("bigint").alias("node_id"), F.lit("file").alias("kind"), "text", F.lit(None).cast("string").alias("summary"))
+    return search.search_like(files, nodes, chunks, query, limit)
+
+
+@_register("search_like", _like_sql("building", 25))
+def search_like(spark: SparkSession, sf: str) -> DataFrame:
+    """Files and nodes fill the result."""
+    return _search_like(spark, sf, "building", 25)
+
+
+@_register("search_like_chunks", _like_sql("license", 25))
+def search_like_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """What only texts hold."""
+    return _search_like(spark, sf, "license", 25)
 
 
 def _match_sql(query: str, kinds: list[str], limit: int) -> str:
@@ -298,13 +299,14 @@ def glob_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(
     "suggested_tests",
-    _graph("SELECT id, kind, name, path FROM nodes WHERE kind = 'Test' AND (contains(lower(coalesce(path, '') || name || kind), 'test')) ORDER BY id LIMIT 8"),
+    code.BASE
+    + """, files AS (SELECT id, path FROM code UNION ALL SELECT id, path FROM tests), hits AS (SELECT id, path FROM files WHERE contains(path, '/m5') ORDER BY path, id LIMIT 60)
+    SELECT id, path FROM hits WHERE contains(lower(path || path), 'test') OR contains(lower(path || path), 'spec') ORDER BY path, id LIMIT 8""",
 )
 def suggested_tests(spark: SparkSession, sf: str) -> DataFrame:
-    hits = b.nodes(spark, sf).where("kind = 'Test'").orderBy("id")
-    named = hits.withColumn("name", F.concat("name", "kind"))
-    found = search.suggest_tests(named).select("id", "kind", "path", F.regexp_replace("name", "Test$", "").alias("name"))
-    return found.select("id", "kind", "name", "path")
+    """Of the files that a search finds, those that speak of tests."""
+    found = search.glob_files(code.code_files(spark, sf), "**/m5*", 60)
+    return search.suggest_tests(found.withColumn("name", F.col("path"))).select("id", "path")
 
 
 _PLACE = "coalesce(path, ''), coalesce(start_line, 0), id"
@@ -570,13 +572,12 @@ def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(
     "context_pack_prefix",
-    _files(""", p AS (SELECT id, path, left(text, 300) AS piece FROM files), s AS (SELECT id, path, sum(strlen(piece)) OVER (ORDER BY path, id) AS used FROM p)
-    SELECT id, path, CAST(used AS BIGINT) AS used FROM s WHERE used <= 4000"""),
+    _files(""", s AS (SELECT id, path, sum(coalesce(strlen(text), 0)) OVER (ORDER BY path, id) AS used FROM files)
+    SELECT id, path, CAST(used AS BIGINT) AS used FROM s WHERE used <= 100000"""),
 )
 def context_pack_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    # a piece takes a byte at least or ends nothing, so no more than the budget's bytes can fit
-    pieces = b.files(spark, sf).select("id", "path", F.left("text", F.lit(300)).alias("piece")).orderBy("path", "id").limit(4001)
-    return ctx.budget_prefix(pieces, "piece", ["path", "id"], 4000).select("id", "path", "used")
+    pieces = b.files(spark, sf).select("id", "path", "text")
+    return ctx.budget_prefix(pieces, "text", ["path", "id"], 100_000).select("id", "path", "used")
 
 
 @_register("trim_text", _files("SELECT id, CASE WHEN length(text) > 160 THEN left(text, 157) || '...' ELSE text END AS shown FROM files"))
@@ -601,11 +602,11 @@ def brief_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(
     "hydrate_hits",
-    _graph(f"SELECT id AS ref_id, path FROM nodes WHERE kind = 'File' AND id < {b.CUSTOMER + 100}"),
+    _graph("SELECT id AS ref_id, path FROM nodes WHERE kind = 'File'"),
 )
 def hydrate_hits(spark: SparkSession, sf: str) -> DataFrame:
     nodes = b.nodes(spark, sf).where("kind = 'File'")
-    hits = nodes.where(F.col("id") < b.CUSTOMER + 100).select(F.col("id").alias("ref_id"), "file_id", F.lit("").alias("path"))
+    hits = nodes.select(F.col("id").alias("ref_id"), "file_id", F.lit("").alias("path"))
     return search.hydrate(hits, nodes.select("id", "path")).select("ref_id", "path")
 
 

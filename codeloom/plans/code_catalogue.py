@@ -111,7 +111,7 @@ _IMPORTS_SQL = " UNION ALL ".join(
 _DIRS_SQL = "SELECT DISTINCT 'src/g' || (k % 7) AS path, 'g' || (k % 7) AS name, 'src' AS parent FROM code UNION ALL SELECT 'src', 'src', '.'"
 _ROUTE = "path || '::route::GET /c/' || k"
 
-_BASE = f"""WITH code AS (
+BASE = f"""WITH code AS (
         SELECT c_custkey AS id, c_custkey AS k, greatest(1, c_custkey // 2) AS t, 'src/g' || (c_custkey % 7) || '/m' || c_custkey || '.ts' AS path,
                'src/g' || (greatest(1, c_custkey // 2) % 7) || '/m' || greatest(1, c_custkey // 2) || '.ts' AS target FROM customer),
     tests AS (SELECT {TEST_FILE} + k AS id, k, t, 'src/g' || (k % 7) || '/m' || k || '.test.ts' AS path, code.path AS target FROM code WHERE k % 5 = 0),
@@ -145,7 +145,7 @@ ORACLES = {}
 
 def _register(name: str, sql: str):  # noqa: ANN202
     def add(query):  # noqa: ANN001, ANN202
-        QUERIES[name], ORACLES[name] = query, f"{_BASE} {sql}"
+        QUERIES[name], ORACLES[name] = query, f"{BASE} {sql}"
         return query
 
     return add

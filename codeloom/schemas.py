@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Kinds of nodes and edges, as stored.
-NODE_KINDS = ["Repository", "Directory", "File", "Symbol", "Function", "Method", "Class", "Type", "Test", "Doc", "Endpoint"]
-EDGE_KINDS = ["CONTAINS", "DEFINES", "IMPORTS", "CALLS", "REFERENCES", "TESTS", "DOCUMENTS"]
+# Kinds of nodes, as stored.
 
 #: Kinds that symbol search returns.
 SYMBOL_KINDS = ["Function", "Method", "Class", "Type", "Test", "Endpoint"]
@@ -22,19 +20,7 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
-FILES = _schema(
-    ("id", _L), ("path", _S), ("abs_path", _S), ("extension", _S), ("language", _S),
-    ("hash", _S), ("size", _L), ("modified_at", _L), ("is_binary", _B),
-)
 NODES = _schema(
     ("id", _L), ("file_id", _L), ("kind", _S), ("name", _S), ("qualified_name", _S), ("path", _S),
     ("start_line", _L), ("end_line", _L), ("summary", _S), ("metadata", _S), ("seq", _L),
 )
-EDGES = _schema(
-    ("id", _L), ("source_id", _L), ("target_id", _L), ("kind", _S), ("metadata", _S),
-    ("is_derived", _B), ("file_id", _L), ("seq", _L),
-)
-CHUNKS = _schema(
-    ("id", _L), ("file_id", _L), ("node_id", _L), ("kind", _S), ("text", _S),
-    ("start_line", _L), ("end_line", _L), ("summary", _S), ("seq", _L),
-)

@@ -38,7 +38,7 @@ def test_query_equals_oracle(spark, oracle, name):
 
 def test_previews_of_all_files_cut_at_bytes(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r.id: r.preview for r in catalogue.QUERIES["chunk_preview_all"](spark, SF).collect()}
+    got = {r.id: r.preview for r in catalogue.QUERIES["chunk_preview"](spark, SF).collect()}
     assert set(got) == set(texts)
     mark, cut = catalogue.T.PREVIEW_MARK, 0
     for i, text in texts.items():
