@@ -2,10 +2,12 @@
 
 A rule is a regular expression with a label, a priority and keywords: single words, one of which is
 in each of its matches however the words are parted. A text is searched only with the rules of which
-it holds a keyword. Among overlapping detections the one of higher priority
-wins, then the longer one, and whatever lies inside a detection that already won is suppressed.
-Rules are made from families of names, versions and forms of mention. Four base phrases are
-counted word by word beside them and their labels always stay.
+it holds a keyword. Detections are taken by falling priority, then length, then place, then label;
+whatever lies inside a detection that was taken is suppressed, and so is an equal span of the same or
+a lower rank. Detections that overlap only in part all stay, whatever their ranks, because each covers
+text that the other doesn't. The rules in ``license_rules`` are written by hand; identifiers in SPDX
+tags and the terms and versions of Creative Commons, which follow a scheme, are made from it. Four
+base phrases are counted word by word beside them and their labels always stay.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import map_arrow, replace_columns, table
+from codeloom.llm.license_rules import SIGNATURES
 
 _WORD = rb"[0-9a-z\x80-\xff]"
 _GAP = rb"[^0-9a-z\x80-\xff]+"
@@ -56,46 +59,6 @@ class Rule:
     keywords: tuple[bytes, ...]
 
 
-#: Label stem, full names, short names, versions ("" for none) and keywords of each family.
-_FAMILIES: list[tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = [
-    ("gpl", ("gnu general public license", "gnu gpl"), ("gpl",), ("1.0", "2.0", "3.0", ""), ("gpl", "general")),
-    ("lgpl", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl"), ("lgpl",), ("2.0", "2.1", "3.0", ""), ("lgpl", "lesser", "library")),
-    ("agpl", ("gnu affero general public license", "affero general public license", "gnu agpl"), ("agpl",), ("1.0", "3.0", ""), ("agpl", "affero")),
-    ("gfdl", ("gnu free documentation license",), ("gfdl",), ("1.1", "1.2", "1.3", ""), ("gfdl", "documentation")),
-    ("apache", ("apache software license", "apache license"), ("asl",), ("1.0", "1.1", "2.0", ""), ("apache", "asl")),
-    ("mpl", ("mozilla public license",), ("mpl",), ("1.0", "1.1", "2.0", ""), ("mozilla", "mpl")),
-    ("epl", ("eclipse public license",), ("epl",), ("1.0", "2.0", ""), ("eclipse", "epl")),
-    ("eupl", ("european union public license", "european union public licence"), ("eupl",), ("1.0", "1.1", "1.2", ""), ("eupl", "european")),
-    ("cddl", ("common development and distribution license",), ("cddl",), ("1.0", "1.1", ""), ("cddl", "common")),
-    ("cpl", ("common public license",), (), ("1.0", ""), ("common",)),
-    ("osl", ("open software license",), ("osl",), ("1.0", "2.0", "2.1", "3.0", ""), ("osl", "open")),
-    ("afl", ("academic free license",), ("afl",), ("1.1", "1.2", "2.0", "2.1", "3.0", ""), ("academic", "afl")),
-    ("artistic", ("artistic license", "perl artistic license"), (), ("1.0", "2.0", ""), ("artistic",)),
-    ("bsl", ("boost software license",), ("bsl",), ("1.0", ""), ("boost", "bsl")),
-    ("zpl", ("zope public license",), ("zpl",), ("1.1", "2.0", "2.1", ""), ("zope", "zpl")),
-    ("odbl", ("open database license", "open data commons open database license"), ("odbl",), ("1.0", ""), ("odbl", "database")),
-    ("pddl", ("public domain dedication and license",), ("pddl",), ("1.0", ""), ("pddl", "dedication")),
-    ("ofl", ("sil open font license", "open font license"), ("ofl",), ("1.0", "1.1", ""), ("font", "ofl")),
-    ("lppl", ("latex project public license",), ("lppl",), ("1.0", "1.1", "1.2", "1.3", ""), ("latex", "lppl")),
-    ("ms-pl", ("microsoft public license",), ("ms pl",), ("",), ("microsoft", "ms")),
-    ("ms-rl", ("microsoft reciprocal license",), ("ms rl",), ("",), ("microsoft", "ms")),
-    ("python", ("python software foundation license", "psf license"), ("psfl",), ("2.0", ""), ("python", "psf")),
-    ("php", ("php license",), (), ("3.0", "3.01", ""), ("php",)),
-    ("ruby", ("ruby license",), (), ("",), ("ruby",)),
-    ("qpl", ("q public license",), ("qpl",), ("1.0", ""), ("public", "qpl")),
-    ("wtfpl", ("do what the fuck you want to public license",), ("wtfpl",), ("2.0", ""), ("wtfpl", "fuck")),
-    ("unlicense", ("the unlicense",), ("unlicense",), ("",), ("unlicense",)),
-    ("zlib", ("zlib license", "zlib libpng license"), (), ("",), ("zlib",)),
-    ("isc", ("isc license",), (), ("",), ("isc",)),
-    ("mit", ("mit license", "expat license", "license mit"), (), ("",), ("mit", "expat")),
-    ("bsd", ("bsd license", "berkeley software distribution license"), (), ("",), ("bsd", "berkeley")),
-    ("bsd-2-clause", ("2 clause bsd license", "simplified bsd license", "freebsd license", "bsd 2 clause"), (), ("",), ("bsd",)),
-    ("bsd-3-clause", ("3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license", "bsd 3 clause"), (), ("",), ("bsd",)),
-    ("bsd-4-clause", ("4 clause bsd license", "original bsd license", "bsd 4 clause"), (), ("",), ("bsd",)),
-    ("0bsd", ("zero clause bsd license", "free public license"), ("0bsd",), ("",), ("bsd", "public")),
-    ("cc0", ("cc0", "creative commons zero"), (), ("1.0", ""), ("cc0", "commons")),
-]
-
 #: Creative Commons: terms in the order of a label, and their names in full.
 _CC_TERMS = {
     "by": "attribution",
@@ -107,22 +70,6 @@ _CC_TERMS = {
 }
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0", "")
 
-#: Sentences of license texts and notices without a name.
-_PASSAGES: list[tuple[str, str, tuple[str, ...]]] = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("hereby",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", ("permission",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification", ("redistribution",)),
-    ("apache-2.0", "you may not use this file except in compliance with the license", ("compliance",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms", ("redistribute",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered",)),
-    ("public-domain", "released into the public domain", ("domain",)),
-    ("public-domain", "dedicated to the public domain", ("domain",)),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event", ("implied",)),
-    ("proprietary", "all rights reserved", ("reserved",)),
-    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", ("unauthorized",)),
-]
-
-
 def _phrase(words: str) -> bytes:
     """The words in a row, with anything but words between them."""
     return _GAP.join(re.escape(w.encode()) for w in re.findall(r"[0-9a-z]+", words))
@@ -132,14 +79,13 @@ def _bounded(pattern: bytes) -> re.Pattern[bytes]:
     return re.compile(rb"(?<!" + _WORD + rb")(?:" + pattern + rb")(?!" + _WORD + rb")")
 
 
-def _version(version: str) -> bytes:
-    """A version after a name: "v2", "version 2.0", "2.0", with an optional ".0"."""
-    major, _, minor = version.partition(".")
-    digits = re.escape(major.encode()) + ((rb"(?:\.0)?") if minor == "0" else rb"\." + re.escape(minor.encode()))
-    return rb"[^0-9a-z\x80-\xff]{0,3}(?:v\.?|version|ver\.?)?[^0-9a-z\x80-\xff]{0,3}" + digits
+#: An optional "version" and what may stand around it.
+_VERSION = rb"(?:(?:version|ver|v)[^0-9a-z\x80-\xff]*)?"
 
 
-_LATER = _GAP + rb"or" + _GAP + rb"(?:\(?at your option\)? ?)?(?:any )?(?:later|newer)"
+def _expression(written: str) -> bytes:
+    """The regular expression that a rule's notation stands for."""
+    return written.encode("latin-1").replace(b" ", _GAP).replace(b"#", _VERSION)
 
 
 @lru_cache(maxsize=1)
@@ -147,35 +93,24 @@ def rules() -> tuple[Rule, ...]:
     """All signatures, by falling priority."""
     out: list[Rule] = []
 
-    def add(label: str, pattern: bytes, priority: int, keywords: tuple[str, ...]) -> None:
+    def add(label: str, pattern: bytes, priority: int, keywords: list[str]) -> None:
         out.append(Rule(label, _bounded(pattern), priority, tuple(k.encode() for k in keywords)))
 
-    def add_versions(stem: str, label: str, names: list[bytes], version: str, priority: int, keywords: tuple[str, ...]) -> None:
-        for i, name in enumerate(names):
-            whole = name + (_version(version) if version else b"")
-            add(label, whole, priority - i, keywords)
-            if version and stem in {"gpl", "lgpl", "agpl", "gfdl"}:
-                add(f"{label}-or-later", whole + _LATER, priority + 5 - i, keywords)
-
-    for stem, names, short, versions, keywords in _FAMILIES:
-        for version in versions:
-            label = f"{stem}-{version}" if version else stem
-            full = [_phrase(n) for n in names] + ([_phrase(n) for n in short] if version else [])
-            add_versions(stem, label, full, version, 70 if version else 50, keywords)
-            add(label, rb"spdx-license-identifier:\s*" + re.escape(label.encode()), 90, ("spdx",))
+    for line in SIGNATURES.strip().splitlines():
+        label, priority, keywords, written = line.split(" :: ")
+        add(label, _expression(written), int(priority), keywords.split())
     for terms, name in _CC_TERMS.items():
         loose = name.replace("non commercial", "noncommercial").replace("share alike", "sharealike").replace("no derivatives", "noderivatives")
         for version in _CC_VERSIONS:
             label = f"cc-{terms}-{version}" if version else f"cc-{terms}"
-            tail = _version(version) if version else b""
+            tail = _expression(f" #{re.escape(version)}") if version else b""
             rank = 60 + 4 * terms.count("-") + (8 if version else 0)
-            add(label, _phrase(f"cc {terms}") + tail, rank, ("cc",))
-            for full in (name, loose):
-                add(label, rb"creative" + _GAP + rb"commons" + _GAP + _phrase(full) + tail, rank, ("creative",))
-            add(label, rb"creativecommons\.org/licenses/" + re.escape(terms.encode()) + (rb"/" + re.escape(version.encode()) if version else b""), rank + 10, ("creativecommons",))
-            add(label, rb"spdx-license-identifier:\s*" + re.escape(label.encode()), 90, ("spdx",))
-    for label, words, keywords in _PASSAGES:
-        add(label, _phrase(words), 40, keywords)
+            add(label, _phrase(f"cc {terms}") + tail, rank, ["cc"])
+            for full in dict.fromkeys((name, loose)):
+                add(label, _phrase(f"creative commons {full}") + tail, rank, ["creative"])
+            add(label, rb"creativecommons\.org/licenses/" + re.escape(terms.encode()) + (rb"/" + re.escape(version.encode()) if version else b""), rank + 10, ["creativecommons"])
+    for label in sorted({r.label for r in out}):
+        add(label, rb"spdx-license-identifier:\s*" + re.escape(label.encode()), 90, ["spdx"])
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 

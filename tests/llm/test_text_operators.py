@@ -58,21 +58,60 @@ def test_license_labels(text, label):
     assert label in licenses.scan(text.encode())[5].split(",")
 
 
-def rule_example(pattern):
-    """A text that the rule matches, with its words parted by a line break and a comment mark."""
-    body = pattern.decode("latin-1").removeprefix(f"(?<!{licenses._WORD.decode('latin-1')})(?:").removesuffix(f")(?!{licenses._WORD.decode('latin-1')})")
-    gap = licenses._GAP.decode("latin-1")
-    body = body.replace(licenses._LATER.decode("latin-1"), f"{gap}or{gap}later").replace(r"\s*", "\n")
-    body = body.replace(r"[^0-9a-z\x80-\xff]{0,3}(?:v\.?|version|ver\.?)?[^0-9a-z\x80-\xff]{0,3}", "\nv").replace(r"(?:\.0)?", "")
-    return body.replace(gap, "\n * ").replace("\\", "").encode("latin-1")
+def rule_examples(pattern):
+    """Texts that the rule matches, with gaps at line breaks: optional parts left out, and every one of them written."""
+    from re import _constants as c
+    from re import _parser
+
+    def text(tree, full):
+        out = ""
+        for op, value in tree:
+            if op is c.LITERAL:
+                out += chr(value)
+            elif op is c.IN:
+                out += "\n * " if value[0] == (c.NEGATE, None) else next(chr(v[0] if o is c.RANGE else v) for o, v in value if o in (c.LITERAL, c.RANGE))[0] if value[0][0] is not c.CATEGORY else "\n"
+            elif op is c.MAX_REPEAT:
+                least, most, inner = value
+                one = text(inner, full)
+                out += (one[:1] if one == "\n * " and most <= 3 else one) * (max(least, 1) if full else least)
+            elif op is c.SUBPATTERN:
+                out += text(value[3], full)
+            elif op is c.BRANCH:
+                out += text(value[1][-1 if full else 0], full)
+            else:
+                assert op in (c.ASSERT_NOT, c.AT), op
+        return out
+
+    tree = _parser.parse(pattern)
+    return {text(tree, full).encode("latin-1") for full in (False, True)}
 
 
 def test_every_license_rule_passes_its_keywords():
+    assert len(licenses.rules()) >= 300
     for rule in licenses.rules():
-        example = rule_example(rule.pattern.pattern)
-        assert rule.pattern.search(example), (rule.label, example)
-        assert any(k in example for k in rule.keywords), (rule.label, example)
-        assert licenses.scan(example)[5], (rule.label, example)
+        for example in rule_examples(rule.pattern.pattern):
+            assert rule.pattern.search(example), (rule.label, rule.pattern.pattern, example)
+            assert any(k in example for k in rule.keywords), (rule.label, example)
+            assert licenses.scan(example)[5], (rule.label, example)
+
+
+def test_keywords_never_lose_a_match(monkeypatch):
+    """Random texts of license words give the same labels with and without the keywords."""
+    random.seed(3)
+    bits = [w for r in licenses.rules() for e in rule_examples(r.pattern.pattern) for w in [e.decode("latin-1")]]
+    texts = [" ".join(random.choice(bits)[random.choice((0, 0, 3)) :] for _ in range(6)).encode("latin-1") for _ in range(150)]
+    gated = [licenses.detect(t) for t in texts]
+    monkeypatch.setattr(licenses, "_by_keyword", lambda: {b"": list(range(len(licenses.rules())))})
+    assert [licenses.detect(t) for t in texts] == gated
+
+
+def test_partial_overlaps_all_stay():
+    """Two detections that share words but don't contain each other, and one inside another."""
+    found = licenses.detect(b"licensed under the mit license mit and the gnu lgpl 2.1")
+    spans = {(d[2], d[0], d[1]) for d in found}
+    assert {("mit", 19, 30), ("mit", 23, 34)} <= spans  # "mit license" and "license mit"
+    assert ("lgpl-2.1", 47, 55) in spans and ("lgpl", 43, 51) in spans
+    assert not any(label == "gpl" for label, *_ in spans)
 
 
 @pytest.mark.parametrize(
@@ -92,7 +131,6 @@ def test_license_wrapped_labels(text, label):
 
 
 def test_license_suppression():
-    assert len(licenses.rules()) >= 300
     found = licenses.detect(b"gnu general public license version 3 or any later version")
     assert [d[2] for d in found] == ["gpl-3.0-or-later"]
 
