@@ -2,13 +2,16 @@
 
 Everything runs as DataFrame expressions. Generators with high recall propose spans of several
 kinds; their positions come from splitting the text by the generator's pattern. Each candidate is a
-set of yes-or-no features of its form and its surroundings, and whether it meets its kind's full
-rule (checksums, ranges, alphabets) is the label. Candidates are counted by kind and features over
-the whole corpus, so at most ``len(KINDS) * 2 ** len(FEATURES)`` counts reach the driver, and
-boosting over the counts equals boosting over all candidates. The trees become a SQL expression. A
-kind's threshold is the least score at which the counts are precise enough. A candidate that meets
-its full rule counts at any score and in any corpus; the threshold adds others, where there is one.
-Base spans, those that the contract defines, always stay.
+set of yes-or-no features of its form and its surroundings. The trees learn from texts of known
+content (``examples``): made-up personal data in usual contexts, and look-alikes such as settings,
+part numbers, times and place-holders in theirs. Candidates of these texts are counted by kind and
+features, at most ``len(KINDS) * 2 ** len(FEATURES)`` cells, and boosting over the counts equals
+boosting over all candidates. A third of the examples is held out: on it each kind's threshold is
+set, the least score from which candidates are precise enough. The trees become a SQL expression.
+
+Base spans, those that the contract defines, always stay. A further candidate stays if it meets its
+kind's full rule (formats, checksums) or reaches its kind's threshold. The model is the same for any
+corpus, so what is reported of a text doesn't depend on the texts beside it.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ BASE = {
 EXTRA = {
     "secret": (
         r"(?i)token|secret|passw|api.?key|private.?key|access.?key",
-        r"(?i)(?:token|secret|passw(?:or)?d|(?:api|access|private)[_-]?key)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_+/.=-]{6,}+[\"']?",
+        r"(?i)(?:token|secret|passw(?:or)?d|(?:api|access|private)[_-]?key)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_+/.=-]{5,}+[\"']?",
         r"(?i)^[^=:]*[=:]\x20*[\"']?(?=[A-Za-z0-9_+/.=-]*[0-9])(?=[A-Za-z0-9_+/.=-]*[a-z])[A-Za-z0-9_+/.=-]{16,}[\"']?$",
     ),
     "key": (
@@ -81,17 +84,58 @@ FEATURES = {
     "quoted": "c.hit rlike '[\"\\']'",
     "spaced": "c.hit rlike '[\\\\x20()-]'",
     "letter_end": "c.hit rlike '[A-Za-z]{2}[\"\\']?$'",
+    "word": "c.hit rlike '[=:]\\x20*[\"\\']?(?:[a-z]+|[A-Z][a-z]+|[A-Z]+|[a-z]+[._-][A-Za-z._-]+|[a-z]+[A-Z][A-Za-z]+)[\"\\']?$'",
+    "varied": "size(array_distinct(split(c.hit, ''))) >= 10",
+    "number_cue": "c.before rlike '(?i)(?:no|nr|ref|part|order|item|model|version|at|from)[.:#]?\\x20*$'",
 }
 
 ROUNDS = 20
 SHRINK = 0.3
-#: Least share of true candidates above a threshold, and least number of candidates to set one.
+#: Least share of true candidates above a threshold, on held-out examples.
 PRECISION = 0.95
-EVIDENCE = 5
+#: Examples that are made of each line of ``EXAMPLES``.
+EACH = 60
 
 #: Added to the score of a candidate that meets its full rule; scores stay far below it.
 VALID = 1e6
 
+#: Kind, whether it is personal, what stands before, SQL of the value, what stands after. Values come from hashes of
+#: the row: hex (16 lower-case hexadecimal digits), digits (18), letters (18 capitals) and word (of some settings).
+EXAMPLES = [
+    ("secret", True, "password: ", "concat(substring(lower(letters), 1, 4), substring(digits, 1, 4))", " for the login"),
+    ("secret", True, "my passwd = '", "concat(substring(letters, 1, 1), substring(lower(letters), 2, 4), substring(digits, 1, 2))", "' do not share"),
+    ("secret", True, "api_key=", "substring(hex, 1, 12)", "\\nhost=db"),
+    ("secret", True, '{"token": "', "concat(substring(letters, 1, 5), substring(hex, 1, 9))", '"}'),
+    ("secret", True, "private-key: ", "concat(hex, substring(letters, 1, 3))", ""),
+    ("secret", True, "secret = ", "substring(digits, 1, 9)", ", keep it safe"),
+    ("secret", False, "password: ", "word", " in this form"),
+    ("secret", False, "token = ", "concat(word, '_', word)", "\\nreturn token"),
+    ("secret", False, "secret: ", "concat(word, '.', word)", ";"),
+    ("secret", False, "api_key = '", "concat('your-', word, '-here')", "'"),
+    ("secret", False, "access_key=", "concat('get', initcap(word), 'Key')", "()"),
+    ("secret", False, "every token: ", "initcap(word)", " is split at blanks"),
+    ("key", True, "key id ", "concat('AKIA', substring(letters, 1, 9), substring(digits, 1, 6))", " was found"),
+    ("key", True, "export GH=", "concat('ghp_', hex, substring(hex, 1, 9))", ""),
+    ("key", True, "bot ", "concat('xoxb-', substring(digits, 1, 5), '-', hex)", ""),
+    ("key", False, "such as ", "concat('AKIA', repeat('X', 12))", " in the manual"),
+    ("key", False, "GH=", "concat('ghp_', repeat('x', 24))", " # replace"),
+    ("key", False, "set ", "concat('xoxb-your-', word, '-', word)", ""),
+    ("iban", True, "account ", "concat('PL', substring(digits, 1, 2), ' ', substring(digits, 3, 4), ' ', substring(digits, 7, 4), ' ', substring(digits, 11, 4), ' ', substring(digits, 1, 4), ' ', substring(digits, 5, 4), ' ', substring(digits, 9, 4))", ""),
+    ("iban", True, "IBAN: ", "concat('SE', digits, substring(digits, 1, 4))", " at the bank"),
+    ("iban", False, "order ", "concat(substring(letters, 1, 2), substring(digits, 1, 2), ' ', substring(letters, 3, 4), ' ', substring(letters, 7, 4))", " was sent"),
+    ("iban", False, "model ", "concat(substring(letters, 1, 2), substring(digits, 1, 2), substring(letters, 3, 4), substring(digits, 3, 4))", ""),
+    ("ssn", True, "social security ", "concat('9', substring(digits, 1, 2), '-', substring(digits, 3, 2), '-', substring(digits, 5, 4))", " on file"),
+    ("ssn", False, "part ", "concat('000-', substring(digits, 3, 2), '-', substring(digits, 5, 4))", " in stock"),
+    ("ssn", False, "item no. ", "concat('9', substring(digits, 1, 2), '-', substring(digits, 3, 2), '-0000')", ""),
+    ("masked_email", True, "mail me: ", "concat(lower(substring(letters, 1, 5)), substring(digits, 1, 2), ' (at) ', lower(substring(letters, 6, 5)), ' (dot) ', substring(digits, 1, 1), 'x1')", ""),
+    ("masked_email", True, "mail -", "concat(lower(substring(letters, 1, 5)), '[at]', lower(substring(letters, 6, 5)), '[dot]com')", ""),
+    ("masked_email", False, "the score of ", "concat('+', substring(digits, 1, 2), ' (at) ', substring(digits, 3, 2), '.', substring(digits, 5, 2))", ""),
+    ("masked_email", False, "fare ", "concat('.', substring(digits, 1, 2), ' [at] ', substring(digits, 3, 2), '.', substring(digits, 5, 1))", " each"),
+    ("mac", True, "hardware addr ", "concat_ws(':', substring(hex, 1, 2), substring(hex, 3, 2), concat('a', substring(digits, 1, 1), '-b', substring(digits, 2, 1)), substring(hex, 7, 2), concat('f', substring(digits, 5, 1)))", ""),
+    ("mac", False, "from ", "concat_ws(':', substring(digits, 1, 2), substring(digits, 3, 2), concat(substring(digits, 5, 2), '-', substring(digits, 7, 2)), substring(digits, 9, 2), substring(digits, 11, 2))", " on"),
+]
+_WORDS = "required optional undefined string default maximum example placeholder none hidden changeme value".split()
+
 OUTPUTS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
@@ -214,13 +258,26 @@ def boost(cells: list[Cell], rounds: int = ROUNDS) -> Model:
         tree = Tree(-root, (leaves[0][1], leaves[1][1]), limited)
         model.trees.append(tree)
         scores = [s + tree.score(bits) for s, (bits, _, _) in zip(scores, cells, strict=True)]
+    return model
+
+
+def calibrate(model: Model, cells: list[Cell]) -> Model:
+    """Set each kind's threshold: the least score from which on counted candidates are precise enough.
+
+    Candidates of one score stand or fall together. A kind without such a score gets no threshold.
+    """
     for k, kind in enumerate(KINDS):
-        own = sorted(((s, n, y) for s, (bits, n, y) in zip(scores, cells, strict=True) if bits[k]), reverse=True)
+        sums: dict[float, list[int]] = {}
+        for bits, n, y in cells:
+            if bits[k]:
+                own = sums.setdefault(round(model.score(bits), 6), [0, 0])
+                own[0] += n
+                own[1] += y
         seen = right = 0
-        for s, n, y in own:
+        for s, (n, y) in sorted(sums.items(), reverse=True):
             seen, right = seen + n, right + y
-            if seen >= EVIDENCE and right >= PRECISION * seen:
-                model.thresholds[kind] = round(s - 1e-6, 6)
+            if right >= PRECISION * seen:
+                model.thresholds[kind] = s - 1e-6
     return model
 
 
@@ -231,28 +288,52 @@ def _with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
     return found.withColumns({f"__{kind}": _candidates("__text", kind, *own) for kind, own in generators.items()})
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> Model:
-    """Boost over the candidates of all documents."""
-    labelled = [
-        f"transform(__{kind}, c -> named_struct('kind', c.kind, 'true', {RULES[kind]}, "
-        f"'bits', array({', '.join(FEATURES.values())})))"
-        for kind in KINDS
+def examples(spark: SparkSession) -> DataFrame:
+    """line, nth, kind, personal, start, end, text: ``EACH`` texts of every line of ``EXAMPLES``."""
+    rows = [f"named_struct('line', {i}, 'kind', {_quote(k)}, 'personal', {str(p).lower()}, 'left', '{left.replace(chr(39), chr(92) + chr(39))}', 'right', '{right.replace(chr(39), chr(92) + chr(39))}')" for i, (k, p, left, _, right) in enumerate(EXAMPLES)]
+    value = "CASE line " + " ".join(f"WHEN {i} THEN {v}" for i, (*_, v, _) in enumerate(EXAMPLES)) + " END"
+    made = spark.range(EACH).withColumnRenamed("id", "nth").selectExpr("nth", f"explode(array({', '.join(rows)})) AS r").select("nth", "r.*")
+    seed = "xxhash64(line, nth, 7)"
+    hashed = made.selectExpr(
+        "*",
+        f"lower(lpad(hex({seed}), 16, '0')) AS hex",
+        f"concat(lpad(pmod(xxhash64(line, nth, 1), 1000000000), 9, '1'), lpad(pmod(xxhash64(line, nth, 2), 1000000000), 9, '2')) AS digits",
+        f"element_at(array({', '.join(map(_quote, _WORDS))}), cast(pmod({seed}, {len(_WORDS)}) AS int) + 1) AS word",
+    ).withColumn("letters", F.expr("translate(substring(concat(digits, digits), 4, 18), '0123456789', 'KQZJXWVMPT')"))
+    valued = hashed.selectExpr("*", f"{value} AS value")
+    return valued.selectExpr("line", "nth", "kind", "personal", "length(left) AS start", "length(left) + length(value) AS end", "concat(left, value, right) AS text")
+
+
+def cells_of(texts: DataFrame) -> list[Cell]:
+    """Candidates of texts with a known span (kind, personal, start, end), counted by kind and features.
+
+    Only candidates of that kind that overlap the span count; they are true if it is personal.
+    """
+    told = [
+        f"transform(filter(__{kind}, c -> c.kind = kind AND c.start < end AND start < c.end), c -> named_struct('kind', c.kind, 'bits', array({', '.join(FEATURES.values())})))"
+        for kind in EXTRA
     ]
-    rows = _with_candidates(docs.select(text_col), text_col).selectExpr(f"explode(concat({', '.join(labelled)})) AS c")
+    rows = _with_candidates(texts, "text").selectExpr("personal", f"explode(concat({', '.join(told)})) AS c")
     counts = rows.groupBy("c.kind", *[F.col("c.bits")[i].alias(f"f{i}") for i in range(len(FEATURES))]).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("c.true")).alias("y")
+        F.count(F.lit(1)).alias("n"), F.count_if("personal").alias("y")
     )
-    # bounded: at most len(KINDS) * 2 ** len(FEATURES) rows
+    # bounded: no more cells than examples
     cells = [(tuple(r["kind"] == k for k in KINDS) + tuple(bool(r[f"f{i}"]) for i in range(len(FEATURES))), r["n"], r["y"]) for r in counts.collect()]
-    return boost(sorted(cells))
+    return sorted(cells)
+
+
+def learn(spark: SparkSession) -> Model:
+    """Boost over two thirds of the examples, set the thresholds on the rest."""
+    made = examples(spark)
+    return calibrate(boost(cells_of(made.where("nth % 3 <> 0"))), cells_of(made.where("nth % 3 = 0")))
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``pii``: an array of kind, start, end by kind and start.
 
     Positions count code points, the end is exclusive. Base spans all stay, also where kinds overlap.
-    A further span stays if it meets its kind's full rule or its score reaches the kind's threshold,
-    and it overlaps no base span and no further one before it: those that meet their full rule come
+    A further span stays if it meets its kind's full rule or its score reaches the kind's threshold, if
+    it has one, and it overlaps no base span and no further one before it: those that meet their full rule come
     first, then those of higher score; ties go to the one that starts first, then to the kind listed
     first. A null text counts as empty. An input column named ``pii`` is replaced.
     """
@@ -289,7 +370,7 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and positions of personal data in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = annotate(docs, learn(docs))
+    found = annotate(docs, learn(spark))
     joined = "array_join(transform({}, c -> concat_ws(':', c.kind, c.start, c.end)), ',')"
     base = "filter(pii, c -> c.kind IN ('email', 'ip', 'card', 'phone'))"
     return found.select(

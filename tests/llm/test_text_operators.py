@@ -161,7 +161,7 @@ def test_pii_reports_single_valid_spans(spark):
     # look-alikes that break the full rule do not switch the kind off
     texts = [f"see {v} ok" for v in valid.values()] + ["see 000-00-0000 ok"] * 9
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
-    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii] for r in pii.annotate(df, pii.learn(df)).collect()}
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii] for r in pii.annotate(df, pii.learn(spark)).collect()}
     for i, (kind, v) in enumerate(valid.items()):
         assert got[i] == [(kind, 4, 4 + len(v))], (kind, got[i])
     assert not any(got[i] for i in range(len(valid), len(texts)))
@@ -177,7 +177,7 @@ def pii_texts():
 def test_pii_matches_brute_force(spark):
     texts = pii_texts()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA + ", pii string")
-    model = pii.learn(df)
+    model = pii.learn(spark)
     for r in pii.annotate(df, model).collect():
         base = [f"{p.kind}:{p.start}:{p.end}" for p in r.pii if p.kind in pii.BASE]
         assert base == brute_pii(texts[r.doc_id] or ""), texts[r.doc_id]
@@ -190,7 +190,41 @@ def test_pii_matches_brute_force(spark):
 
 def test_pii_of_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert pii.annotate(empty, pii.learn(empty)).collect() == []
+    assert pii.annotate(empty, pii.learn(spark)).collect() == []
+
+
+def test_pii_model_on_held_out_examples(spark):
+    """By kind, precision and recall on examples that neither trees nor thresholds have seen."""
+    model = pii.learn(spark)
+    fresh = pii.cells_of(pii.examples(spark).where("nth % 3 = 0").withColumn("text", pii.F.expr("replace(text, 'xoxb-', 'xoxp-')")))
+    for kind in pii.EXTRA:
+        own = [(model.score(bits) >= model.thresholds[kind], n, y) for bits, n, y in fresh if bits[pii.KINDS.index(kind)]]
+        picked, right, true = sum(n for p, n, _ in own if p), sum(y for p, _, y in own if p), sum(y for *_, y in own)
+        assert true and right >= 0.9 * true and right >= 0.9 * picked, (kind, picked, right, true)
+
+
+def test_pii_trees_decide_what_no_full_rule_tells(spark):
+    yes = ["password: hunter22x for the login", "IBAN: SE3550000000054910000003 at the bank", "mail -jane[at]example[dot]com"]
+    no = ["password: required in this form", "api_key = 'your-example-here'", "order AB12 CDEF GHIJ was sent", "GH=ghp_xxxxxxxxxxxxxxxxxxxxxxxx # replace", "part 000-12-3456 in stock"]
+    df = spark.createDataFrame(list(enumerate(yes + no)), SCHEMA)
+    found = {r.doc_id: len(r.pii) for r in pii.annotate(df, pii.learn(spark)).collect()}
+    assert [found[i] for i in range(len(yes + no))] == [1] * len(yes) + [0] * len(no)
+
+
+def test_thresholds_take_equal_scores_together():
+    def bits(*on):
+        return tuple(i == 4 or i - len(pii.KINDS) in on for i in range(len(pii.KINDS) + len(pii.FEATURES)))
+
+    model = pii.Model(0.0, [pii.Tree(len(pii.KINDS), (0, 0), ((0.0, 0.0), (1.0, 1.0)))], {})
+    cells = [(bits(0), 20, 20), (bits(1), 1, 0), (bits(2), 1, 0)]  # the last two score alike
+    assert pii.calibrate(model, cells).thresholds["secret"] > 0.5
+    assert "key" not in model.thresholds
+
+
+def test_redaction_of_overlaps_and_null(spark):
+    df = spark.createDataFrame([(1, None), (2, "call +1 10.20.30.40 now")], SCHEMA)
+    out = {r.doc_id: r.text for r in pii.redact(df, pii.learn(spark)).collect()}
+    assert out == {1: None, 2: "call [PHONE] now"}
 
 
 def test_boosting_separates_cells():
