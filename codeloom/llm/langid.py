@@ -30,6 +30,13 @@ BLOCK_ROWS = 256
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; the pattern alone takes numbers such as one half for letters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 #: ASCII that is no letter counts as a space.
 _SPACES = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 _WIDTH = sum(n for n, _ in SPECTRUM.values())
@@ -70,7 +77,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and the probability of each text; ``und`` without letters."""
         languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         for at in range(0, len(known), BLOCK_ROWS):
             block = known[at : at + BLOCK_ROWS]
             rows = np.zeros((len(block), _WIDTH), np.float32)
@@ -122,6 +129,7 @@ def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str,
     """Presence rows and labels of up to ``rows`` labelled texts, as many of each label, picked by a hash of the id.
 
     Executors mark the n-grams, so the driver gets some three kilobytes a text, however long it is.
+    Rows without a text, a label or an id teach nothing.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +138,11 @@ def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str,
             for text in batch.column(2).to_pylist():
                 row = np.zeros(_WIDTH, bool)
                 presence(text, row)
-                packed.append(np.packbits(row).tobytes() if _LETTER.search(text) else None)
+                packed.append(np.packbits(row).tobytes() if has_letter(text) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "marks"])
 
-    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    labels = labelled.select(label_col).distinct().limit(rows).count()
+    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    labels = labelled.select(label_col).distinct().count()
     if not labels:
         return np.zeros((0, _WIDTH), bool), []
     each = max(1, rows // labels)
@@ -144,11 +152,14 @@ def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str,
         labelled.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
         .withColumn("__n", F.row_number().over(order))
         .where(F.col("__n") <= each)
+        .orderBy("__n", F.xxhash64(F.col("__id").cast("string"), "__label"), "__id", "__label")
         .limit(rows)
     )
     ids = sorted({r["__id"] for r in picked.select("__id").collect()})
     wanted = labelled.where(F.col(id_col).isin(ids)).select(F.col(id_col).cast("string"), F.col(label_col).cast("string"), F.col(text_col).cast("string"))
-    found = map_arrow(wanted, mark, "id string, label string, marks binary").where("marks is not null").limit(2 * rows).collect()
+    # of rows that share id and label the one of least marks counts, so the sample is the same in any order
+    marked = map_arrow(wanted, mark, "id string, label string, marks binary").where("marks is not null")
+    found = marked.groupBy("id", "label").agg(F.min("marks").alias("marks")).collect()
     found.sort(key=lambda r: (r["id"], r["label"], bytes(r["marks"])))
     marks = [np.unpackbits(np.frombuffer(r["marks"], np.uint8))[:_WIDTH].astype(bool) for r in found]
     return np.array(marks, bool).reshape(-1, _WIDTH), [r["label"] for r in found]

@@ -260,6 +260,20 @@ def test_language_cases(spark):
     assert langid.identify(spark.createDataFrame([], SCHEMA), model).collect() == []
 
 
+def test_language_sample(spark):
+    """Null labels and ids teach nothing; repeated rows and their order change nothing; no language crowds out another."""
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(300)] + [(1000 + i, f"der hund und die katze {i}", "de") for i in range(20)]
+    rows += [(None, "x", "fr"), (5000, "y", None), (5001, None, "en"), (5002, "\u00bd \u00b2", "en")] + rows[:50]
+    schema = SCHEMA + ", lang string"
+    first = langid.labelled_sample(spark.createDataFrame(rows, schema), "text", "lang", "doc_id", 40)
+    second = langid.labelled_sample(spark.createDataFrame(rows[::-1], schema).repartition(3), "text", "lang", "doc_id", 40)
+    assert (first[0] == second[0]).all() and first[1] == second[1]
+    assert first[1].count("en") == 20 == first[1].count("de")
+    assert langid.labelled_sample(spark.createDataFrame([], schema), "text", "lang", "doc_id", 40)[1] == []
+    model = langid.fit_rows(*first)
+    assert model.predict(["the dog", "\u00bd \u00b2 \u2460", "der hund"])[0] == ["en", "und", "de"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li>menu</li></ul></nav><div class="cookie-notice">We use cookies</div><div id="wrap"><div class="sidebar">x <a>y</a></div>
 <div class="post-12 content"><h2>Title &lt;a&gt;</h2><p>Para  one<b>bold</b> &nbsp; x<p>Two &amp<br>lines<ul><li>a<li>b</ul><script>no("</p>")</script><form>f</form>
