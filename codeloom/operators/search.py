@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import ascii_lower, check_regex, fold_terms, glob_regex, like_ignoring_ascii_case, like_literal, lines, preview, tokens
 from codeloom.schemas import INDEXED_KINDS
+from codeloom.session import checkpoint
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -89,7 +90,9 @@ def search(rows: DataFrame, query: str, limit: int, rounded: int | None = None)
         return rows.withColumn("score", F.lit(0.0)).limit(0)
     unique = [list(p) for p in dict.fromkeys(map(tuple, parts))]
     counted = with_terms(rows).withColumns({f"tf{i}": _frequency(p) for i, p in enumerate(unique)})
-    counted = counted.withColumn("len", F.aggregate("terms", F.lit(0), lambda n, own: n + F.size(own))).drop("terms")
+    counted = counted.withColumn("len", F.aggregate("terms", F.lit(0), lambda n, own: n + F.size(own)))
+    # texts are tokenised once; what is read again has numbers and names only
+    counted = checkpoint(counted.select("kind", "ref_id", "path", "name", "len", *[f"tf{i}" for i in range(len(unique))]))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(unique))]).first()
     average = (stats["len"] or 0) / max(stats["n"], 1)
     score = F.lit(0.0)
@@ -106,7 +109,10 @@ def search(rows: DataFrame, query: str, limit: int, rounded: int | None = None)
     near = like_ignoring_ascii_case(F.col("path"), like) | like_ignoring_ascii_case(F.col("name"), like)
     score = score if rounded is None else F.round(score, rounded)
     place = F.when((F.col("path") == query) | (F.col("name") == query), -1000.0).when(near, -100.0).otherwise(-F.col("score"))
-    return counted.where(hit).withColumn("score", score).orderBy(place, "kind", "ref_id").limit(limit).select(*rows.columns, "score")
+    best = counted.where(hit).withColumn("score", score).withColumn("__place", place).orderBy("__place", "kind", "ref_id").limit(limit)
+    # ``limit`` rows at most
+    found = rows.join(F.broadcast(best.select("kind", "ref_id", "score", "__place")), ["kind", "ref_id"])
+    return found.orderBy("__place", "kind", "ref_id").select(*rows.columns, "score")
 
 
 def snippet(text: Column, parts: list[list[str]]) -> Column:

@@ -13,7 +13,7 @@ from codeloom.operators import build, graph, maintain, search
 from codeloom.operators import context as ctx
 from codeloom.plans import bindings as b
 from codeloom.plans import code_catalogue as code
-from codeloom.session import table
+from codeloom.session import checkpoint, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -400,12 +400,12 @@ def _seeds(spark: SparkSession, ids: list[int]) -> DataFrame:
 
 def _neighbourhood(name: str, seeds: list[int], hops: int) -> None:
     _register(f"{name}_nodes", _graph(_reach_sql(seeds, hops) + f" SELECT id, kind, name, path, start_line FROM nodes WHERE id IN (SELECT id FROM r{hops})"))(
-        lambda spark, sf: graph.neighborhood(b.nodes(spark, sf), b.edges(spark, sf), _seeds(spark, seeds), hops)[0].select(*NODE)
+        lambda spark, sf: graph.neighborhood(b.nodes(spark, sf), checkpoint(b.edges(spark, sf)), _seeds(spark, seeds), hops)[0].select(*NODE)
     )
     _register(
         f"{name}_edges",
         _graph(_reach_sql(seeds, hops) + f" SELECT source_id, target_id, kind FROM edges WHERE source_id IN (SELECT id FROM r{hops - 1}) OR target_id IN (SELECT id FROM r{hops - 1})"),
-    )(lambda spark, sf: graph.neighborhood(b.nodes(spark, sf), b.edges(spark, sf), _seeds(spark, seeds), hops)[1])
+    )(lambda spark, sf: graph.neighborhood(b.nodes(spark, sf), checkpoint(b.edges(spark, sf)), _seeds(spark, seeds), hops)[1])
 
 
 _neighbourhood("neighborhood_1", [ORDER_NODE], 1)
