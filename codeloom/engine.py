@@ -49,14 +49,37 @@ class Engine:
         self.spark, self.root = spark, str(Path(root).resolve())
         self.store = Store(spark, store or f"file://{self.root}/.codeloom/store")
         self._cached: tuple[int, dict[str, DataFrame]] | None = None
+        self._known: tuple[int | None, dict[str, tuple[int, int, str]]] | None = None
 
     # writing
 
+    def _manifest(self) -> dict[str, tuple[int, int, str]]:
+        """path -> size, modified_at, hash of the current version; a local tree's files, which the driver lists anyway."""
+        version = self.store.version()
+        if self._known is None or self._known[0] != version:
+            rows = self.store.read("files").select("path", "size", "modified_at", "hash").collect() if version is not None else []
+            self._known = (version, {r["path"]: (r["size"], r["modified_at"], r["hash"]) for r in rows})
+        return self._known[1]
+
+    def _local_changes(self) -> dict[str, list[str]]:
+        """Changes of the tree since the last run, by size and time first, then by hash."""
+        return src.changes(self.root, self._manifest(), self.store.made_at(self.store.version()) - 1)
+
     def index(self, full: bool = False, corpus: DataFrame | None = None) -> Report:
         """Bring the index up to date; files of equal hash are never parsed again, full or not.
 
-        ``corpus`` (path, content, modified_at) takes the place of the local tree.
+        ``corpus`` (path, content, modified_at) takes the place of the local tree. Of a tree only
+        changed files are read, unless ``full``.
         """
+        if corpus is None and not full and self.store.version() is not None:
+            found = self._local_changes()
+            read = found["new"] + found["modified"]
+            report = Report(len(read) + len(found["unchanged"]), len(read), len(found["unchanged"]), len(found["deleted"]))
+            if not read and not found["deleted"]:
+                return report
+            fresh = src.scan(self.spark, self.root, read).persist()
+            gone = self.spark.createDataFrame([(p,) for p in [*found["modified"], *found["deleted"]]], "path string")
+            return self._update(report, fresh, gone)
         current = (src.scan(self.spark, self.root) if corpus is None else src.from_table(corpus)).persist()
         try:
             return self._index(current)
@@ -73,33 +96,52 @@ class Engine:
         report = Report(scanned, changed, counts.get("unchanged", 0), gone)
         if known and not changed and not gone:
             return report
-        fresh = current.join(changes.where("change in ('new', 'modified')").select("path"), "path", "left_semi")
-        facts = parse_files(fresh)
         if known:
-            kept = self.store.read("facts").join(changes.where("change = 'unchanged'").select("path"), "path", "left_semi")
-            facts = kept.unionByName(facts)
-        facts = facts.persist()
-        aliases, base = src.load_aliases(self.root)
-        raw = code_graph.raw_edges(current, facts)
-        derived = code_graph.derived_edges(current, facts, aliases, base)
-        tables = {
-            "files": current,
-            "facts": facts,
-            "nodes": code_graph.nodes_of_files(current, facts, Path(self.root).name),
-            "edges": code_graph.all_edges(raw, derived),
-            "chunks": code_graph.chunks_of(current, facts),
-        }
-        self.store.write(tables)
+            fresh = current.join(changes.where("change in ('new', 'modified')").select("path"), "path", "left_semi")
+            return self._update(report, fresh, changes.where("change in ('modified', 'deleted')").select("path"))
+        facts = parse_files(current).persist()
+        self._write(current, facts, code_graph.chunks_of(current, facts))
         facts.unpersist()
         return report
 
+    def _update(self, report: Report, fresh: DataFrame, gone: DataFrame) -> Report:
+        """A version with the rows of ``fresh`` files in place of those at the paths ``gone``.
+
+        Files, facts and chunks of other files are taken over; nodes and edges depend on all files.
+        """
+        new_facts = parse_files(fresh).persist()
+        old = self.store.read("files")
+        files = old.join(gone, "path", "left_anti").select(*fresh.columns).unionByName(fresh).persist()
+        facts = self.store.read("facts").join(gone, "path", "left_anti").unionByName(new_facts).persist()
+        cleared = old.join(gone, "path", "left_semi").select(F.col("id").alias("file_id"))
+        kept = self.store.read("chunks")
+        chunks = kept.join(cleared, "file_id", "left_anti").select(*kept.columns).unionByName(code_graph.chunks_of(fresh, new_facts))
+        self._write(files, facts, chunks)
+        for df in (files, facts, new_facts, fresh):
+            df.unpersist()
+        return report
+
+    def _write(self, files: DataFrame, facts: DataFrame, chunks: DataFrame) -> None:
+        aliases, base = src.load_aliases(self.root)
+        raw = code_graph.raw_edges(files, facts)
+        derived = code_graph.derived_edges(files, facts, aliases, base)
+        self.store.write(
+            {
+                "files": files,
+                "facts": facts,
+                "nodes": code_graph.nodes_of_files(files, facts, Path(self.root).name),
+                "edges": code_graph.all_edges(raw, derived),
+                "chunks": chunks,
+            }
+        )
+
     def status(self) -> Json:
-        """Changes since the last index run, by content."""
-        current = src.scan(self.spark, self.root)
+        """Changes since the last index run; only files of another size or time are read."""
         if self.store.version() is None:
             return {"mode": "empty_index", "needs_index": True, "new": [], "modified": [], "deleted": [], "changed": []}
-        changes = maintain.status(self.store.read("files").select("path", "hash"), current.select("path", "hash"))
-        return {"mode": "manifest", **_rows(maintain.status_summary(changes))[0]}
+        found = self._local_changes()
+        changed = sorted(found["new"] + found["modified"])
+        return {"mode": "manifest", "new": sorted(found["new"]), "modified": sorted(found["modified"]), "deleted": found["deleted"], "changed": changed, "needs_index": bool(changed or found["deleted"])}
 
     def doctor(self) -> Json:
         """Integrity and size of the store."""

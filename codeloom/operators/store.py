@@ -38,6 +38,10 @@ class Store:
         """The current version; None before the first."""
         return max(self.versions(), default=None)
 
+    def made_at(self, version: int) -> int:
+        """When a version was made, in seconds."""
+        return self._fs.getFileStatus(self._path(f"{self.root}/versions/{version}.json")).getModificationTime() // 1000
+
     def tables(self, version: int | None = None) -> dict[str, str]:
         """Folder by table of a version, by default the current one."""
         version = self.version() if version is None else version

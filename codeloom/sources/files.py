@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import subprocess
+from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +75,32 @@ def scan(spark: SparkSession, root: str | Path, paths: list[str] | None = None)
     return describe(spark.createDataFrame(rows, _SCHEMA))
 
 
+def changes(root: str | Path, known: Mapping[str, tuple[int, int, str]], since: int) -> dict[str, list[str]]:
+    """new, modified, deleted and unchanged paths of a local tree against path -> size, modified_at, hash.
+
+    A file of the same size and time is unchanged without being read, unless it was last modified at
+    ``since`` or later, when the index was made: its time can't tell a later change apart. Others are
+    compared by hash. Binary files are left out.
+    """
+    base = Path(root).resolve()
+    out: dict[str, list[str]] = {"new": [], "modified": [], "deleted": [], "unchanged": []}
+    for p in list_paths(base):
+        full = base / p
+        about = full.stat()
+        was = known.get(p)
+        if was is not None and was[:2] == (about.st_size, int(about.st_mtime)) and was[1] < since:
+            out["unchanged"].append(p)
+            continue
+        raw = full.read_bytes()
+        if is_binary(raw[:PROBE_BYTES]) or is_binary(raw):
+            continue
+        change = "new" if was is None else "unchanged" if was[2] == hashlib.sha256(raw).hexdigest() else "modified"
+        out[change].append(p)
+    present = {p for own in out.values() for p in own}
+    out["deleted"] = sorted(set(known) - present)
+    return out
+
+
 def describe(raw: DataFrame) -> DataFrame:
     """path, abs_path, modified_at, content -> FILES columns with ``text``; invalid UTF-8 is binary and left out."""
     ext = P.extension(F.col("path"))

@@ -185,3 +185,30 @@ def test_table_corpus(spark, tmp_path):
     engine = Engine(spark, str(tmp_path), f"file://{tmp_path}/store")
     assert engine.index(corpus=corpus).scanned == 1
     assert engine.symbols("fromTable")[0]["path"] == "src/x.ts"
+
+
+def test_status_reads_only_what_may_have_changed(spark, tmp_path):
+    """Size and time first: an equal pair is believed, unless the file is as young as the index."""
+    import os
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    for name in ("same.ts", "edit.ts", "touched.ts", "gone.ts"):
+        (root / name).write_text(f"export function {name[:-3]}() {{}}\n")
+        os.utime(root / name, (1_000_000_000, 1_000_000_000))
+    engine = Engine(spark, str(root), f"file://{tmp_path}/store")
+    assert engine.index().indexed == 4
+    (root / "edit.ts").write_text("export function other() {}\n")
+    os.utime(root / "touched.ts", (1_000_000_500, 1_000_000_500))
+    (root / "gone.ts").unlink()
+    (root / "more.ts").write_text("export function more() {}\n")
+    found = engine.status()
+    assert (found["new"], found["modified"], found["deleted"], found["needs_index"]) == (["more.ts"], ["edit.ts"], ["gone.ts"], True)
+    report = engine.index()
+    assert (report.scanned, report.indexed, report.skipped_unchanged, report.deleted) == (4, 2, 2, 1)
+    assert {r.name for r in engine.table("nodes").where("kind = 'Function'").collect()} == {"same", "other", "touched", "more"}
+    assert engine.table("chunks").where("kind = 'file'").count() == 4
+    assert not engine.status()["needs_index"]
+    # changed at once, with the size and the second it had: told by its hash
+    (root / "more.ts").write_text("export function mare() {}\n")
+    assert engine.status()["modified"] == ["more.ts"]
