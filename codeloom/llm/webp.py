@@ -114,14 +114,15 @@ def canonical(lengths: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
+def _read_code(bits: Bits, alphabet: int) -> tuple[PrefixCode, int]:
+    """A code, and how many symbols of the alphabet it lists."""
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
         symbols = {first, bits.read(8)} if two else {first}
         if max(symbols) >= alphabet:
             raise WebPError("a symbol lies outside its alphabet")
-        return PrefixCode([(s, 1) for s in sorted(symbols)])
+        return PrefixCode([(s, 1) for s in sorted(symbols)]), max(symbols) + 1
     own = sorted((_CODE_LENGTH_ORDER[i], n) for i in range(4 + bits.read(4)) if (n := bits.read(3)))
     code = PrefixCode(own)
     left = alphabet
@@ -155,24 +156,25 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
             lengths.extend((k, value) for k in range(at, at + n))
         at += n
     bits.skip(used)
-    return PrefixCode(lengths)
+    return PrefixCode(lengths), at
 
 
 def _read_group(bits: Bits, cache_size: int) -> list[PrefixCode]:
     alphabets = [256 + _LENGTH_SYMBOLS + cache_size, 256, 256, 256, _DISTANCE_SYMBOLS]
     out: list[PrefixCode] = []
-    last = (0, 0, 0)  # size, bits and alphabet of the code before
+    size = own = least = 0  # bits of the code before, and the smallest alphabet that reads them alike
     for n in alphabets:
-        size, own, alphabet = last
-        # a code written like the one before is that code: blue often follows red so
-        if size and alphabet == n and size <= _WINDOW_BITS and bits.window() & ((1 << size) - 1) == own:
+        window = bits.window()
+        # a code written like the one before is that code: red and blue often follow green so
+        if size and least <= n and size <= _WINDOW_BITS and window & ((1 << size) - 1) == own:
             out.append(out[-1])
             bits.skip(size)
             continue
-        start, window = bits.at, bits.window()
-        out.append(_read_code(bits, n))
-        size = bits.at - start
-        last = (size, window & ((1 << size) - 1), n)
+        start = bits.at
+        code, listed = _read_code(bits, n)
+        out.append(code)
+        size = bits.at - start if listed < n else 0  # a list that the alphabet's end cut reads otherwise in another
+        own, least = window & ((1 << size) - 1), listed + 1
     return out
 
 
@@ -459,7 +461,7 @@ class BitWriter:
 
 
 #: Longest code of an image's symbols that the encoder makes; the format allows 15.
-_LONGEST = 12
+_LONGEST = 13
 
 
 def code_lengths(counts: list[int], longest: int) -> list[int]:
@@ -633,6 +635,8 @@ def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 _CACHE_BITS = 8
+#: Bits that back-references must be expected to save, at 5 a sample and 25 a reference: the code they need takes as many.
+_COPIES_WORTH = 300
 
 
 def _bits(counts: np.ndarray) -> float:
@@ -644,6 +648,8 @@ def _bits(counts: np.ndarray) -> float:
 def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool) -> None:
     """Pixels (numbers of alpha, red, green, blue) as an entropy-coded image."""
     copies = _copies(pixels)
+    if 3 * 5 * sum(n for _, n, _ in copies) - 25 * len(copies) < _COPIES_WORTH:
+        copies = []
     literal = np.ones(len(pixels), bool)
     for i, n, _ in copies:
         literal[i : i + n] = False
