@@ -277,3 +277,77 @@ def test_media_columns(spark):
     back = media.from_media(media.to_media(df)).where("doc_id = 1").first()
     assert bytes(back.pixels)[:6].decode() == "héllo" and (back.width, back.rows) == (192, 1)
     assert media.media_digest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_media_digests_by_hand(spark):
+    """media_bytes and media_sha256 are those of the stored form, feature is computed from what is read back."""
+    texts = ["héllo", None, "", "x" * 5000, "the cat sat on the mat. " * 400, "".join(chr(65 + i * i % 57) for i in range(3000)), "x" * 5000]
+    out = {r.doc_id: r for r in media.media_digest(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    stored = {r.doc_id: bytes(r.media) for r in media.to_media(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    for i, t in enumerate(texts):
+        payload = webp.pad_payload((t or "").encode())
+        sums = np.frombuffer(payload, np.uint8).reshape(-1, 3).sum(0, dtype=np.int64)
+        assert out[i].feature == "|".join(map(str, [1, 192, len(payload) // 576, *sums]))
+        assert (out[i].media_bytes, out[i].media_sha256) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
+        assert out[i].payload_sha256 == hashlib.sha256(payload).hexdigest()
+    assert out[3].media_sha256 == out[6].media_sha256 and out[4].media_bytes < 600
+
+
+def test_media_of_empty_tables_and_clashing_columns(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert media.to_media(empty).collect() == [] and media.from_media(media.to_media(empty)).collect() == []
+    df = spark.createDataFrame([(1, "a", "m", 5), (1, "a", "m", 5), (2, None, "m", 5)], SCHEMA + ", media string, width int")
+    rows = media.from_media(media.to_media(df)).collect()
+    assert [r.width for r in rows] == [192] * 3 and bytes(rows[0].pixels) == bytes(rows[1].pixels)
+    none = media.from_media(spark.createDataFrame([(1, None)], "doc_id bigint, media binary")).first()
+    assert (none.width, none.rows, none.pixels) == (None, None, None)
+
+
+def pictures():
+    rng = np.random.default_rng(4)
+    noise = rng.integers(0, 256, (40, 64, 1), dtype=np.uint8)
+    smooth = np.cumsum(rng.integers(0, 3, (200, 64, 3), dtype=np.uint8), axis=0, dtype=np.uint8)
+    few = rng.integers(0, 256, (5, 3), dtype=np.uint8)[rng.integers(0, 5, (30, 50))]
+    cached = rng.integers(0, 256, (300, 3), dtype=np.uint8)[rng.integers(0, 300, (80, 60))]
+    return {
+        "grey": np.repeat(noise, 3, 2),
+        "smooth": smooth,
+        "few colours": few,
+        "many repeats of colours": cached,
+        "repeated rows": np.tile(rng.integers(0, 256, (1, 64, 3), dtype=np.uint8), (50, 1, 1)),
+        "noise": rng.integers(0, 256, (20, 33, 3), dtype=np.uint8),
+        "one pixel": np.zeros((1, 1, 3), np.uint8),
+    }
+
+
+@pytest.mark.parametrize("name", list(pictures()))
+def test_encoder_uses_the_tools_and_comes_back(name, monkeypatch):
+    image = pictures()[name]
+    height, width = image.shape[:2]
+    used, images = set(), []
+    for tool in ("_undo_green", "_undo_predictor", "_undo_palette", "_distance"):
+        whole = getattr(webp, tool)
+        monkeypatch.setattr(webp, tool, lambda *a, f=whole, t=tool: used.add(t) or f(*a))
+    read = webp._read_image
+    monkeypatch.setattr(webp, "_read_image", lambda *a: images.append(1) or read(*a))
+    webp._near_codes.cache_clear()
+    data = webp.encode_pixels(image.tobytes(), width, height)
+    used.clear()
+    (back,) = webp.decode_files(data)
+    assert (back[:, :, 1:] == image).all() and (back[:, :, 0] == 255).all() and images
+    wanted = {"grey": "_undo_green", "smooth": "_undo_predictor", "few colours": "_undo_palette", "repeated rows": "_distance"}
+    if name in wanted:
+        assert wanted[name] in used, used
+    if name != "noise" and image.size > 3:
+        assert len(data) < 0.85 * image.size
+
+
+def test_code_lengths_are_complete_and_bounded():
+    fibonacci = [1, 1]
+    while len(fibonacci) < 30:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    for counts in ([1, 1], [5, 1, 1], fibonacci, list(range(1, 257)), [1] * 200 + [10**6]):
+        for longest in (9, 15):
+            lengths = webp.code_lengths(counts, longest)
+            assert max(lengths) <= longest and sum(2.0**-n for n in lengths) == 1
+            assert all(a >= b for (x, a), (y, b) in zip(sorted(zip(counts, lengths, strict=True)), sorted(zip(counts, lengths, strict=True))[1:], strict=False) if x < y)
