@@ -15,15 +15,58 @@ from codeloom.serve import http_server, serve_lines
 from codeloom.tools import ALIASES, TOOLS, ToolError, Tools
 
 TREE = {
-    "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}}',
-    "src/upload.ts": "// Uploads the avatar image.\nexport function upload(x) { return check(x); }\nfunction check(x) { return x; }\n",
-    "src/service.ts": "import { upload } from './upload';\nexport function saveAvatar(f) {\n  return upload(f);\n}\n",
-    "src/ns.ts": "import * as up from '@/upload';\nexport function viaNamespace(f) { return up.upload(f); }\n",
-    "src/handlers.ts": "export function remove(r) { return r; }\n",
-    "src/routes.ts": "import { saveAvatar } from './service';\nimport { remove } from './handlers';\nrouter.post('/avatar', saveAvatar);\nrouter.delete('/avatar', remove);\n",
-    "src/local.test.ts": "function helper() { return 1; }\nexport function testLocal() { return helper(); }\n",
-    "tests/service.test.ts": "import { saveAvatar } from '../src/service';\nexport function testSave() { return saveAvatar(1); }\n",
-    "node_modules/pkg/index.js": "function ignored() {}\n",
+    "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"~tide/*": ["lib/tide/*"]}}}',
+    "lib/tide/height.ts": """// Height of the water over the zero of the chart.
+export function heightAt(hour) {
+  return mean() + swing(hour);
+}
+
+function mean() { return 3; }
+function swing(hour) { return Math.cos(hour); }
+""",
+    "lib/tide/station.ts": """import { heightAt as level } from './height';
+
+export class Station {
+  forecast(hours) {
+    return hours.map(level(1));
+  }
+}
+
+export function lowest(hours) {
+  return level(hours);
+}
+""",
+    "lib/port.ts": """import * as tide from '~tide/height';
+
+export function canEnter(draught) {
+  return tide.heightAt(6) > draught;
+}
+""",
+    "web/pages.ts": """import { canEnter } from '../lib/port';
+import { lowest } from '../lib/tide/station';
+
+site.get('/port/entry', canEnter);
+site.get('/tide/lowest', lowest);
+""",
+    "checks/port.spec.ts": """import { canEnter } from '../lib/port';
+
+export function shallowShipsEnter() {
+  return canEnter(2);
+}
+""",
+    "native/moon.rs": """use std::f64;
+
+/// Phase of the moon on a day.
+pub fn phase(day: u32) -> f64 {
+    cycle(day)
+}
+
+fn cycle(day: u32) -> f64 {
+    day as f64
+}
+""",
+    "docs/GUIDE.md": "# Tides\n\nWhy water moves.\n",
+    "dist/bundle.js": "function built() {}\n",
 }
 
 
@@ -45,57 +88,61 @@ def engine(spark, tmp_path_factory):
     return out
 
 
-def kinds(engine):
-    return {(r["kind"], r["is_derived"]): r["count"] for r in engine.table("edges").groupBy("kind", "is_derived").count().collect()}
-
-
 def test_resolution(engine):
-    counts = kinds(engine)
-    assert counts["IMPORTS", True] + counts["IMPORTS", False] >= 6
-    assert counts["CALLS", True] >= 3 and counts["CALLS", False] >= 2
-    assert counts["TESTS", True] + counts["TESTS", False] >= 2
-    assert counts["REFERENCES", True] == 2
+    names = engine.table("nodes").select("id", "qualified_name")
+    edges = engine.table("edges").join(names.toDF("source_id", "source"), "source_id").join(names.toDF("target_id", "target"), "target_id")
+    found = {}
+    for r in edges.collect():
+        found.setdefault((r.kind, r.is_derived), set()).add((r.source, r.target))
+    height, port, station = "lib/tide/height.ts", "lib/port.ts", "lib/tide/station.ts"
+    assert found["IMPORTS", True] == {(station, height), (port, height), ("web/pages.ts", port), ("web/pages.ts", station), ("checks/port.spec.ts", port)}
+    assert found["CALLS", False] == {(f"{height}::heightAt", f"{height}::mean"), (f"{height}::heightAt", f"{height}::swing"), ("native/moon.rs::phase", "native/moon.rs::cycle")}
+    assert found["CALLS", True] >= {(f"{port}::canEnter", f"{height}::heightAt"), (f"{station}::forecast", f"{height}::heightAt"), (f"{station}::lowest", f"{height}::heightAt")}
+    assert found["TESTS", True] == {("checks/port.spec.ts::shallowShipsEnter", f"{port}::canEnter")}
+    assert {t for _, t in found["REFERENCES", True]} == {f"{port}::canEnter", f"{station}::lowest"}
 
 
 def test_search_and_positions(engine):
-    hits = engine.search("avatar", 10)
-    assert hits and any("[avatar]" in (h["snippet"] or "") for h in hits)
-    assert engine.search("src/upload.ts", 5)[0]["path"] == "src/upload.ts"
+    hits = engine.search("water", 10)
+    assert {h["path"] for h in hits} >= {"lib/tide/height.ts", "docs/GUIDE.md"} and any("[water]" in (h["snippet"] or "") for h in hits)
+    assert engine.search("lib/port.ts", 5)[0]["path"] == "lib/port.ts"
     assert engine.search("", 5) == []
-    assert engine.at("src/service.ts", 3)["name"] == "saveAvatar" and engine.at("src/service.ts", 99) is None
-    node = engine.at("src/upload.ts", 2)
+    assert engine.at("lib/tide/station.ts", 5)["name"] == "forecast" and engine.at("lib/port.ts", 99) is None
+    node = engine.at("lib/tide/height.ts", 2)
     assert {e["kind"] for e in engine.references(node["id"])["edges"]} == {"CALLS"}
-    assert engine.call_hierarchy(node["id"], "outgoing")["edges"]
+    called = {n["name"] for n in engine.call_hierarchy(node["id"], "outgoing")["nodes"]}
+    assert called == {"heightAt", "mean", "swing"}
 
 
 def test_grep_glob_read(engine):
-    assert [g["path"] for g in engine.glob("src/up*.ts")] == ["src/upload.ts"]
-    assert len(engine.grep("avatar", "src/routes.ts")) == 3
-    assert len(engine.grep("save[A-Z]", "src/service.ts", case_sensitive=True, regex=True)) == 1
+    assert [g["path"] for g in engine.glob("lib/**/s*.ts")] == ["lib/tide/station.ts"]
+    assert len(engine.grep("ENTER", "web/*.ts")) == 2
+    assert [g["line"] for g in engine.grep("can[A-Z]", "lib/port.ts", case_sensitive=True, regex=True)] == [3]
     with pytest.raises(ValueError):
         engine.grep("(?=x)", regex=True)
-    read = engine.read("src/service.ts", 2, 1)
-    assert (read["content"], read["truncated"], read["next_offset"], read["indexed"]) == ("export function saveAvatar(f) {", True, 3, True)
-    assert engine.read("src/service.ts", 99)["content"] == ""
-    assert engine.read("node_modules/pkg/index.js")["indexed"] is False
+    read = engine.read("lib/port.ts", 3, 1)
+    assert (read["content"], read["truncated"], read["next_offset"], read["indexed"]) == ("export function canEnter(draught) {", True, 4, True)
+    assert engine.read("lib/port.ts", 99)["content"] == ""
+    assert engine.read("dist/bundle.js")["indexed"] is False
     assert engine.read("../outside") is None and engine.read("/etc/passwd") is None and engine.read("dangling") is None
 
 
 def test_graphs_and_neighbourhood(engine):
     for name in ("ast_graph", "dependency_graph", "call_graph", "product_flow_graph", "test_graph"):
         assert engine.graph(name)["edges"], name
-    node = engine.at("src/upload.ts", 3)
+    node = engine.at("lib/tide/height.ts", 6)
     near, none = engine.neighborhood(node["id"], 1), engine.neighborhood(node["id"], 0)
-    assert len(near["nodes"]) == 3 and len(none["nodes"]) == 1 and not none["edges"]
+    assert {n["name"] for n in near["nodes"]} == {"mean", "heightAt", "height.ts"}
+    assert len(none["nodes"]) == 1 and not none["edges"]
     assert engine.neighborhood(5, 2) == {"nodes": [], "edges": []}
 
 
 def test_context_budget(engine):
-    context = engine.task_context("save avatar upload", 800)
+    context = engine.task_context("may ships enter the port", 800)
     assert len(json.dumps(context)) < 10_000 and len(context["context_pack"]) <= 1700 and len(context["subgraph"]["edges"]) <= 5
     brief = brief_context(context, 800)
     assert brief["files"] and len(brief["read"]) <= 4
-    assert any("test" in t["path"] for t in engine.suggest_tests("save avatar"))
+    assert {t["path"] for t in engine.suggest_tests("enter port")} == {"checks/port.spec.ts"}
 
 
 def test_brief_views():
@@ -109,7 +156,7 @@ def test_brief_views():
 def test_tools(engine):
     tools = Tools(engine, compact=True)
     assert len(TOOLS) == 25 and len(tools.listed()) == 25 and len(Tools(engine).listed()) == 25 + len(ALIASES)
-    assert tools.call("read", {"path": "src/service.ts"})["total_lines"] == 4
+    assert tools.call("read", {"path": "lib/port.ts"})["total_lines"] == 5
     assert len(json.dumps(tools.call("call_graph"))) < 12_000
     for name, args in (("nope", {}), ("search", {}), ("search", {"query": 3}), ("definition_at", {"path": "x", "line": 1}), ("grep", {"query": "x", "limit": True})):
         with pytest.raises(ToolError):
@@ -117,13 +164,13 @@ def test_tools(engine):
 
 
 def test_json_rpc(engine):
-    lines = [{"id": 1, "method": "initialize"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "glob", "arguments": {"pattern": "src/*"}}}, {"id": 4, "method": "what"}, {"id": 5, "method": "tools/call", "params": {"name": "nope"}}, {"method": "note"}, {"id": 6, "method": "resources/read", "params": {"uri": "codeloom://files/src/ns.ts"}}, {"id": 7, "method": "resources/list"}]
+    lines = [{"id": 1, "method": "initialize"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "glob", "arguments": {"pattern": "lib/*"}}}, {"id": 4, "method": "what"}, {"id": 5, "method": "tools/call", "params": {"name": "nope"}}, {"method": "note"}, {"id": 6, "method": "resources/read", "params": {"uri": "codeloom://files/lib/port.ts"}}, {"id": 7, "method": "resources/list"}]
     sink = io.StringIO()
     serve_lines(Tools(engine, True), io.StringIO("{bad\n" + "".join(json.dumps(x) + "\n" for x in lines)), sink)
     answers = [json.loads(x) for x in sink.getvalue().splitlines()]
     assert [a["id"] for a in answers] == [None, 1, 2, 3, 4, 5, 6, 7]
     assert answers[0]["error"]["code"] == -32700 and answers[5]["error"]["code"] == -32000 and answers[4]["result"] == {}
-    assert "viaNamespace" in answers[6]["result"]["contents"][0]["text"]
+    assert "canEnter" in answers[6]["result"]["contents"][0]["text"]
 
 
 def test_http(engine):
@@ -140,9 +187,9 @@ def test_http(engine):
             return error.code, json.load(error)
 
     assert ask("/health") == (200, {"status": "ok"})
-    assert ask("/search", {"query": "avatar", "limit": 3})[1]["hits"]
+    assert ask("/search", {"query": "water", "limit": 3})[1]["hits"]
     assert ask("/search", {"query": "x", "repo_path": "/elsewhere"})[0] == 400
-    assert ask("/files/src/ns.ts")[1]["total_lines"] == 2
+    assert ask("/files/lib/port.ts")[1]["total_lines"] == 5
     assert ask("/files/none")[0] == 404 and ask("/search", {})[0] == 500
     server.shutdown()
 
