@@ -11,12 +11,16 @@
    buckets, such as the original among its edited copies.
 4. Candidates are confirmed by an exact count over full sets; components of the confirmed links come
    from repeated joins with minimum labels.
-5. A star misses links between two other members. Let d(x) be the symmetric difference of x and the
-   centre. The difference of x and y is |d(x)| + |d(y)| - 2 |d(x) & d(y)|, so a member that doesn't
-   link to the centre can link to another only if their differences from the centre share elements,
-   and more than half of d(y) unless y is larger than the centre. Where a bucket holds members of
-   several components, these differences are joined by their rarest elements, as many as that bound
-   asks for. Pairs so found are confirmed like the others, and no other pair of a bucket can link.
+5. A star misses links between two other members. Let d(x) be the symmetric difference of x and some
+   reference. The difference of x and y is |d(x)| + |d(y)| - 2 |d(x) & d(y)|, so a member that doesn't
+   link to the reference can link to another only if their differences share elements, and more than
+   half of d(y) unless y is larger than the reference. Where a bucket holds members of several
+   components, these differences are joined by their rarest elements, as many as that bound asks for,
+   and a pair counts if enough elements follow the shared one in both. Pairs so found are confirmed
+   like the others, and no other pair of a bucket can link.
+6. The reference needn't be in the bucket: it is the first among the centres that the bucket's centre
+   meets anywhere. So the buckets of edited copies share their original, and a member has one
+   difference or a few, where it would have one for each of its buckets' centres.
 
 Nodes are 64-bit hashes of word sequences. Sets, pairs and links stay in tables of the shared folder.
 """
@@ -131,7 +135,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _stars(scratch: Scratch, sets: DataFrame) -> DataFrame:
-    """The members of fine buckets, each with its bucket's centre: bucket, node, size, members, other, other_size."""
+    """The members of fine buckets, each with its bucket's centre: bucket, node, size, members, other, other_size, other_rank."""
     fine = map_arrow(sets.where("crowded").select("node", "shingles"), _fine_bands, "node bigint, size bigint, bands array<bigint>")
     fine = scratch.put("fine", fine.select("node", "size", F.explode("bands").alias("bucket")))
     shared = fine.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -140,39 +144,50 @@ def _stars(scratch: Scratch, sets: DataFrame) -> DataFrame:
     met = buckets.groupBy("node").agg(F.sum("members").alias("met"))
     # one number orders by meetings, then by node
     ranked = buckets.join(met, "node").withColumn("rank", F.shiftleft("met", 20) + F.pmod("node", F.lit(1 << 20)))
-    centres = ranked.groupBy("bucket").agg(F.max_by("node", "rank").alias("other"), F.max_by("size", "rank").alias("other_size"))
+    centres = ranked.groupBy("bucket").agg(F.max_by("node", "rank").alias("other"), F.max_by("size", "rank").alias("other_size"), F.max("rank").alias("other_rank"))
     stars = scratch.put("stars", buckets.join(centres, "bucket"))
     scratch.drop("buckets")
     return stars
 
 
 def _open_pairs(scratch: Scratch, stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket in different components that may link, by their differences from its centre."""
+    """Pairs of members of a bucket in different components that may link, by their differences from a reference."""
     named = stars.where("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    members = named.join(several, "bucket", "left_semi").select("node", "size", "root", "other", "other_size").distinct()
-    # one end at least of an open pair lies outside the centre's component: that one asks
-    of_centre = roots.select(F.col("node").alias("other"), F.col("root").alias("own"))
-    asks = (F.col("root") != F.coalesce("own", "other")).alias("asks")
-    members = members.where("node <> other").join(of_centre, "other", "left").select("node", "size", "root", "other", "other_size", asks)
+    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("other").alias("centre")).where("low <> high")
+    best = stars.groupBy("node").agg(F.max(F.struct("other_rank", "other", "other_size")).alias("best"))
+    refs = several.join(best.withColumnRenamed("node", "centre"), "centre").select("bucket", "best.other", "best.other_size")
+    members = named.drop("other", "other_size").join(refs, "bucket").select("node", "size", "root", "other", "other_size").distinct()
+    of_ref = roots.select(F.col("node").alias("other"), F.col("root").alias("own"))
+    apart = (F.col("root") != F.coalesce("own", "other")).alias("apart")
+    members = members.where("node <> other").join(of_ref, "other", "left").select("node", "size", "root", "other", "other_size", apart)
     both = members.join(sets.select("node", F.col("shingles").alias("s")), "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("c")), "other")
-    both = both.withColumn("delta", F.concat(F.array_except("s", "c"), F.array_except("c", "s"))).drop("s", "c")
-    deltas = scratch.put("deltas", both.select("*", F.size("delta").alias("d"), F.explode("delta").alias("e")).drop("delta"))
-
-    common = deltas.groupBy("other", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = both.withColumn("delta", F.concat(F.array_except("s", "c"), F.array_except("c", "s"))).drop("s", "c").withColumn("d", F.size("delta"))
+    a, b = 100 + THRESHOLD, 100 - THRESHOLD
+    # one end at least of an open pair lies outside the reference's component: that one asks, unless it
+    # links to the reference, which is then a pair of its own
+    linked = a * F.col("d") <= b * (F.col("size") + F.col("other_size"))
+    both = both.withColumns({"asks": F.col("apart") & ~linked, "joins": F.col("apart") & linked}).drop("apart")
+    deltas = scratch.put("deltas", both.select("*", F.explode("delta").alias("e")).drop("delta"))
+
+    # only an element of members of several components, one of which asks, can open a pair
+    common = deltas.groupBy("other", "e").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("asks").alias("asked"))
+    common = common.where("low <> high and asked").select("other", "e", "n")
     own = Window.partitionBy("other", "node")
-    # elements that no other difference has come first, so they needn't be listed to count places
+    # the other elements come first, so they needn't be listed to count places
     place = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "e"))
-    a, b = 100 + THRESHOLD, 100 - THRESHOLD
-    # the elements shared with any partner that doesn't link to the centre, and with any partner at all
+    # the elements shared with any partner that doesn't link to the reference, and with any partner at all
     least_told = F.floor((a * F.col("d") - b * (F.col("size") - F.col("other_size"))) / (2 * a)) + 1
-    least_asked = F.ceil((a * F.col("d") - b * (F.col("size") + F.col("other_size"))) / (2 * a))
+    least_asked = F.ceil((a * F.col("d") - b * (F.col("size") + F.col("other_size"))) / (a + b))
     ranked = deltas.join(common, ["other", "e"]).withColumn("place", place)
     ranked = ranked.withColumns({"told": F.col("place") <= F.col("d") - least_told + 1, "asked": F.col("asks") & (F.col("place") <= F.col("d") - least_asked + 1)})
-    ranked = scratch.put("ranked", ranked.where("told or asked").select("other", "e", "node", "size", "root", "told", "asked"))
-    asked = ranked.where("asked").select("other", "e", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("root").alias("xr"))
-    met = asked.join(ranked.where("told"), ["other", "e"]).where((F.col("xr") != F.col("root")) & _similar_sizes("xs", "size"))
-    return _pairs(met.select("node", "size", F.col("x").alias("other"), F.col("xs").alias("other_size")))
+    ranked = scratch.put("ranked", ranked.where("told or asked").select("other", "e", "node", "size", "root", "d", "place", "told", "asked"))
+    asked = ranked.where("asked").select("other", "e", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "root", "d", "place")))
+    # from the first shared element on, both differences must hold as many as the pair has to share
+    room = 1 + F.least(F.col("d") - F.col("place"), F.col("x_d") - F.col("x_place"))
+    enough = 2 * a * room >= a * (F.col("d") + F.col("x_d")) - b * (F.col("size") + F.col("x_size"))
+    met = asked.join(ranked.where("told"), ["other", "e"]).where((F.col("x_root") != F.col("root")) & _similar_sizes("x_size", "size") & enough)
+    met = met.select("node", "size", F.col("x_node").alias("other"), F.col("x_size").alias("other_size"))
+    return _pairs(met.unionByName(deltas.where("joins").select("node", "size", "other", "other_size")))
 
 
 def components(docs: DataFrame) -> DataFrame:

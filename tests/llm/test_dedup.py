@@ -146,6 +146,33 @@ def test_near_tests_members_beyond_the_star(spark):
     assert got == brute_components(rows) and {c for _, c in got.values()} == {1}
 
 
+def test_near_work_on_one_group_grows_with_its_members(spark, monkeypatch):
+    """Copies with up to ten edits, many of which link with nothing: few differences each, few pairs to confirm."""
+    random.seed(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(500):
+        own = list(base)
+        for place in random.sample(range(120), 1 + i % 10):
+            own[place] = f"e{random.randrange(10**9)}"
+        texts.append(" ".join(own))
+    made, put = {}, near_dedup.Scratch.put
+
+    def counted(self, name, df):
+        out = put(self, name, df)
+        if name == "deltas":
+            made[name] = out.select("other", "node").distinct().count()
+        elif name in ("ranked", "open-pairs"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup.Scratch, "put", counted)
+    rows = list(enumerate(texts, 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.annotate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 100
+    assert made["deltas"] <= 2 * len(rows) and made["open-pairs"] <= len(rows), made
+
+
 def test_near_of_an_empty_table(spark):
     assert near_dedup.annotate(spark.createDataFrame([], SCHEMA)).collect() == []
 
