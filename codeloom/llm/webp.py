@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import struct
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -86,15 +86,30 @@ class PrefixCode:
     def __init__(self, lengths: list[tuple[int, int]]) -> None:
         if not lengths:
             raise WebPError("a prefix code has no symbols")
+        self.lengths, self.mask = lengths, 0
         if len(lengths) == 1:
-            self.mask, self.table = 0, [lengths[0][0] << 4]
             return
         if sum(1 << (15 - n) for _, n in lengths) != 1 << 15:
             raise WebPError("a prefix code is not complete")
-        longest = max(n for _, n in lengths)
-        self.mask, self.table = (1 << longest) - 1, [0] * (1 << longest)
-        for symbol, n, code in canonical(lengths):
-            self.table[code :: 1 << n] = [symbol << 4 | n] * (1 << longest - n)
+        self.mask = (1 << max(n for _, n in lengths)) - 1
+
+    @cached_property
+    def table(self) -> list[int]:
+        if not self.mask:
+            return [self.lengths[0][0] << 4]
+        table = [0] * (self.mask + 1)
+        for symbol, n, code in canonical(self.lengths):
+            table[code :: 1 << n] = [symbol << 4 | n] * (self.mask + 1 >> n)
+        return table
+
+    @cached_property
+    def array(self) -> np.ndarray:
+        """``table`` for numpy: codes of ascending length fill it in the order of their reversed bits."""
+        if not self.mask:
+            return np.array([self.lengths[0][0] << 4])
+        symbols, sizes = np.array(sorted(self.lengths, key=itemgetter(1))).T
+        longest = self.mask.bit_length()
+        return np.repeat(symbols << 4 | sizes, 1 << longest - sizes)[_reversed(longest)]
 
     def read(self, bits: Bits) -> int:
         found = self.table[bits.peek(15) & self.mask]
@@ -102,6 +117,12 @@ class PrefixCode:
         return found >> 4
 
 
+@lru_cache(maxsize=16)
+def _reversed(longest: int) -> np.ndarray:
+    """The numbers below 2 ** ``longest`` with their bits reversed."""
+    return np.array(_REVERSED[: 1 << longest], np.int64) >> 15 - longest
+
+
 def canonical(lengths: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Symbol, length and code of each of the ascending symbols; the first bit of a code is its lowest."""
     code = last = 0
@@ -185,6 +206,134 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+#: Bytes of the stream that are looked up at once, and pixels of an image that is worth it.
+_PIECE = 1 << 13
+_LEAST_PIXELS = 128
+
+
+def _read_pixels(bits: Bits, width: int, n: int, codes: list[PrefixCode], cache_bits: int) -> np.ndarray | None:
+    """The ``n`` pixels of an image with one group of codes, or None if one is taken from an empty slot of the cache.
+
+    Looks up what would start at each bit of a piece, so that the next start is known for all of them,
+    and follows these eight at a time. The green code must take bits and the alpha code none.
+    """
+    green, red, blue, alpha, far = codes
+    top = np.uint32(alpha.array[0] >> 4 << 24)
+    values, kinds, counts, places = [], [], [], []
+    done, at = 0, bits.at
+    while done < n:
+        if at >= bits.size:
+            raise WebPError("the stream ends too early")
+        first = at >> 3
+        size = min(_PIECE, len(bits.data) - first)
+        raw = np.frombuffer(bits.data[first : first + size + 11].ljust(size + 11, b"\0"), np.uint8).astype(np.intp)
+        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        ahead = (words[:, None] >> np.arange(8)).ravel()  # 25 bits or more of each place
+        limit, every = 8 * size, np.arange(len(ahead))
+        greens = green.array.take(ahead & green.mask)
+        reds = greens if red is green else red.array.take(ahead & red.mask)
+        blues = reds if blue is red else blue.array.take(ahead & blue.mask)
+        after = every + (greens & 15)
+        after[limit:] = every[limit:]
+        # back-references and cached pixels end elsewhere
+        second = after[:limit] + (reds.take(after[:limit]) & 15)
+        nexts = every.copy()
+        nexts[:limit] = second + (blues.take(second) & 15)
+        other = np.flatnonzero(greens[:limit] >= 256 << 4)
+        longer = np.zeros(0, np.intp)
+        if len(other):
+            symbol = (greens[other] >> 4) - 256
+            copy = symbol < _LENGTH_SYMBOLS
+            nexts[other] = after[other]
+            longer = other[copy]
+            length, end = _prefix_values(symbol[copy], ahead, after[longer])
+            e = far.array[ahead[end] & far.mask]
+            distance, nexts[longer] = _prefix_values(e >> 4, ahead, end + (e & 15))
+        np.minimum(nexts, len(every) - 1, out=nexts)
+        two = nexts.take(nexts)
+        four = two.take(two)
+        eight = memoryview(four.take(four))
+        starts, p = [], at - 8 * first
+        while p < limit:
+            starts.append(p)
+            p = eight[p]
+        tokens = np.array(starts)
+        for step in (four, two, nexts):
+            tokens = np.stack((tokens, step.take(tokens)), axis=1).ravel()
+        tokens = tokens[tokens < limit]
+        e = greens[tokens]
+        symbol = e >> 4
+        r = reds[after[tokens]]
+        b = blues[second[tokens]]
+        value = top | (r >> 4 << 16 | symbol << 8 | b >> 4).astype(np.uint32)
+        count = np.ones(len(tokens), np.int64)
+        copied = np.flatnonzero((symbol >= 256) & (symbol < 256 + _LENGTH_SYMBOLS))
+        if len(copied):
+            found = np.searchsorted(longer, tokens[copied])
+            count[copied] = length[found]
+            value[copied] = [_distance(d, width) for d in distance[found].tolist()]
+        ends = done + np.cumsum(count)
+        used = int(np.searchsorted(ends, n)) + 1
+        if used <= len(tokens):
+            tokens, symbol, value, count, ends = tokens[:used], symbol[:used], value[:used], count[:used], ends[:used]
+            at = 8 * first + int(nexts[tokens[-1]])
+        else:
+            at = 8 * first + p
+        values.append(value)
+        kinds.append(symbol)
+        counts.append(count)
+        places.append(ends - count)
+        done = int(ends[-1])
+    if done > n:
+        raise WebPError("a back-reference leaves the image")
+    if at > bits.size:
+        raise WebPError("the stream ends too early")
+    value, symbol, count, place = map(np.concatenate, (values, kinds, counts, places))
+    bits.at = at
+    cached, copied = symbol >= 256 + _LENGTH_SYMBOLS, (symbol >= 256) & (symbol < 256 + _LENGTH_SYMBOLS)
+    if len(value) == n and not cached.any():
+        return value
+    # a copied pixel points to another before; what none points further takes its token's value
+    source = np.arange(n)
+    if copied.any():
+        source -= np.repeat(np.where(copied, value, np.uint32(0)).astype(np.int64), count)
+        if source.min() < 0:
+            raise WebPError("a back-reference leaves the image")
+        source = _followed(source)
+    pixels = np.zeros(n, np.uint32)
+    pixels[place] = value
+    if cached.any():
+        # pixels have the slots of their sources, and a cached one is the last pixel before of its slot
+        slots = (pixels * np.uint32(_CACHE_MULTIPLIER) >> np.uint32(32 - cache_bits)).astype(np.int16)
+        hits = place[cached]
+        slots[hits] = symbol[cached] - 256 - _LENGTH_SYMBOLS
+        slots = slots[source]
+        order = np.argsort(slots, kind="stable")
+        last = np.full(n, -1)
+        last[order[1:]] = np.where(slots[order[1:]] == slots[order[:-1]], order[:-1], -1)
+        if last[hits].min() < 0:
+            return None
+        source[hits] = last[hits]
+        source = _followed(source)
+    return pixels[source]
+
+
+def _prefix_values(symbols: np.ndarray, ahead: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distance codes, and the places behind them."""
+    extra = np.maximum(symbols - 2, 0) >> 1
+    base = np.where(symbols < 4, symbols, (2 + (symbols & 1)) << extra)
+    return base + (ahead[at] & (1 << extra) - 1) + 1, at + extra
+
+
+def _followed(source: np.ndarray) -> np.ndarray:
+    """Where a chain of sources ends, for each place."""
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            return source
+        source = further
+
+
 #: Bytes of the stream that the symbol loop prepares at once.
 _CHUNK = 1 << 16
 
@@ -203,7 +352,12 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         meta = sub[:, :, 1] << 8 | sub[:, :, 2]
     groups = []
     for _ in range(1 if meta is None else int(meta.max()) + 1):
-        green, red, blue, alpha, far = _read_group(bits, cache_size)
+        green, red, blue, alpha, far = codes = _read_group(bits, cache_size)
+        if meta is None and n >= _LEAST_PIXELS and green.mask and not alpha.mask:
+            start = bits.at
+            if (pixels := _read_pixels(bits, width, n, codes, cache_bits)) is not None:
+                return pixels.astype(">u4").view(np.uint8).reshape(height, width, 4)
+            bits.at = start
         groups.append((green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask, far))
 
     pixels = array("I")
@@ -564,10 +718,12 @@ class _Code:
         w.write(room // 2 - 1, 3)
         w.write(len(tokens) - 2, room)
         codes = {s: (code, n) for s, n, code in canonical(own)} if len(own) > 1 else {used[0]: (0, 0)}
+        all_, size = 0, 0
         for t, value, extra in tokens:
-            w.write(*codes[t])
-            if extra:
-                w.write(value, extra)
+            code, n = codes[t]
+            all_ |= (code | value << n) << size
+            size += n + extra
+        w.write(all_, size)
 
 
 def _merge_repeats(tokens: list[tuple[int, int, int]], previous: int) -> list[tuple[int, int, int]]:
@@ -698,11 +854,15 @@ def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool) -> No
     if cached:
         own = 256 + _LENGTH_SYMBOLS + slots[hits].astype(np.int64)
         values[hits], sizes[hits] = codes[0].codes[own], codes[0].sizes[own]
-    for (i, _, _), (s, extra, k), (ds, dextra, dk) in zip(copies, lengths, distances, strict=True):
-        value, size = int(codes[0].codes[256 + s]), int(codes[0].sizes[256 + s])
-        value, size = value | extra << size, size + k
-        value, size = value | int(codes[4].codes[ds]) << size, size + int(codes[4].sizes[ds])
-        values[i], sizes[i] = value | dextra << size, size + dk
+    if copies:
+        at = [i for i, _, _ in copies]
+        value, size = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
+        for code, first, parts in ((codes[0], 256, lengths), (codes[4], 0, distances)):
+            own, extra, k = np.array(parts, np.int64).T
+            for more, n in ((code.codes[first + own], code.sizes[first + own]), (extra.astype(np.uint64), k)):
+                value |= more << size.astype(np.uint64)
+                size += n
+        values[at], sizes[at] = value, size
     w.extend(values, sizes)
 
 

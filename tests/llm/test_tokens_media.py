@@ -351,3 +351,32 @@ def test_code_lengths_are_complete_and_bounded():
             lengths = webp.code_lengths(counts, longest)
             assert max(lengths) <= longest and sum(2.0**-n for n in lengths) == 1
             assert all(a >= b for (x, a), (y, b) in zip(sorted(zip(counts, lengths, strict=True)), sorted(zip(counts, lengths, strict=True))[1:], strict=False) if x < y)
+
+
+@pytest.mark.parametrize("kind", ["words", "copies", "cache", "both", "long", "colours"])
+def test_pixels_read_at_once_are_those_of_the_symbol_loop(kind, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, k).astype(np.uint8)) for k in rng.integers(2, 12, 400)]
+    text = b" ".join(words[i] for i in rng.integers(0, 400, 60_000 if kind == "long" else 900))
+    few = rng.integers(0, 256, (300, 3)).astype(np.uint8)
+    raw = {"copies": text + text[:3000] * 3, "cache": few[rng.integers(0, 300, 4000)].tobytes(), "colours": rng.integers(0, 256, 9000).astype(np.uint8).tobytes()}.get(kind, text)
+    if kind == "both":
+        raw = few[rng.integers(0, 300, 4000)].tobytes() * 2
+    payload = webp.pad_payload(raw)
+    media_bytes = webp.encode_payload(payload)
+    read, at_once = webp._read_pixels, []
+
+    def counted(*a):
+        at_once.append(read(*a))
+        return at_once[-1]
+
+    monkeypatch.setattr(webp, "_read_pixels", counted)
+    fast = webp.decode_files(media_bytes)
+    assert any(x is not None for x in at_once)
+    monkeypatch.setattr(webp, "_LEAST_PIXELS", 1 << 60)
+    slow = webp.decode_files(media_bytes)
+    assert all((a == b).all() for a, b in zip(fast, slow, strict=True))
+    assert b"".join(i[:, :, 1:].tobytes() for i in fast) == payload
+    with pytest.raises(webp.WebPError):
+        monkeypatch.setattr(webp, "_LEAST_PIXELS", 128)
+        webp.decode_stream(media_bytes[20 : 20 + len(media_bytes) // 2])
