@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 from array import array
+from collections import Counter
 from functools import cached_property, lru_cache
 from operator import itemgetter
 
@@ -89,9 +90,10 @@ class PrefixCode:
         self.lengths, self.mask = lengths, 0
         if len(lengths) == 1:
             return
-        if sum(1 << (15 - n) for _, n in lengths) != 1 << 15:
+        sizes = [n for _, n in lengths]
+        if sum([1 << 15 - n for n in sizes]) != 1 << 15:
             raise WebPError("a prefix code is not complete")
-        self.mask = (1 << max(n for _, n in lengths)) - 1
+        self.mask = (1 << max(sizes)) - 1
 
     @cached_property
     def table(self) -> list[int]:
@@ -106,10 +108,11 @@ class PrefixCode:
     def array(self) -> np.ndarray:
         """``table`` for numpy: codes of ascending length fill it in the order of their reversed bits."""
         if not self.mask:
-            return np.array([self.lengths[0][0] << 4])
-        symbols, sizes = np.array(sorted(self.lengths, key=itemgetter(1))).T
+            return np.array([self.lengths[0][0] << 4], np.uint16)
         longest = self.mask.bit_length()
-        return np.repeat(symbols << 4 | sizes, 1 << longest - sizes)[_reversed(longest)]
+        by_length = sorted(self.lengths, key=itemgetter(1))
+        entries = np.array([s << 4 | n for s, n in by_length], np.uint16)
+        return entries.repeat([1 << longest - n for _, n in by_length]).take(_reversed(longest))
 
     def read(self, bits: Bits) -> int:
         found = self.table[bits.peek(15) & self.mask]
@@ -135,24 +138,35 @@ def canonical(lengths: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _read_code(bits: Bits, alphabet: int) -> tuple[PrefixCode, int]:
-    """A code, and how many symbols of the alphabet it lists."""
-    if bits.read(1):
-        two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        symbols = {first, bits.read(8)} if two else {first}
+@lru_cache(maxsize=1024)
+def _simple_code(*symbols: int) -> PrefixCode:
+    return PrefixCode([(s, 1) for s in symbols])
+
+
+def _read_code(bits: Bits, alphabet: int, window: int) -> tuple[PrefixCode, int]:
+    """A code, and how many symbols of the alphabet it lists; ``window`` holds the next bits."""
+    if window & 1:
+        two, wide = window >> 1 & 1, window >> 2 & 1
+        size = 11 if wide else 4
+        symbols = {window >> 3 & (255 if wide else 1)}
+        if two:
+            symbols.add(window >> size & 255)
+            size += 8
+        bits.skip(size)
         if max(symbols) >= alphabet:
             raise WebPError("a symbol lies outside its alphabet")
-        return PrefixCode([(s, 1) for s in sorted(symbols)]), max(symbols) + 1
-    own = sorted((_CODE_LENGTH_ORDER[i], n) for i in range(4 + bits.read(4)) if (n := bits.read(3)))
-    code = PrefixCode(own)
-    left = alphabet
-    if bits.read(1):
-        left = 2 + bits.read(2 + 2 * bits.read(3))
+        return _simple_code(*sorted(symbols)), max(symbols) + 1
+    listed = 4 + (window >> 1 & 15)
+    v = window >> 5 & (1 << 3 * listed) - 1
+    code = PrefixCode(sorted([(_CODE_LENGTH_ORDER[i], n) for i in range(listed) if (n := v >> 3 * i & 7)]))
+    left, used = alphabet, 6 + 3 * listed
+    if window >> used - 1 & 1:
+        room = 2 + 2 * (window >> used & 7)
+        left = 2 + (window >> used + 3 & (1 << room) - 1)
+        used += 3 + room
     lengths: list[tuple[int, int]] = []
     add, table, mask = lengths.append, code.table, code.mask
     at, previous = 0, 8
-    window, used = bits.window(), 0
     while at < alphabet and left:
         if used > _WINDOW_BITS:
             bits.skip(used)
@@ -174,7 +188,7 @@ def _read_code(bits: Bits, alphabet: int) -> tuple[PrefixCode, int]:
         if at + n > alphabet:
             raise WebPError("code lengths run over their alphabet")
         if value:
-            lengths.extend((k, value) for k in range(at, at + n))
+            lengths.extend([(k, value) for k in range(at, at + n)])
         at += n
     bits.skip(used)
     return PrefixCode(lengths), at
@@ -192,7 +206,7 @@ def _read_group(bits: Bits, cache_size: int) -> list[PrefixCode]:
             bits.skip(size)
             continue
         start = bits.at
-        code, listed = _read_code(bits, n)
+        code, listed = _read_code(bits, n, window)
         out.append(code)
         size = bits.at - start if listed < n else 0  # a list that the alphabet's end cut reads otherwise in another
         own, least = window & ((1 << size) - 1), listed + 1
@@ -206,6 +220,10 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+#: Extra bits, and least value, of each symbol of a length or distance code.
+_EXTRA_BITS = np.array([max(s - 2, 0) >> 1 for s in range(_DISTANCE_SYMBOLS)])
+_LEAST_VALUES = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << (s - 2 >> 1)) + 1 for s in range(_DISTANCE_SYMBOLS)])
+
 #: Bytes of the stream that are looked up at once, and pixels of an image that is worth it.
 _PIECE = 1 << 13
 _LEAST_PIXELS = 128
@@ -215,10 +233,11 @@ def _read_pixels(bits: Bits, width: int, n: int, codes: list[PrefixCode], cache_
     """The ``n`` pixels of an image with one group of codes, or None if one is taken from an empty slot of the cache.
 
     Looks up what would start at each bit of a piece, so that the next start is known for all of them,
-    and follows these eight at a time. The green code must take bits and the alpha code none.
+    and follows these four at a time. The green code must take bits and the alpha code none.
     """
     green, red, blue, alpha, far = codes
-    top = np.uint32(alpha.array[0] >> 4 << 24)
+    top = alpha.lengths[0][0] << 24
+    literals = max(green.lengths)[0] < 256
     values, kinds, counts, places = [], [], [], []
     done, at = 0, bits.at
     while done < n:
@@ -226,48 +245,71 @@ def _read_pixels(bits: Bits, width: int, n: int, codes: list[PrefixCode], cache_
             raise WebPError("the stream ends too early")
         first = at >> 3
         size = min(_PIECE, len(bits.data) - first)
-        raw = np.frombuffer(bits.data[first : first + size + 11].ljust(size + 11, b"\0"), np.uint8).astype(np.intp)
-        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-        ahead = (words[:, None] >> np.arange(8)).ravel()  # 25 bits or more of each place
+        raw = np.frombuffer(bits.data[first : first + size + 11].ljust(size + 11, b"\0"), np.uint8)
+        # the next 2, 4, 8 and 16 bits of each place
+        eight = np.unpackbits(raw, bitorder="little")
+        for k in (1, 2, 4):
+            eight[:-k] |= eight[k:] << np.uint8(k)
+        ahead = eight.astype(np.uint16)
+        ahead[:-8] |= ahead[8:] << np.uint16(8)
         limit, every = 8 * size, np.arange(len(ahead))
         greens = green.array.take(ahead & green.mask)
-        reds = greens if red is green else red.array.take(ahead & red.mask)
-        blues = reds if blue is red else blue.array.take(ahead & blue.mask)
         after = every + (greens & 15)
         after[limit:] = every[limit:]
-        # back-references and cached pixels end elsewhere
-        second = after[:limit] + (reds.take(after[:limit]) & 15)
-        nexts = every.copy()
-        nexts[:limit] = second + (blues.take(second) & 15)
-        other = np.flatnonzero(greens[:limit] >= 256 << 4)
-        longer = np.zeros(0, np.intp)
-        if len(other):
-            symbol = (greens[other] >> 4) - 256
+        # where a red and a blue sample would end; the code of a channel before needs no second look
+        if red is green:
+            reds, red_ends = greens, after
+        else:
+            reds = red.array.take(ahead & red.mask)
+            red_ends = every + (reds & 15) if red.mask else every
+        if blue is red:
+            blues, blue_ends = reds, red_ends
+        else:
+            blues = blue.array.take(ahead & blue.mask)
+            blue_ends = every + (blues & 15) if blue.mask else every
+        second = red_ends.take(after[:limit])
+        nexts = np.concatenate((blue_ends.take(second), every[limit:]))
+        if not literals:
+            # back-references and cached pixels end elsewhere
+            other = (greens[:limit] >= 256 << 4).nonzero()[0]
+            symbol = (greens[other] >> 4).astype(np.intp) - 256
             copy = symbol < _LENGTH_SYMBOLS
             nexts[other] = after[other]
             longer = other[copy]
-            length, end = _prefix_values(symbol[copy], ahead, after[longer])
-            e = far.array[ahead[end] & far.mask]
-            distance, nexts[longer] = _prefix_values(e >> 4, ahead, end + (e & 15))
-        np.minimum(nexts, len(every) - 1, out=nexts)
+            wide = raw.astype(np.intp)
+            words = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
+            length, end = _prefix_values(symbol[copy], words, after[longer])
+            e = far.array.take(ahead.take(end) & far.mask).astype(np.intp)
+            distance, end = _prefix_values(e >> 4, words, end + (e & 15))
+            nexts[longer] = np.minimum(end, len(every) - 1)
         two = nexts.take(nexts)
-        four = two.take(two)
-        eight = memoryview(four.take(four))
+        four = memoryview(two.take(two))
         starts, p = [], at - 8 * first
         while p < limit:
             starts.append(p)
-            p = eight[p]
-        tokens = np.array(starts)
-        for step in (four, two, nexts):
-            tokens = np.stack((tokens, step.take(tokens)), axis=1).ravel()
-        tokens = tokens[tokens < limit]
-        e = greens[tokens]
-        symbol = e >> 4
-        r = reds[after[tokens]]
-        b = blues[second[tokens]]
-        value = top | (r >> 4 << 16 | symbol << 8 | b >> 4).astype(np.uint32)
+            p = four[p]
+        tokens = np.empty((len(starts), 4), np.intp)
+        tokens[:, 0] = starts
+        tokens[:, 2] = two.take(tokens[:, 0])
+        tokens[:, 1::2] = nexts.take(tokens[:, ::2])
+        tokens = tokens.ravel()
+        tokens = tokens[: tokens.searchsorted(limit)]
+        symbol = greens.take(tokens) >> 4
+        value = symbol.astype(np.uint32) << 8
+        value |= (reds.take(after.take(tokens)) >> 4).astype(np.uint32) << 16
+        value |= blues.take(second.take(tokens)) >> 4
+        value |= np.uint32(top)
+        if literals:
+            used = n - done
+            if used <= len(tokens):
+                value, at = value[:used], 8 * first + int(nexts[tokens[used - 1]])
+            else:
+                at = 8 * first + p
+            values.append(value)
+            done += len(value)
+            continue
         count = np.ones(len(tokens), np.int64)
-        copied = np.flatnonzero((symbol >= 256) & (symbol < 256 + _LENGTH_SYMBOLS))
+        copied = ((symbol >= 256) & (symbol < 256 + _LENGTH_SYMBOLS)).nonzero()[0]
         if len(copied):
             found = np.searchsorted(longer, tokens[copied])
             count[copied] = length[found]
@@ -288,18 +330,20 @@ def _read_pixels(bits: Bits, width: int, n: int, codes: list[PrefixCode], cache_
         raise WebPError("a back-reference leaves the image")
     if at > bits.size:
         raise WebPError("the stream ends too early")
-    value, symbol, count, place = map(np.concatenate, (values, kinds, counts, places))
     bits.at = at
+    value = np.concatenate(values)
+    if literals:
+        return value
+    symbol, count, place = map(np.concatenate, (kinds, counts, places))
     cached, copied = symbol >= 256 + _LENGTH_SYMBOLS, (symbol >= 256) & (symbol < 256 + _LENGTH_SYMBOLS)
     if len(value) == n and not cached.any():
         return value
-    # a copied pixel points to another before; what none points further takes its token's value
+    # a copied pixel takes another's value, so it has that one's source
     source = np.arange(n)
-    if copied.any():
-        source -= np.repeat(np.where(copied, value, np.uint32(0)).astype(np.int64), count)
-        if source.min() < 0:
+    for i, k, back in zip(place[copied].tolist(), count[copied].tolist(), value[copied].tolist(), strict=True):
+        if back > i:
             raise WebPError("a back-reference leaves the image")
-        source = _followed(source)
+        source[i : i + k] = source[i - back : i - back + k] if back >= k else source[i - back + np.arange(k) % back]
     pixels = np.zeros(n, np.uint32)
     pixels[place] = value
     if cached.any():
@@ -309,27 +353,32 @@ def _read_pixels(bits: Bits, width: int, n: int, codes: list[PrefixCode], cache_
         slots[hits] = symbol[cached] - 256 - _LENGTH_SYMBOLS
         slots = slots[source]
         order = np.argsort(slots, kind="stable")
-        last = np.full(n, -1)
-        last[order[1:]] = np.where(slots[order[1:]] == slots[order[:-1]], order[:-1], -1)
-        if last[hits].min() < 0:
+        ends = np.arange(n)
+        hit = np.zeros(n, bool)
+        hit[hits] = True
+        hit = hit[order]
+        ends[hit] = 0
+        # the last pixel before that is not cached itself; other cached ones between are equal
+        last, own = order[np.maximum.accumulate(ends)[hit]], order[hit]
+        if hit[0] or (slots[last] != slots[own]).any():
             return None
-        source[hits] = last[hits]
+        source[own] = last
         source = _followed(source)
     return pixels[source]
 
 
-def _prefix_values(symbols: np.ndarray, ahead: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths or distance codes, and the places behind them."""
-    extra = np.maximum(symbols - 2, 0) >> 1
-    base = np.where(symbols < 4, symbols, (2 + (symbols & 1)) << extra)
-    return base + (ahead[at] & (1 << extra) - 1) + 1, at + extra
+def _prefix_values(symbols: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distance codes from their symbols and the bits from ``at`` on, and the places behind them."""
+    extra = _EXTRA_BITS.take(symbols)
+    bits = words.take(at >> 3) >> (at & 7) & (1 << extra) - 1
+    return _LEAST_VALUES.take(symbols) + bits, at + extra
 
 
 def _followed(source: np.ndarray) -> np.ndarray:
     """Where a chain of sources ends, for each place."""
     while True:
-        further = source[source]
-        if np.array_equal(further, source):
+        further = source.take(source)
+        if (further == source).all():
             return source
         source = further
 
@@ -590,28 +639,32 @@ class BitWriter:
 
     def __init__(self) -> None:
         self.value = self.size = 0
-        self.parts: list[np.ndarray] = []
 
     def write(self, value: int, n: int) -> None:
         self.value |= value << self.size
         self.size += n
 
-    def flush(self) -> None:
-        if self.size:
-            raw = np.frombuffer(self.value.to_bytes(-(-self.size // 8), "little"), np.uint8)
-            self.parts.append(np.unpackbits(raw, bitorder="little")[: self.size])
-            self.value = self.size = 0
-
     def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Write many numbers of given numbers of bits."""
-        self.flush()
+        """Write many numbers of given numbers of bits, at most 64 each."""
         ends = np.cumsum(sizes)
-        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-        self.parts.append((np.repeat(values, sizes) >> place.astype(np.uint64) & np.uint64(1)).astype(np.uint8))
+        total = int(ends[-1]) if len(ends) else 0
+        if not total:
+            return
+        starts = ends - sizes
+        words, shifts = starts >> 6, (starts & 63).astype(np.uint64)
+        # each 64 bits hold the numbers that start there and what runs over from the last one before
+        edges = (words[1:] != words[:-1]).nonzero()[0]
+        first = np.zeros(len(edges) + 1, np.intp)
+        first[1:] = edges + 1
+        out = np.zeros(len(first) + 1, "<u8")
+        out[:-1] = np.bitwise_or.reduceat(values << shifts, first)
+        last = np.full(len(first), len(words) - 1)
+        last[:-1] = edges
+        out[1:] |= values[last] >> np.uint64(1) >> (np.uint64(63) - shifts[last])
+        self.write(int.from_bytes(out.tobytes(), "little"), total)
 
     def bytes(self) -> bytes:
-        self.flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes() if self.parts else b""
+        return self.value.to_bytes(-(-self.size // 8), "little")
 
 
 #: Longest code of an image's symbols that the encoder makes; the format allows 15.
@@ -622,54 +675,75 @@ def code_lengths(counts: list[int], longest: int) -> list[int]:
     """Huffman code lengths of two or more positive counts; rare symbols count more until no code is too long."""
     n = len(counts)
     order = sorted(range(n), key=counts.__getitem__)
+    ascending = [counts[i] for i in order]
+    none = 2 * n * ascending[-1]  # more than any sum, as equal weights make no long codes
     floor = 1
     while True:
-        weights = [max(counts[i], floor) for i in order]
-        parents = [0] * (2 * n - 1)
-        leaf, node = 0, n
-        for new in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (node >= new or weights[leaf] <= weights[node]):
-                    pick, leaf = leaf, leaf + 1
-                else:
-                    pick, node = node, node + 1
-                parents[pick] = new
-                total += weights[pick]
-            weights.append(total)
-        depths = [0] * (2 * n - 1)
-        for i in range(2 * n - 3, -1, -1):
-            depths[i] = depths[parents[i]] + 1
-        if max(depths[:n]) <= longest:
+        weights = [c if c > floor else floor for c in ascending]
+        weights.append(none)
+        sums = [none] * n
+        parents, above = [0] * n, [0] * n  # of the symbols and of the nodes
+        leaf = node = 0
+        least, lowest = weights[0], none
+        for new in range(n - 1):
+            if least <= lowest:
+                total = least
+                parents[leaf] = new
+                leaf += 1
+                least = weights[leaf]
+            else:
+                total = lowest
+                above[node] = new
+                node += 1
+                lowest = sums[node]
+            if least <= lowest:
+                total += least
+                parents[leaf] = new
+                leaf += 1
+                least = weights[leaf]
+            else:
+                total += lowest
+                above[node] = new
+                node += 1
+                lowest = sums[node]
+            sums[new] = total
+            if node == new:
+                lowest = total
+        depths = [0] * (n - 1)
+        for i in range(n - 3, -1, -1):
+            depths[i] = depths[above[i]] + 1
+        if max(depths) < longest:
             out = [0] * n
-            for place, i in enumerate(order):
-                out[i] = depths[place]
+            for i, parent in zip(order, parents, strict=True):
+                out[i] = depths[parent] + 1
             return out
         floor *= 2
 
 
 @lru_cache(maxsize=1024)
 def _lone_code(alphabet: int, symbol: int) -> _Code:
-    return _Code(np.bincount([symbol], minlength=alphabet))
+    return _Code(alphabet, [symbol], [1])
 
 
 def _code(counts: np.ndarray) -> _Code:
-    used = np.flatnonzero(counts)
-    return _Code(counts) if len(used) > 1 else _lone_code(len(counts), int(used[0]) if len(used) else 0)
+    used = counts.nonzero()[0]
+    if len(used) < 2:
+        return _lone_code(len(counts), int(used[0]) if len(used) else 0)
+    return _Code(len(counts), used.tolist(), counts[used].tolist())
 
 
 class _Code:
-    """A prefix code for counted symbols, to be written and used."""
+    """A prefix code for the ascending symbols of an alphabet that occur, to be written and used."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.alphabet = len(counts)
-        used = np.flatnonzero(counts).tolist()
-        self.lengths = list(zip(used, code_lengths(counts[used].tolist(), _LONGEST) if len(used) > 1 else [1], strict=True))
-        self.codes, self.sizes = np.zeros(self.alphabet, np.uint64), np.zeros(self.alphabet, np.int64)
+    def __init__(self, alphabet: int, used: list[int], counts: list[int]) -> None:
+        self.lengths = list(zip(used, code_lengths(counts, _LONGEST) if len(used) > 1 else [1], strict=True))
+        self.codes, self.sizes = np.zeros(alphabet, np.uint64), np.zeros(alphabet, np.int64)
         if len(used) > 1:
-            symbols, sizes, codes = zip(*canonical(self.lengths), strict=True)
-            self.codes[list(symbols)], self.sizes[list(symbols)] = codes, sizes
-
+            sizes = np.array([n for _, n in self.lengths])
+            order = np.argsort(sizes.astype(np.uint8), kind="stable")
+            places, sizes = np.array(used)[order], sizes[order]
+            ends = np.cumsum(1 << 15 - sizes)
+            self.codes[places], self.sizes[places] = _reversed(15)[ends - (1 << 15 - sizes)], sizes
         self.written: tuple[int, int] | None = None
 
     def write(self, w: BitWriter) -> None:
@@ -689,64 +763,72 @@ class _Code:
             if len(symbols) == 2:
                 w.write(symbols[1], 8)
             return
-        tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-        last, previous = -1, 8
-        for s, n in self.lengths:
-            gap = s - last - 1
-            while gap >= 3:
-                run = min(gap, 138)
-                tokens.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
-                gap -= run
-            tokens += [(0, 0, 0)] * gap
-            tokens.append((n, 0, 0))
-            last = s
-        tokens = _merge_repeats(tokens, previous)
+        tokens = _length_tokens(self.lengths)
+        kinds = Counter(tokens)
         counts = [0] * 19
-        for t, _, _ in tokens:
-            counts[t] += 1
+        for token, c in kinds.items():
+            counts[token & 31] += c
         used = [i for i, c in enumerate(counts) if c]
         own = list(zip(used, code_lengths([counts[i] for i in used], 7) if len(used) > 1 else [1], strict=True))
-        by_symbol = dict(own)
-        listed = max(4, 1 + max(_CODE_LENGTH_ORDER.index(i) for i in used))
+        by_symbol = [0] * 19
+        for i, n in own:
+            by_symbol[i] = n
+        in_order = [by_symbol[i] for i in _CODE_LENGTH_ORDER]
+        while len(in_order) > 4 and not in_order[-1]:
+            in_order.pop()
         w.write(0, 1)
-        w.write(listed - 4, 4)
-        for i in _CODE_LENGTH_ORDER[:listed]:
-            w.write(by_symbol.get(i, 0), 3)
+        w.write(len(in_order) - 4, 4)
+        w.write(sum([n << 3 * i for i, n in enumerate(in_order)]), 3 * len(in_order))
         room = max(2, (len(tokens) - 2).bit_length())
         room += room & 1
         w.write(1, 1)
         w.write(room // 2 - 1, 3)
         w.write(len(tokens) - 2, room)
-        codes = {s: (code, n) for s, n, code in canonical(own)} if len(own) > 1 else {used[0]: (0, 0)}
-        all_, size = 0, 0
-        for t, value, extra in tokens:
-            code, n = codes[t]
-            all_ |= (code | value << n) << size
-            size += n + extra
-        w.write(all_, size)
-
-
-def _merge_repeats(tokens: list[tuple[int, int, int]], previous: int) -> list[tuple[int, int, int]]:
-    """Runs of three or more equal lengths after the first become repeats."""
-    out: list[tuple[int, int, int]] = []
-    run = 0
-
-    def flush() -> None:
-        nonlocal run
-        while run:
-            n = min(run, 6)
-            out.extend([(16, n - 3, 2)] if n >= 3 else [(previous, 0, 0)] * n)
-            run -= n
+        codes = dict.fromkeys(used, "")
+        for t, n, code in canonical(own) if len(own) > 1 else ():
+            codes[t] = f"{code:0{n}b}"
+        digits = {t: (f"{t >> 5:0{_REPEAT_BITS[t & 31]}b}" if t & 31 > 15 else "") + codes[t & 31] for t in kinds}
+        text = "".join([digits[t] for t in reversed(tokens)])
+        w.write(int(text or "0", 2), len(text))
 
-    for t in tokens:
-        if t[0] == previous and 0 < t[0] < 16:
+
+#: Bits behind the symbols that repeat a code length.
+_REPEAT_BITS = {16: 2, 17: 3, 18: 7}
+
+
+def _length_tokens(lengths: list[tuple[int, int]]) -> list[int]:
+    """The tokens that list code lengths by symbol: symbol + 32 * extra value.
+
+    Runs of zeros, and of three or more equal lengths after the first, become repeats.
+    """
+    out: list[int] = []
+    add = out.append
+    last, previous, run = -1, 8, 0
+    for s, n in lengths:
+        gap = s - last - 1
+        last = s
+        if n == previous and not gap:
             run += 1
             continue
-        flush()
-        out.append(t)
-        if 0 < t[0] < 16:
-            previous = t[0]
-    flush()
+        while run:
+            k = min(run, 6)
+            out += [16 | k - 3 << 5] if k >= 3 else [previous] * k
+            run -= k
+        while gap >= 3:
+            k = min(gap, 138)
+            add(18 | k - 11 << 5 if k >= 11 else 17 | k - 3 << 5)
+            gap -= k
+        if gap:
+            out += [0] * gap
+        if n == previous:
+            run = 1
+        else:
+            add(n)
+            previous = n
+    while run:
+        k = min(run, 6)
+        out += [16 | k - 3 << 5] if k >= 3 else [previous] * k
+        run -= k
     return out
 
 
@@ -761,25 +843,36 @@ def _prefix(value: int) -> tuple[int, int, int]:
 
 
 def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
-    """Place, length and distance of repeats of three or more pixels, from left to right."""
+    """Place, length and distance of repeats of three or more pixels, from left to right.
+
+    None where all of them could not save ``_COPIES_WORTH``.
+    """
     if len(pixels) < 4:
         return []
-    wide = pixels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    keys = wide[:-2] ^ wide[1:-1] >> np.uint64(21) ^ wide[2:] >> np.uint64(42)
-    order = np.argsort(keys, kind="stable")
-    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    wide, by = pixels.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    keys = ((wide[:-2] * by + wide[1:-1]) * by + wide[2:]) * by
+    # the low bits of a key give way to the place, so that numbers are sorted and not places by them
+    low = np.uint64(len(keys).bit_length())
+    order = np.sort(keys >> low << low | np.arange(len(keys), dtype=np.uint64))
+    same = (order[1:] >> low == order[:-1] >> low).nonzero()[0]
+    # references have at most two pixels more than places here, so they save at most 20 bits a place
+    if 20 * len(same) < _COPIES_WORTH:
+        return []
+    order = (order & (np.uint64(1) << low) - np.uint64(1)).astype(np.intp)
     here, before = order[same + 1], order[same]
     by_place = np.argsort(here)
     out = []
-    at, n = 0, len(pixels)
+    at, n, one = 0, len(pixels), memoryview(pixels)
     for i, j in zip(here[by_place].tolist(), before[by_place].tolist(), strict=True):
         if i < at or i - j > (1 << 20) - 120:
             continue
-        length, step = 0, 16
+        length, step = 0, 64
         most = min(4096, n - i)
-        while length < most:
+        while length < most and length < 16 and one[i + length] == one[j + length]:
+            length += 1
+        while 16 <= length < most:
             upto = min(length + step, most)
-            differ = np.flatnonzero(pixels[i + length : i + upto] != pixels[j + length : j + upto])
+            differ = (pixels[i + length : i + upto] != pixels[j + length : j + upto]).nonzero()[0]
             if len(differ):
                 length += int(differ[0])
                 break
@@ -795,45 +888,65 @@ _CACHE_BITS = 8
 _COPIES_WORTH = 300
 
 
-def _bits(counts: np.ndarray) -> float:
-    """The entropy of counted symbols, in bits."""
+@lru_cache(maxsize=1)
+def _n_log_n() -> np.ndarray:
+    n = np.arange(1, 1 << 16, dtype=float)
+    return np.append(0.0, n * np.log2(n))
+
+
+def _bits(counts: np.ndarray, total: int) -> float:
+    """The entropy of ``total`` counted symbols, in bits."""
+    known = _n_log_n()
+    if total < len(known):
+        return float(known[total] - known.take(counts).sum())
     c = counts[counts > 0].astype(float)
-    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) if len(c) else 0.0
+    return float(total * np.log2(total) - (c * np.log2(c)).sum())
 
 
 def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool) -> None:
     """Pixels (numbers of alpha, red, green, blue) as an entropy-coded image."""
+    n = len(pixels)
     copies = _copies(pixels)
-    if 3 * 5 * sum(n for _, n, _ in copies) - 25 * len(copies) < _COPIES_WORTH:
+    if 3 * 5 * sum([k for _, k, _ in copies]) - 25 * len(copies) < _COPIES_WORTH:
         copies = []
-    literal = np.ones(len(pixels), bool)
-    for i, n, _ in copies:
-        literal[i : i + n] = False
-    slots = ((pixels.astype(np.uint64) * np.uint64(_CACHE_MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - _CACHE_BITS)
+    samples = pixels.astype("<u4", copy=False).view(np.uint8).reshape(n, 4)[:, [1, 2, 0, 3]]  # green, red, blue, alpha
+    literal = None  # all of them
+    if copies:
+        literal = np.ones(n, bool)
+        for i, k, _ in copies:
+            literal[i : i + k] = False
+    own = samples if literal is None else samples[literal]
+    counts = [np.bincount(own[:, c], minlength=256) for c in range(4)]
+    slots = (pixels * np.uint32(_CACHE_MULTIPLIER) >> np.uint32(32 - _CACHE_BITS)).astype(np.uint8)
     order = np.argsort(slots, kind="stable")
-    hits = np.zeros(len(pixels), bool)
+    hits = np.zeros(n, bool)
     # a hit if the last pixel of the same slot was the same
-    hits[order[1:]] = (pixels[order[1:]] == pixels[order[:-1]]) & literal[order[1:]]
-    plain = literal & ~hits
-    samples = pixels[:, None] >> np.array([8, 16, 0, 24], np.uint32) & np.uint32(255)  # green, red, blue, alpha
+    ordered = pixels[order]
+    hits[order[1:]] = ordered[1:] == ordered[:-1]
+    if copies:
+        hits &= literal
     # a cached pixel takes about eight bits, and so does each slot's code length at first
     n_hits = int(np.count_nonzero(hits))
-    each = _bits(np.bincount(samples[literal, :3].ravel(), minlength=256)) / max(1, np.count_nonzero(literal))
+    each = _bits(counts[0] + counts[1] + counts[2], 3 * len(own)) / max(1, len(own))
     cached = n_hits * (each - 8) > 4 * min(n_hits, 1 << _CACHE_BITS) + 64
-    if not cached:
-        hits, plain = np.zeros(len(pixels), bool), literal
+    plain = literal
+    if cached:
+        plain = ~hits if literal is None else literal & ~hits
+        own = samples[plain]
+        counts = [np.bincount(own[:, c], minlength=256) for c in range(4)]
 
     lengths = [_prefix(n) for _, n, _ in copies]
     near = _near_codes(width)
     distances = [_prefix(near.get(d, d + len(_NEAR))) for _, _, d in copies]
     green = np.zeros(256 + _LENGTH_SYMBOLS + (1 << _CACHE_BITS if cached else 0), np.int64)
-    counts = [np.bincount(samples[plain, c], minlength=256) for c in range(4)]
-    if _bits(counts[0]) + _bits(counts[1]) + _bits(counts[2]) + 300 > _bits(counts[0] + counts[1] + counts[2]):
-        counts[0] = counts[1] = counts[2] = counts[0] + counts[1] + counts[2]  # channels of one kind share their code
+    together = counts[0] + counts[1] + counts[2]
+    if sum([_bits(c, len(own)) for c in counts[:3]]) + 300 > _bits(together, 3 * len(own)):
+        counts[0] = counts[1] = counts[2] = together  # channels of one kind share their code
     green[:256] = counts[0]
-    np.add.at(green, [256 + s for s, _, _ in lengths], 1)
+    for k, _, _ in lengths:
+        green[256 + k] += 1
     if cached:
-        green += np.bincount(256 + _LENGTH_SYMBOLS + slots[hits].astype(np.int64), minlength=len(green))
+        green[256 + _LENGTH_SYMBOLS :] += np.bincount(slots[hits], minlength=1 << _CACHE_BITS)
     far = np.bincount([s for s, _, _ in distances], minlength=_DISTANCE_SYMBOLS)
     codes = [_code(green)]
     codes.append(codes[0] if counts[1] is counts[0] and not copies and not cached else _code(counts[1]))
@@ -846,23 +959,28 @@ def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool) -> No
         w.write(0, 1)  # one group of codes
     for code in codes:
         code.write(w)
-    values, sizes = np.zeros(len(pixels), np.uint64), np.zeros(len(pixels), np.int64)
-    for code, c in zip(codes[:4], range(4), strict=True):
-        own = samples[plain, c]
-        values[plain] |= code.codes[own] << sizes[plain].astype(np.uint64)
-        sizes[plain] += code.sizes[own]
+    values, sizes = codes[0].codes.take(own[:, 0]), codes[0].sizes.take(own[:, 0])
+    for code, c in zip(codes[1:4], range(1, 4), strict=True):
+        if len(code.lengths) > 1:
+            values |= code.codes.take(own[:, c]) << sizes.astype(np.uint64)
+            sizes += code.sizes.take(own[:, c])
+    if plain is not None:
+        some, taken = values, sizes
+        values, sizes = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        values[plain], sizes[plain] = some, taken
     if cached:
-        own = 256 + _LENGTH_SYMBOLS + slots[hits].astype(np.int64)
-        values[hits], sizes[hits] = codes[0].codes[own], codes[0].sizes[own]
+        at = 256 + _LENGTH_SYMBOLS + slots[hits].astype(np.int64)
+        values[hits], sizes[hits] = codes[0].codes[at], codes[0].sizes[at]
     if copies:
+        wide, far_wide = ((c.codes.tolist(), c.sizes.tolist()) for c in (codes[0], codes[4]))
+        written = []
+        for (s, more, k), (t, further, m) in zip(lengths, distances, strict=True):
+            size = wide[1][256 + s]
+            value, size = wide[0][256 + s] | more << size, size + k
+            value, size = value | far_wide[0][t] << size, size + far_wide[1][t]
+            written.append((value | further << size, size + m))
         at = [i for i, _, _ in copies]
-        value, size = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
-        for code, first, parts in ((codes[0], 256, lengths), (codes[4], 0, distances)):
-            own, extra, k = np.array(parts, np.int64).T
-            for more, n in ((code.codes[first + own], code.sizes[first + own]), (extra.astype(np.uint64), k)):
-                value |= more << size.astype(np.uint64)
-                size += n
-        values[at], sizes[at] = value, size
+        values[at], sizes[at] = zip(*written, strict=True)
     w.extend(values, sizes)
 
 
@@ -889,17 +1007,19 @@ def encode_pixels(rgb: bytes, width: int, height: int) -> bytes:
     for value, n in ((_SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
         w.write(value, n)
     pixels = _joined(samples).ravel()
-    costs = {"": _bits(np.bincount(samples.ravel(), minlength=256))}
+    costs = {"": _bits(np.bincount(samples.ravel()), samples.size)}
     others = samples[:, :, ::2] - samples[:, :, 1:2]
-    costs["green"] = _WORTH + _bits(np.bincount(samples[:, :, 1].ravel())) + _bits(np.bincount(others.ravel()))
+    costs["green"] = _WORTH + _bits(np.bincount(samples[:, :, 1].ravel()), len(pixels)) + _bits(np.bincount(others.ravel()), others.size)
     residual = samples.copy()
     residual[0, 1:] -= samples[0, :-1]
     residual[1:] -= samples[:-1]
-    costs["above"] = _WORTH + _bits(np.bincount(residual.ravel()))
-    colours = np.unique(pixels)
-    if len(colours) <= 256:
+    costs["above"] = _WORTH + _bits(np.bincount(residual.ravel()), residual.size)
+    ordered = np.sort(pixels)
+    new = (ordered[1:] != ordered[:-1]).nonzero()[0]
+    if len(new) < 256:
+        colours = np.concatenate((ordered[:1], ordered[new + 1]))
         index = np.searchsorted(colours, pixels).reshape(height, width)
-        costs["palette"] = _WORTH + 20 * len(colours) + _bits(np.bincount(index.ravel()))
+        costs["palette"] = _WORTH + 20 * len(colours) + _bits(np.bincount(index.ravel()), index.size)
     best = min(costs, key=lambda k: costs[k])
     if best == "palette":
         w.write(1, 1)

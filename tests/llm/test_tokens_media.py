@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -380,3 +382,101 @@ def test_pixels_read_at_once_are_those_of_the_symbol_loop(kind, monkeypatch):
     with pytest.raises(webp.WebPError):
         monkeypatch.setattr(webp, "_LEAST_PIXELS", 128)
         webp.decode_stream(media_bytes[20 : 20 + len(media_bytes) // 2])
+
+
+def test_work_on_a_text_stays_small():
+    """Calls and memory that storing and reading back a text takes, which is what its CPU time goes to."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, k).astype(np.uint8)) for k in rng.integers(2, 12, 400)]
+    raw = b" ".join(words[i] for i in rng.integers(0, 400, 500))
+    payload = webp.pad_payload(raw)
+    media.digest(raw)  # fills the tables
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        media.digest(raw)
+    finally:
+        sys.setprofile(before)
+    assert calls < 2200  # 3716 before
+    tracemalloc.start()
+    webp.encode_payload(payload)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(payload)  # 158 bytes a byte before
+
+
+def test_many_numbers_are_written_like_single_ones():
+    rng = np.random.default_rng(2)
+    for top in (2, 14, 53, 65):
+        for n in (0, 1, 2, 700):
+            sizes = rng.integers(0, top, n)
+            values = np.array([int.from_bytes(rng.bytes(8), "little") & (1 << k) - 1 for k in sizes.tolist()], np.uint64)
+            at_once, single = webp.BitWriter(), webp.BitWriter()
+            for w in (at_once, single):
+                w.write(5, 3)
+            at_once.extend(values, sizes)
+            for value, size in zip(values.tolist(), sizes.tolist(), strict=True):
+                single.write(value, size)
+            for w in (at_once, single):
+                w.write(1, 1)
+            assert at_once.bytes() == single.bytes()
+
+
+def test_lists_of_code_lengths_come_back():
+    rng = np.random.default_rng(6)
+    cases = [[int(n) for n in rng.zipf(1.3, size) % 5000 * (rng.random(size) < share)] for size in (256, 280, 536) for share in (0.02, 0.2, 0.9) for _ in range(10)]
+    cases += [[1] * 256, [0] * 200 + [1] * 56, [1] * 3 + [0] * 250 + [1] * 3, [0, 0, 3, 0, 2], [0] * 270 + [4]]
+    for counts in cases:
+        used = [s for s, c in enumerate(counts) if c]
+        if not used:
+            continue
+        code = webp._code(np.array(counts))
+        w = webp.BitWriter()
+        code.write(w)
+        bits = webp.Bits(w.bytes())
+        read, _ = webp._read_code(bits, len(counts), bits.window())
+        assert bits.at == w.size and [s for s, _ in read.lengths] == used
+        assert read.lengths == code.lengths
+        for s, n in read.lengths if len(used) > 1 else ():
+            assert code.sizes[s] == n and read.table[int(code.codes[s])] == read.array[int(code.codes[s])] == s << 4 | n
+
+
+@pytest.mark.parametrize("cache_bits", [1, 2, 4])
+@pytest.mark.parametrize("copies", [False, True])
+def test_cached_and_copied_pixels_read_at_once(cache_bits, copies, monkeypatch):
+    """Few slots, so that colours replace each other there between copies of cached pixels."""
+    rng = np.random.default_rng(cache_bits)
+    colours = rng.integers(0, 256, (7, 4), dtype=np.uint8)
+    pixels = colours[rng.integers(0, 7, (40, 23))]
+    pixels[20:30] = pixels[3:13]
+
+    class Opaque(Writer):
+        def code(self, alphabet):
+            self.made = getattr(self, "made", 0) + 1
+            if self.made != 4:
+                return super().code(alphabet)
+            for value, n in ((1, 1), (0, 1), (1, 1), (255, 8)):
+                self.write(value, n)
+            return {255: (0, 0)}
+
+    pixels[:, :, 0] = 255
+    w = Opaque()
+    w.header(pixels)
+    w.write(0, 1)
+    w.image(pixels, True, cache_bits, copies)
+    read, at_once = webp._read_pixels, []
+    monkeypatch.setattr(webp, "_read_pixels", lambda *a: at_once.append(read(*a)) or at_once[-1])
+    assert (webp.decode_stream(w.bytes()) == pixels).all()
+    assert len(at_once) == 1 and at_once[0] is not None
+
+
+def test_texts_stored_together_are_those_stored_alone():
+    raws = [b"the cat sat %d " % i * (i % 7) for i in range(2 * media._AT_ONCE + 3)]
+    assert media.digests(raws) == [media.digest(raw) for raw in raws]
+    assert media.digests([]) == []
