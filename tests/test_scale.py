@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import code_catalogue
+import pytest
+
+from codeloom.plans import catalogue, code_catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +19,8 @@ def test_modules_are_dealt_out_by_number(spark, monkeypatch):
     monkeypatch.setattr(code_catalogue, "MODULES_A_TASK", 10)
     n = spark.read.parquet(f"{SF}/customer.parquet").count()
     assert code_catalogue.code_files(spark, SF).rdd.getNumPartitions() == 2 * -(-n // 10)
+
+
+@pytest.mark.parametrize("name", ["code_clear_file", "code_definition_at", "code_edges_raw", "code_nodes", "code_symbol_calls"])
+def test_facts_read_more_than_once_are_parsed_once(spark, name):
+    assert "MapInPandas" not in first_plan(catalogue.QUERIES[name](spark, SF))
