@@ -21,6 +21,13 @@ def test_modules_are_dealt_out_by_number(spark, monkeypatch):
     assert code_catalogue.code_files(spark, SF).rdd.getNumPartitions() == 2 * -(-n // 10)
 
 
+@pytest.mark.parametrize("name", ["code_clear_file", "code_edge_labels", "code_edges_derived", "code_edges_raw", "code_imports_of", "code_definition_at", "code_chunks", "code_symbol_calls"])
+def test_generated_sources_are_not_broadcast(spark, name):
+    plan = first_plan(catalogue.QUERIES[name](spark, SF))
+    small = "LeftSemi, BuildRight" if name == "code_imports_of" else "nothing"  # the node of its one file
+    assert "SortMergeJoin" in plan and not [line for line in plan.split("\n") if "BroadcastHashJoin" in line and small not in line]
+
+
 @pytest.mark.parametrize("name", ["code_clear_file", "code_definition_at", "code_edges_raw", "code_nodes", "code_symbol_calls"])
 def test_facts_read_more_than_once_are_parsed_once(spark, name):
     assert "MapInPandas" not in first_plan(catalogue.QUERIES[name](spark, SF))
