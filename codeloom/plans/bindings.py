@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.session import table
+from codeloom.session import shares, table
 
 REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDER = 1_000, 2_000, 10_000_000, 20_000_000, 30_000_000, 100_000_000
 
@@ -49,7 +49,7 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Containment, definitions, calls, tests, references and imports, once each."""
+    """Containment, definitions, calls, tests, references and imports, once each, dealt by source."""
 
     def t(name: str) -> DataFrame:
         return table(spark, sf, name)
@@ -58,7 +58,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
         return df.selectExpr(f"CAST({source} AS bigint) AS source_id", f"CAST({target} AS bigint) AS target_id", f"'{kind}' AS kind")
 
     orders, lines = t("orders"), t("lineitem")
-    with_order = lines.join(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    tasks = shares(spark, sf, "orders", "lineitem")
+    with_order = lines.repartition(tasks, "l_orderkey").join(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
     parts = [
         row(t("nation"), f"{REGION} + n_regionkey", f"{NATION} + n_nationkey", "CONTAINS"),
         row(t("customer"), f"{NATION} + c_nationkey", f"{CUSTOMER} + c_custkey", "CONTAINS"),
@@ -71,13 +72,14 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out.repartition(tasks, "source_id").distinct()
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as symbols: the days between order and last shipment, whichever way round."""
+    """Orders as symbols, dealt by file: the days between order and last shipment, whichever way round."""
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    last = lines.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+    tasks = shares(spark, sf, "orders", "lineitem")
+    last = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
     both = orders.join(last, F.col("o_orderkey") == F.col("l_orderkey"))
 
     def day(c: Column) -> Column:
@@ -88,15 +90,16 @@ def intervals(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").alias("file_id"),
         day(F.least("o_orderdate", "shipped")).alias("start_line"),
         day(F.greatest("o_orderdate", "shipped")).alias("end_line"),
-    )
+    ).repartition(tasks, "file_id")
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as places: the day of shipment in the customer's file, once each."""
+    """Line items as places: the day of shipment in the customer's file, once each, dealt by file."""
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    tasks = shares(spark, sf, "orders", "lineitem")
+    both = lines.repartition(tasks, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     line = F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")).cast("bigint")
-    return both.select(F.col("o_custkey").alias("file_id"), line.alias("line")).distinct().withColumn("place_id", F.col("file_id") * 100_000 + F.col("line"))
+    return both.select(F.col("o_custkey").alias("file_id"), line.alias("line")).repartition(tasks, "file_id").distinct().withColumn("place_id", F.col("file_id") * 100_000 + F.col("line"))
 
 
 def manifests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

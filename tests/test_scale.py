@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
+from codeloom import session
 from codeloom.plans import catalogue, code_catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +34,12 @@ def test_generated_sources_are_not_broadcast(spark, name):
 @pytest.mark.parametrize("name", ["code_clear_file", "code_definition_at", "code_edges_raw", "code_nodes", "code_symbol_calls"])
 def test_facts_read_more_than_once_are_parsed_once(spark, name):
     assert "MapInPandas" not in first_plan(catalogue.QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize(("name", "keys"), [("brief_counts", ["source_id"]), ("definition_at", ["file_id"]), ("integrity_report", ["source_id", "target_id", "id"])])
+def test_graph_is_dealt_to_tasks_by_its_rows(spark, monkeypatch, name, keys):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 200)
+    rows = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    plan = first_plan(catalogue.QUERIES[name](spark, SF))
+    for key in keys:
+        assert re.search(rf"hashpartitioning\({key}#\d+L?, {-(-rows // 200)}\), REPARTITION_BY_NUM", plan), key
