@@ -49,14 +49,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*old.columns))
 
 
-def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """check, problems: repeated node ids, repeated edges, edges without a source or target."""
+def integrity(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """check, problems: repeated node ids, repeated edges, edges without a source or target.
+
+    ``tasks``: how many tasks ids are dealt to, and with them the ends of edges; the session's number of shuffle partitions without it.
+    """
     ids = nodes.select("id")
+    if tasks is not None:
+        ids = ids.repartition(tasks, "id")  # the joins deal the edges' ends to as many
 
     def row(name: str, found: DataFrame) -> DataFrame:
         return found.agg(F.count(F.lit(1)).alias("problems")).select(F.lit(name).alias("check"), "problems")
 
-    twice = nodes.groupBy("id").count().where("count > 1")
+    twice = ids.groupBy("id").count().where("count > 1")
     repeated = edges.groupBy("source_id", "target_id", "kind").count().where("count > 1")
     no_source = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
     no_target = edges.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_anti")

@@ -13,7 +13,7 @@ from codeloom.operators import build, graph, maintain, search
 from codeloom.operators import context as ctx
 from codeloom.plans import bindings as b
 from codeloom.plans import code_catalogue as code
-from codeloom.session import checkpoint, table
+from codeloom.session import checkpoint, shares, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -567,7 +567,7 @@ def clear_cascade(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 'edge_targets', (SELECT count(*) FROM edges WHERE target_id NOT IN (SELECT id FROM nodes))""").replace(" AS check,", ' AS "check",'),
 )
 def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
-    return maintain.integrity(b.nodes(spark, sf), b.edges(spark, sf))
+    return maintain.integrity(b.nodes(spark, sf), b.edges(spark, sf), shares(spark, sf, "orders", "lineitem"))
 
 
 @_register(
