@@ -43,3 +43,16 @@ def test_graph_is_dealt_to_tasks_by_its_rows(spark, monkeypatch, name, keys):
     plan = first_plan(catalogue.QUERIES[name](spark, SF))
     for key in keys:
         assert re.search(rf"hashpartitioning\({key}#\d+L?, {-(-rows // 200)}\), REPARTITION_BY_NUM", plan), key
+
+
+@pytest.mark.parametrize("name", ["definition_at", "calls_in_symbol"])
+def test_symbols_and_places_are_dealt_by_their_rows_in_every_shuffle(spark, monkeypatch, name):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 200)
+    rows = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on tables too large for it
+    try:
+        plan = first_plan(catalogue.QUERIES[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert re.findall(r"hashpartitioning\((?:file_id|l_orderkey|o_orderkey)#\d+L?, (\d+)\)", plan) == [str(-(-rows // 200))] * plan.count("Exchange hashpartitioning")
